@@ -1,4 +1,4 @@
-"""Normal and chi-square probabilities."""
+"""Normal and chi-square probabilities as column expressions."""
 
 from __future__ import annotations
 
@@ -6,25 +6,39 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+from numpy.polynomial import chebyshev
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+# erfc(x) = t * exp(g(t) - x^2) with t = 2 / (2 + x); g is smooth, so a polynomial carries it
+LARGEST = 26.0
+_T_LOW = 2.0 / (2.0 + LARGEST)
+_DEGREE = 32
+
+
+def _g(y: np.ndarray) -> np.ndarray:
+    t = _T_LOW + (np.asarray(y) + 1.0) * (1.0 - _T_LOW) / 2.0
+    x = 2.0 / t - 2.0
+    return np.array([math.log(math.erfc(v) / u) + v * v for v, u in zip(x, t)])
 
-def normal_quantile(p: float) -> float:
-    return NormalDist().inv_cdf(p)
 
+_COEFFICIENTS = chebyshev.cheb2poly(chebyshev.chebinterpolate(_g, _DEGREE))[::-1]
 
-@F.pandas_udf(DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    known = x.dropna()
-    return pd.Series(np.array([math.erfc(v) for v in known]), index=known.index).reindex(x.index)
+
+def normal_quantile(p: float) -> float:
+    return NormalDist().inv_cdf(p)
 
 
 def erfc(c: Column) -> Column:
-    """Complementary error function; Spark SQL has none, so Arrow batches carry it."""
-    return _erfc(c.cast("double"))
+    """Complementary error function; Spark SQL has none, and this one stays in the JVM."""
+    x = F.abs(c.cast("double"))
+    t = F.lit(2.0) / (F.lit(2.0) + x)
+    y = (t - F.lit(_T_LOW)) * F.lit(2.0 / (1.0 - _T_LOW)) - F.lit(1.0)
+    g = F.aggregate(
+        F.array(*[F.lit(float(v)) for v in _COEFFICIENTS]), F.lit(0.0), lambda s, k: s * y + k
+    )
+    upper = F.when(x > LARGEST, F.lit(0.0)).otherwise(t * F.exp(g - x * x))
+    return F.when(c < 0, F.lit(2.0) - upper).when(c.isNotNull(), upper)
 
 
 def normal_cdf(c: Column) -> Column:

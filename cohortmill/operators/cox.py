@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
@@ -46,54 +46,45 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def day_sums(rows: DataFrame, p: int, beta: Sequence[float], time: str = "time") -> DataFrame:
-    """Per day: deaths, and risk-weighted sums over everyone (s*) and over deaths (d*)."""
-    x = [F.col(f"x{i}") for i in range(p)]
-    score = sum((F.lit(float(b)) * xi for b, xi in zip(beta, x)), F.lit(0.0))
-    dead = F.col("event").cast("double")
-    base = rows.withColumn("eta", score).withColumn("r", F.exp("eta"))
-    r = F.col("r")
-    terms = {"0": r}
-    terms.update({f"1_{i}": r * x[i] for i in range(p)})
-    terms.update({f"2_{i}_{j}": r * x[i] * x[j] for i, j in _pairs(p)})
-    aggs = [F.sum(F.col("event").cast("bigint")).alias("d"), F.sum(dead * F.col("eta")).alias("de")]
-    aggs += [F.sum(dead * x[i]).alias(f"dx{i}") for i in range(p)]
-    aggs += [F.sum(t).alias(f"s{k}") for k, t in terms.items()]
-    aggs += [F.sum(dead * t).alias(f"d{k}") for k, t in terms.items()]
-    return base.groupBy(time).agg(*aggs)
-
-
-def moments(rows: DataFrame, p: int, beta: Sequence[float], time: str = "time") -> DataFrame:
-    """One row: partial log-likelihood, score u* and information i* (Efron) at ``beta``."""
-    days = day_sums(rows, p, beta, time)
-    keys = ["0"] + [f"1_{i}" for i in range(p)] + [f"2_{i}_{j}" for i, j in _pairs(p)]
-    back = Window.orderBy(F.col(time).desc())  # one row per day
-    at_risk = days.withColumns({f"s{k}": F.sum(f"s{k}").over(back) for k in keys}).where("d > 0")
-    # a day with many deaths becomes many short runs of tied deaths, spread over tasks
-    runs = at_risk.withColumn(
-        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1,
-                                    F.lit(TIES_PER_ROW).cast("bigint")))
-    ).repartition(time, "run")
-    ties = runs.withColumn(
-        "l", F.explode(F.sequence(
-            "run", F.least(F.col("run") + (TIES_PER_ROW - 1), F.col("d") - 1)))
-    )
-    share = F.col("l") / F.col("d")
-    a = ties.select("l", "de", *[f"dx{i}" for i in range(p)], *[
-        (F.col(f"s{k}") - share * F.col(f"d{k}")).alias(f"a{k}") for k in keys
-    ])
-    first = F.col("l") == 0
-    a0 = F.col("a0")
-    aggs = [F.sum(F.when(first, F.col("de")).otherwise(0.0) - F.ln(a0)).alias("ll")]
-    for i in range(p):
-        aggs.append(F.sum(
-            F.when(first, F.col(f"dx{i}")).otherwise(0.0) - F.col(f"a1_{i}") / a0
-        ).alias(f"u{i}"))
-    for i, j in _pairs(p):
-        aggs.append(F.sum(
-            F.col(f"a2_{i}_{j}") / a0 - F.col(f"a1_{i}") * F.col(f"a1_{j}") / (a0 * a0)
-        ).alias(f"i{i}_{j}"))
-    return a.agg(*aggs)
+def moments(rows: DataFrame, p: int, beta: Sequence[float]) -> DataFrame:
+    """One row: partial log-likelihood ll, score u* and information i* at ``beta`` (Efron).
+
+    ``rows`` has time, event and x0, x1, ... The sums per day are one partial aggregate; the
+    running sums over later days and the tie terms work on the day table. A day with many
+    deaths is cut into short runs of tied deaths that are spread over the tasks.
+    """
+    weights = {"0": "r"}
+    weights.update({f"1_{i}": f"r * x{i}" for i in range(p)})
+    weights.update({f"2_{i}_{j}": f"r * x{i} * x{j}" for i, j in _pairs(p)})
+    eta = " + ".join(f"x{i} * {float(b)!r}D" for i, b in enumerate(beta))
+    return rows.sparkSession.sql(f"""
+      with subject as (
+        select *, exp(eta) as r, cast(event as double) as dead
+        from (select *, {eta} as eta from {{rows}})),
+      day as (
+        select time, sum(cast(event as bigint)) as d, sum(dead * eta) as de,
+          {', '.join(f"sum(dead * x{i}) as dx{i}" for i in range(p))},
+          {', '.join(f"sum({w}) as p{k}, sum(dead * {w}) as d{k}" for k, w in weights.items())}
+        from subject group by time),
+      at_risk as (
+        select *, {', '.join(f"sum(p{k}) over w as s{k}" for k in weights)}
+        from day window w as (order by time desc)),
+      run as (
+        select /*+ REPARTITION(time, run) */ *
+        from (select *, explode(sequence(0L, d - 1, {TIES_PER_ROW}L)) as run
+              from at_risk where d > 0)),
+      tie as (
+        select *, explode(sequence(run, least(run + {TIES_PER_ROW - 1}L, d - 1))) as l from run),
+      term as (
+        select if(l = 0, de, 0D) as de,
+          {', '.join(f"if(l = 0, dx{i}, 0D) as dx{i}" for i in range(p))},
+          {', '.join(f"s{k} - l / d * d{k} as a{k}" for k in weights)}
+        from tie)
+      select sum(de - ln(a0)) as ll,
+        {', '.join(f"sum(dx{i} - a1_{i} / a0) as u{i}" for i in range(p))},
+        {', '.join(f"sum(a2_{i}_{j} / a0 - a1_{i} * a1_{j} / (a0 * a0)) as i{i}_{j}"
+                   for i, j in _pairs(p))}
+      from term""", rows=rows)
 
 
 def _unpack(row, p: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -129,15 +120,15 @@ def scaled_rows(rows: DataFrame, covariates: Sequence[str], time: str = "time",
     return scaled, used, dropped, scale, stats["n"], int(stats["d"] or 0)
 
 
-def _newton(scaled: DataFrame, p: int, n: int, penalizer: float, steps: int = 50,
-            tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float, int]:
+def _newton(scaled: DataFrame, p: int, n: int, penalizer: float, start: np.ndarray,
+            steps: int = 50, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Newton steps with halving; the ridge penalty is n * penalizer / 2 * |beta|^2."""
     def at(beta: np.ndarray):
         ll, u, info = _unpack(moments(scaled, p, beta).first(), p)
         ll -= n * penalizer / 2 * float(beta @ beta)
         return ll, u - n * penalizer * beta, info + n * penalizer * np.eye(p)
 
-    beta = np.zeros(p)
+    beta = start
     ll, u, info = at(beta)
     for step in range(1, steps + 1):
         if not (math.isfinite(ll) and np.isfinite(info).all()):
@@ -164,18 +155,24 @@ def _newton(scaled: DataFrame, p: int, n: int, penalizer: float, steps: int = 50
 
 
 def fit_cox(rows: DataFrame, covariates: Sequence[str], time: str = "time",
-            event: str = "event", penalizers: Sequence[float] = fixed.RIDGE_STEPS) -> CoxFit:
-    """Fits without penalty first; a fit that does not converge is tried with more ridge."""
+            event: str = "event", penalizers: Sequence[float] = fixed.RIDGE_STEPS,
+            near: CoxFit | None = None) -> CoxFit:
+    """Fits without penalty first; a fit that does not converge is tried with more ridge.
+
+    ``near`` is a fit of a smaller model on the same rows to start from.
+    """
     scaled, used, dropped, scale, n, d = scaled_rows(rows, covariates, time, event)
     if n < fixed.MIN_COX_ROWS:
         raise ValueError(f"too few complete rows for a Cox model: {n} < {fixed.MIN_COX_ROWS}")
     if not used or d == 0:
         raise ValueError("no covariate varies or no event occurs")
     scaled = materialize(scaled)  # read again by every step
+    known = dict(zip(near.covariates, near.coefficients)) if near else {}
+    start = np.array([known.get(c, 0.0) for c in used]) * scale
     problem: Exception | None = None
     for penalizer in penalizers:
         try:
-            beta, covariance, ll, steps = _newton(scaled, len(used), n, penalizer)
+            beta, covariance, ll, steps = _newton(scaled, len(used), n, penalizer, start)
         except (NotConverged, np.linalg.LinAlgError) as exc:
             problem = exc
             continue
@@ -262,7 +259,7 @@ def panel_report(cohort: DataFrame, expression: DataFrame,
     rows = model_rows(cohort).join(wide, sample).dropna(subset=genes)
     rows = materialize(rows.select("time", "event", *CLINICAL_COVARIATES, *genes))
     clinical = fit_cox(rows, CLINICAL_COVARIATES)
-    full = fit_cox(rows, [*CLINICAL_COVARIATES, *genes])
+    full = fit_cox(rows, [*CLINICAL_COVARIATES, *genes], near=clinical)
     effects = effect_table(cohort.sparkSession, full).where(F.col("covariate").isin(*genes))
     summary = _summary(clinical, rows, "clinical").unionByName(_summary(full, rows, "panel"))
     return effects, summary, missing

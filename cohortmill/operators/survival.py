@@ -131,16 +131,44 @@ def km_by_stratum(cohort: DataFrame, stratum: str = "stage_group",
 
 # ---- log-rank ---------------------------------------------------------------------
 
-def _at_risk_by_side(table: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+def split_table(rows: DataFrame, high: str = "high", keys: Sequence[str] = (),
+                time: str = "time", event: str = "event") -> DataFrame:
+    """Per key and day: leavers (c1, c0) and deaths (d1, d0) of the high and the low group."""
+    side, died = F.col(high).cast("bigint"), _deaths(event)
+    return rows.groupBy(*keys, time).agg(
+        F.sum(side).alias("c1"), F.sum(1 - side).alias("c0"),
+        F.sum(side * died).alias("d1"), F.sum((1 - side) * died).alias("d0"),
+    )
+
+
+def logrank_from_table(table: DataFrame, keys: Sequence[str] = (),
+                       time: str = "time") -> DataFrame:
+    """Log-rank test and high-group median survival per key, in one pass over the day table."""
     back = Window.partitionBy(*keys).orderBy(F.col(time).desc())
-    return (
+    forth = Window.partitionBy(*keys).orderBy(time)
+    n = (F.col("n1") + F.col("n0")).cast("double")
+    d = (F.col("d1") + F.col("d0")).cast("double")
+    days = (
         table
-        .withColumn("n1", F.sum("c1").over(back))
-        .withColumn("n0", F.sum("c0").over(back))
-        .where(F.col("d1") + F.col("d0") > 0)
-        .withColumn("n", (F.col("n1") + F.col("n0")).cast("double"))
-        .withColumn("d", (F.col("d1") + F.col("d0")).cast("double"))
+        .withColumns({"n1": F.sum("c1").over(back), "n0": F.sum("c0").over(back)})
+        .withColumn("s1", F.product(
+            F.lit(1.0) - F.coalesce(F.col("d1") / F.nullif(F.col("n1"), F.lit(0)), F.lit(0.0))
+        ).over(forth))
     )
+    spread = F.col("n1") * F.col("n0") * d * (n - d) / F.nullif(n * n * (n - 1), F.lit(0.0))
+    tests = days.groupBy(*keys).agg(
+        F.sum("c1").alias("n_high"), F.sum("c0").alias("n_low"),
+        F.sum("d1").alias("events_high"), F.sum("d0").alias("events_low"),
+        F.sum(F.when(d > 0, F.col("n1") * d / n)).alias("expected_high"),
+        F.sum(F.when(d > 0, F.coalesce(spread, F.lit(0.0)))).alias("variance"),
+        F.min(F.when((F.col("s1") <= 0.5) & (F.col("n1") > 0), F.col(time)))
+        .alias("median_days_high"),
+    )
+    gap = F.col("events_high") - F.col("expected_high")
+    both = (F.col("n_high") > 0) & (F.col("n_low") > 0)
+    return tests.withColumn(
+        "chi2", F.when(both, ratio(gap * gap, F.col("variance")))
+    ).withColumn("p_value", chi2_sf(F.col("chi2"), 1))
 
 
 def logrank_two_groups(rows: DataFrame, high: str = "high", keys: Sequence[str] = (),
@@ -149,36 +177,8 @@ def logrank_two_groups(rows: DataFrame, high: str = "high", keys: Sequence[str]
 
     All keys (features) are tested in the same job.
     """
-    keys = list(keys)
-    side, died = F.col(high).cast("bigint"), _deaths(event)
-    table = rows.groupBy(*keys, time).agg(
-        F.sum(side).alias("c1"), F.sum(1 - side).alias("c0"),
-        F.sum(side * died).alias("d1"), F.sum((1 - side) * died).alias("d0"),
-    )
-    sizes = table.groupBy(*keys).agg(
-        F.sum("c1").alias("n_high"), F.sum("c0").alias("n_low"),
-        F.sum("d1").alias("events_high"), F.sum("d0").alias("events_low"),
-    )
-    n, d = F.col("n"), F.col("d")
-    moments = _at_risk_by_side(table, keys, time).groupBy(*keys).agg(
-        F.sum(F.col("n1") * d / n).alias("expected_high"),
-        F.sum(F.coalesce(
-            F.col("n1") * F.col("n0") * d * (n - d)
-            / F.nullif(n * n * (n - 1), F.lit(0.0)), F.lit(0.0),
-        )).alias("variance"),
-    )
-    if keys:
-        joined = sizes.join(moments, keys, "left")
-    else:
-        joined = sizes.withColumn("__m", moments.select(F.struct("*")).scalar()).select(
-            "*", "__m.*").drop("__m")
-    gap = F.col("events_high") - F.col("expected_high")
-    both = (F.col("n_high") > 0) & (F.col("n_low") > 0)
-    return (
-        joined
-        .withColumn("chi2", F.when(both, ratio(gap * gap, F.col("variance"))))
-        .withColumn("p_value", chi2_sf(F.col("chi2"), 1))
-    )
+    return logrank_from_table(split_table(rows, high, keys, time, event), keys, time).drop(
+        "median_days_high")
 
 
 def logrank_moments(rows: DataFrame, stratum: str, levels: Sequence[str],
@@ -257,33 +257,32 @@ def split_screen(expression: DataFrame, cohort: DataFrame, feature: str = "featu
                  value: str = "value", sample: str = "sample_id", time: str = "time",
                  event: str = "event") -> DataFrame:
     """Median split, log-rank test and high-group median survival for every feature at once."""
-    marked = median_split(
-        expression.join(cohort.select(sample, time, event), sample), [feature], value
-    )
-    tests = logrank_two_groups(marked, "high", [feature], time, event)
-    curve = km_curve(marked.where("high"), [feature], time, event)
-    stats = km_statistics(curve, [feature], time, ()).select(
-        feature, F.col("median_days").alias("median_days_high"),
-        F.col("median_os_years").alias("median_os_high"),
-    )
-    medians = marked.groupBy(feature).agg(F.max("median_split").alias("median_split"))
-    return tests.join(medians, feature).join(stats, feature, "left")
+    rows = expression.join(cohort.select(sample, time, event), sample)
+    medians = quantiles(rows, [feature], value, {"median_split": 0.5})
+    marked = rows.join(medians, feature).withColumn(
+        "high", F.col(value) >= F.col("median_split"))
+    tests = logrank_from_table(split_table(marked, "high", [feature], time, event),
+                               [feature], time)
+    return tests.join(medians, feature).withColumn(
+        "median_os_high", years(F.col("median_days_high")))
 
 
 def split_report(rows: DataFrame, value: str = "score", time: str = "time",
                  event: str = "event") -> DataFrame:
     """One score per row: statistics of the high and low groups with the log-rank test."""
-    marked = median_split(rows, (), value)
-    curve = km_curve(marked, ["high"], time, event)
-    stats = km_statistics(curve, ["high"], time)
-    test = logrank_two_groups(marked, "high", (), time, event).select(
-        F.struct("chi2", "p_value")
-    ).scalar()
-    split = marked.agg(F.max("median_split")).scalar()
-    return (
-        stats.withColumn("median_split", split).withColumn("__test", test)
-        .select("*", "__test.*").drop("__test")
-    )
+    median = quantiles(rows, (), value, {"median_split": 0.5}).first()[0]  # one number
+    marked = rows.withColumn("high", F.col(value) >= F.lit(median))
+    table = split_table(marked, "high", (), time, event)
+    sides = table.select(time, F.inline(F.array(
+        F.struct(F.lit(True).alias("high"), F.col("d1").alias("deaths"),
+                 F.col("c1").alias("leaving")),
+        F.struct(F.lit(False).alias("high"), F.col("d0").alias("deaths"),
+                 F.col("c0").alias("leaving")),
+    ))).where("leaving > 0")
+    stats = km_statistics(_km_from_table(sides, ["high"], time), ["high"], time)
+    test = logrank_from_table(table, (), time).select(F.struct("chi2", "p_value")).scalar()
+    return stats.withColumns({"median_split": F.lit(median), "__test": test}).select(
+        "*", "__test.*").drop("__test")
 
 
 def named_features(expression: DataFrame, panel: Mapping[str, str],
@@ -398,11 +397,11 @@ def sensitivity(cohort: DataFrame, keys: Sequence[str] = (), event: str = "event
     """Minimal detectable hazard ratio per power and power per hazard ratio, per group."""
     events = cohort.groupBy(*keys).agg(F.sum(_deaths(event)).alias("n_events"))
     cells = [
-        F.struct(F.lit("min_hr").alias("measure"), F.lit(float(p)).alias("at"),
+        F.struct(F.lit("min_hr").alias("measure"), F.lit(float(p)).alias("level"),
                  minimal_hazard_ratio(F.col("n_events"), p, alpha, allocation).alias("result"))
         for p in powers
     ] + [
-        F.struct(F.lit("power").alias("measure"), F.lit(float(h)).alias("at"),
+        F.struct(F.lit("power").alias("measure"), F.lit(float(h)).alias("level"),
                  power_at(F.col("n_events"), h, alpha, allocation).alias("result"))
         for h in hazard_ratios
     ]

@@ -79,7 +79,7 @@ def main():
 
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions=8,
-                          spark__ui__enabled="false", spark__driver__memory="8g")
+                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = []
