@@ -97,3 +97,26 @@ def rank_correlation(expression: DataFrame, top_n: int = 50, feature: str = "fea
     a = top.select(F.col("position").alias("i"), F.col(feature).alias("feature_a"))
     b = top.select(F.col("position").alias("j"), F.col(feature).alias("feature_b"))
     return cells.join(a, "i").join(b, "j").select("feature_a", "feature_b", "rho")
+
+
+def covariance_cells(expression: DataFrame, top_n: int, feature: str = "feature_id",
+                     sample: str = "sample_id", value: str = "value",
+                     transform=log2p1) -> DataFrame:
+    """Covariance (population) of the standardized top features, long form."""
+    stats = feature_statistics(expression, feature, value, transform)
+    top = top_by_variance(stats, top_n, feature).persist()
+    order = numbered(top, feature).persist()
+    scaled = z_scores(expression, top, feature, value, transform)
+    vectors = sample_vectors(scaled, order, "z", sample, feature)
+    n = vectors.count()
+    # z-scores have unit population variance, so correlation is covariance; constant rows are 0
+    matrix = Correlation.corr(vectors, "features", "pearson").first()[0].toArray()
+    constant = {r[0] for r in top.where("sd = 0").join(order, feature).select("position").collect()}
+    cells = expression.sparkSession.createDataFrame(
+        [(i, j, 0.0 if i in constant or j in constant or n == 0 else float(c))
+         for i, row in enumerate(matrix) for j, c in enumerate(row)],
+        "i int, j int, covariance double",
+    )
+    a = order.select(F.col("position").alias("i"), F.col(feature).alias("feature_a"))
+    b = order.select(F.col("position").alias("j"), F.col(feature).alias("feature_b"))
+    return cells.join(a, "i").join(b, "j").select("feature_a", "feature_b", "covariance")

@@ -1,4 +1,4 @@
 """Importing this module fills the catalog."""
 
-from cohortmill.plans import survival_queries  # noqa: F401
+from cohortmill.plans import cohort_queries, matrix_queries, survival_queries  # noqa: F401
 from cohortmill.plans.catalog import ORACLES, QUERIES  # noqa: F401
