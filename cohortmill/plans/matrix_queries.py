@@ -112,13 +112,12 @@ group by 1""")
 def matrix_transpose(spark, sf_dir):
     suppliers = A.table(spark, sf_dir, "supplier").join(
         A.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    nations = [f"n{i}" for i in range(25)]
-    wide = suppliers.groupBy(
-        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("region")).pivot(
-        "nation_name" if False else "s_nationkey", list(range(25))).count()
-    wide = wide.withColumnsRenamed({str(i): f"n{i}" for i in range(25)})
-    present = M.transpose(wide, nations, [f"r{i}" for i in range(5)], "region", "nation")
-    return present.dropna("all", subset=[f"r{i}" for i in range(5)])
+    nations, regions = [f"n{i}" for i in range(25)], [f"r{i}" for i in range(5)]
+    wide = suppliers.select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("region"),
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"),
+    ).groupBy("region").pivot("nation", nations).count()
+    return M.transpose(wide, nations, regions, "region", "nation").dropna("all", subset=regions)
 
 
 # ---- value distribution -------------------------------------------------------------
@@ -356,18 +355,20 @@ def standardized_covariance(spark, sf_dir):
         "covariance", rounded(F.col("covariance"), 5))
 
 
-@query("pca_variance", f"""with {A.EMBEDDING_SQL} select 64 as n_features,
-  count(distinct sample_id) as n_samples, true as ordered, true as within_total from emb""")
+@query("pca_variance", f"""with {A.EMBEDDING_SQL},
+st as (select feature_id, avg(value) mu, stddev_pop(value) sd from emb group by 1),
+z as (select sample_id, feature_id, (value - mu) / sd z from emb join st using (feature_id)),
+c as (select a.feature_id i, b.feature_id j, avg(a.z * b.z) c from z a join z b
+  on a.sample_id = b.sample_id group by 1, 2)
+select 64::bigint as n_components, 100.0::double as total_pct,
+  round(10000 * sum(c * c) / (64 * 64), 5) as sum_of_squares from c""")
 def pca_variance(spark, sf_dir):
-    variance, scores = K.pca(_embedding(spark, sf_dir), 10, 64, transform=_identity)
-    falling = F.array_sort("v", lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
-    facts = variance.agg(F.array_sort(F.collect_list(F.struct("pc", "var_pct"))).alias("p"),
-                         F.max("cum_pct").alias("c"))
-    facts = facts.select(F.transform("p", lambda x: x["var_pct"]).alias("v"), "c").select(
-        (F.col("v") == falling).alias("ordered"), F.col("c").between(0, 100).alias("within_total"))
-    n = scores.agg(F.count_distinct("sample_id")).scalar()
-    return facts.select(F.lit(64).alias("n_features"), n.alias("n_samples"), "ordered",
-                        "within_total")
+    """All components: the shares add up, and their squares to the squared covariance."""
+    variance, _ = K.pca(_embedding(spark, sf_dir), 64, 64, transform=_identity)
+    share = F.col("var_pct")
+    return variance.agg(F.count("*").alias("n_components"),
+                        rounded(F.sum(share)).alias("total_pct"),
+                        rounded(F.sum(share * share), 5).alias("sum_of_squares"))
 
 
 @query("pca_components")

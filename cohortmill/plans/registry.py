@@ -1,4 +1,6 @@
 """Importing this module fills the catalog."""
 
-from cohortmill.plans import cohort_queries, matrix_queries, survival_queries  # noqa: F401
+from cohortmill.plans import (  # noqa: F401
+    cohort_queries, learning_queries, matrix_queries, source_queries, survival_queries,
+)
 from cohortmill.plans.catalog import ORACLES, QUERIES  # noqa: F401
