@@ -275,10 +275,12 @@ def signature_report(spark, sf_dir):
 # ---- many tests ---------------------------------------------------------------------
 
 @query("fdr_of_screen", _SPLIT_SQL + """,
-t as (select feature_id, p, row_number() over (order by p) rk, count(*) over () m from res),
+t as (select feature_id, p, row_number() over (order by p) rk, count(*) over () m from res
+  where p is not null),
 q as (select *, least(1, min(p * m / rk) over (order by p desc, rk desc)) q from t)
-select feature_id, round(p, 8) as p_value, round(q, 7) as q_value, p < 0.05 as reject_raw,
-  q < 0.05 as reject_fdr from q""")
+select res.feature_id, round(res.p, 8) as p_value, round(q, 7) as q_value,
+  coalesce(res.p < 0.05, false) as reject_raw, coalesce(q < 0.05, false) as reject_fdr
+from res left join q on q.feature_id = res.feature_id""")
 def fdr_of_screen(spark, sf_dir):
     screen = materialize(S.split_screen(_matrix(spark, sf_dir), _cohort(spark, sf_dir))
                          .select("feature_id", "p_value"))
