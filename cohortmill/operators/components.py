@@ -22,8 +22,11 @@ def numbered(selected: DataFrame, feature: str = "feature_id") -> DataFrame:
 
 def sample_vectors(cells: DataFrame, positions: DataFrame, value: str,
                    sample: str = "sample_id", feature: str = "feature_id") -> DataFrame:
-    """One vector per sample in the order of ``position``; as long as the selection."""
-    placed = cells.join(positions, feature).groupBy(sample).agg(
+    """One vector per sample in the order of ``position``; as long as the selection.
+
+    ``positions`` holds the selected features, a few thousand at most.
+    """
+    placed = cells.join(F.broadcast(positions), feature).groupBy(sample).agg(
         F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("x")))).alias("c")
     )
     return placed.select(

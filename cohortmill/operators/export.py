@@ -14,7 +14,7 @@ from cohortmill.functions.numbers import finite, log2p1_clipped
 from cohortmill.operators.dedup import deepest_sample_per_case
 from cohortmill.operators.matrix import feature_statistics, top_by_variance, z_scores
 from cohortmill.operators.ranges import RANGE, running_sums
-from cohortmill.session import materialize, range_count
+from cohortmill.session import broadcast_if_small, materialize, range_count
 
 HASH_DIGITS = 12  # 48 bits, exact in a double
 
@@ -74,12 +74,19 @@ def split_rows(cohort: DataFrame, split: DataFrame, case: str = "case_id") -> Da
     return cohort.join(split.select(case, "is_test"), case)
 
 
+def train_statistics(expression: DataFrame, train: DataFrame, sample: str = "sample_id",
+                     feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """log2 statistics per feature over the train samples only."""
+    samples = broadcast_if_small(train.select(sample))
+    cells = expression.join(samples, sample, "left_semi")
+    return feature_statistics(cells, feature, value, log2p1_clipped)
+
+
 def train_features(expression: DataFrame, train: DataFrame, top_k: int = 2000,
                    sample: str = "sample_id", feature: str = "feature_id",
                    value: str = "value") -> DataFrame:
     """Features with the largest log2 variance among train samples; constant ones dropped."""
-    cells = expression.join(train.select(sample), sample, "left_semi")
-    stats = feature_statistics(cells, feature, value, log2p1_clipped)
+    stats = train_statistics(expression, train, sample, feature, value)
     return top_by_variance(stats, max(top_k, 1), feature, drop_constant=True)
 
 
@@ -90,13 +97,15 @@ def scaled_cells(expression: DataFrame, rows: DataFrame, selected: DataFrame,
 
     ``selected`` holds the train statistics; both sides are scaled with them.
     """
-    cells = expression.join(rows.select(sample, "is_test"), sample)
+    # few features are selected, so the samples are joined to what is left
     if standardize:
-        out = z_scores(cells, selected, feature, value, log2p1_clipped)
+        cells = z_scores(expression, selected, feature, value, log2p1_clipped)
     else:
-        out = cells.join(selected.select(feature), feature, "left_semi").withColumn(
+        ids = broadcast_if_small(selected.select(feature))
+        cells = expression.join(ids, feature, "left_semi").withColumn(
             "z", log2p1_clipped(F.col(value)))
-    return out.select(sample, feature, "is_test", F.col("z").alias("x"))
+    sides = broadcast_if_small(rows.select(sample, "is_test"))
+    return cells.join(sides, sample).select(sample, feature, "is_test", F.col("z").alias("x"))
 
 
 def split_report(rows: DataFrame, case: str = "case_id", event: str = "event") -> DataFrame:
@@ -156,9 +165,7 @@ def prepare_export(cohort: DataFrame, expression: DataFrame, top_k: int = 2000,
     dictionary = expression.select("feature_id").distinct().count()
     if not dictionary:
         raise ValueError("the matrix has no features")
-    stats = materialize(feature_statistics(
-        expression.join(train.select("sample_id"), "sample_id", "left_semi"),
-        "feature_id", "value", log2p1_clipped))
+    stats = materialize(train_statistics(expression, train))
     selected = materialize(top_by_variance(stats, max(top_k, 1), "feature_id", True))
     labels = rows.select(*[c for c in fixed.LABEL_COLUMNS if c in rows.columns], "is_test")
     manifest = {

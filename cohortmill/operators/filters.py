@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
 from cohortmill.functions.numbers import percent
+from cohortmill.session import broadcast_if_small
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "table") -> None:
@@ -130,7 +131,7 @@ def biotype_filter(expression: DataFrame, features: DataFrame, wanted: str,
         values = [r[0] for r in features.select(biotype).distinct().orderBy(biotype)
                   .limit(20).collect()]
         raise ValueError(f"biotype {wanted!r} leaves no feature; present: {values}")
-    return expression.join(kept, feature, "left_semi")
+    return expression.join(broadcast_if_small(kept.distinct()), feature, "left_semi")
 
 
 def biotype_report(features: DataFrame, wanted: str, biotype: str = "gene_type") -> DataFrame:
@@ -151,7 +152,8 @@ def feature_subset(expression: DataFrame, wanted: DataFrame,
         names = [str(r[0]) for r in missing]
         raise ValueError(f"features not in the matrix: {names[:5]}"
                          + ("..." if len(names) > 5 else ""))
-    return expression.join(wanted.select(feature), feature, "left_semi")
+    ids = broadcast_if_small(wanted.select(feature).distinct())
+    return expression.join(ids, feature, "left_semi")
 
 
 def missing_features(expression: DataFrame, wanted: DataFrame,

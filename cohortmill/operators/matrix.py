@@ -15,7 +15,8 @@ from cohortmill.operators.dedup import chosen_files
 from cohortmill.operators.filters import RNASEQ, Modality, biotype_filter, resolve_metric
 from cohortmill.operators.joins import files_to_samples, stem_map, unmapped_files
 from cohortmill.operators.ranges import ordinal_rank, quantiles
-from cohortmill.operators.survival import named_features
+from cohortmill.operators.survival import named_features, panel_cells
+from cohortmill.session import broadcast_if_small, materialize, written
 
 
 # ---- construction -----------------------------------------------------------------
@@ -49,25 +50,42 @@ def build_matrix(quantification: DataFrame, sheet: DataFrame, metric: str | None
     chosen = chosen_files(files_to_samples(totals, stems), duplicate_strategy)
     if biotype is not None:
         cells = biotype_filter(cells, features, biotype)
-    return cells.join(chosen.select("file", "sample_id"), "file").select(
-        "sample_id", "feature_id", "value"
-    )
+    picked = broadcast_if_small(chosen.select("file", "sample_id"))
+    return cells.join(picked, "file").select("sample_id", "feature_id", "value")
+
+
+def stored_matrix(expression: DataFrame, feature: str = "feature_id") -> DataFrame:
+    """The matrix as a parquet table kept feature by feature, for repeated feature statistics."""
+    return written(expression, feature)
 
 
 def matrix_checks(expression: DataFrame, sample: str = "sample_id", feature: str = "feature_id",
                   value: str = "value") -> DataFrame:
     """Per sample: features, repeated features, null and non-finite cells, and whether the
-    sample covers the whole feature dictionary."""
+    sample covers the whole feature dictionary.
+
+    A sample whose feature count and two hash sums equal those of the dictionary is complete;
+    only the cells of other samples are shuffled and counted per feature.
+    """
     x = F.col(value).cast("double")
-    cells = expression.groupBy(sample, feature).agg(
-        F.count("*").alias("n"), F.count_if(x.isNull()).alias("nulls"),
-        F.count_if(x.isNotNull() & finite(x).isNull()).alias("odd"),
-    )
-    dictionary = expression.agg(F.count_distinct(feature)).scalar()
-    return cells.groupBy(sample).agg(
-        F.count("*").alias("n_features"), F.sum(F.col("n") - 1).alias("n_repeated"),
-        F.sum("nulls").alias("n_null"), F.sum("odd").alias("n_non_finite"),
-    ).withColumn("complete", F.col("n_features") == dictionary)
+    marks = [F.sum(F.xxhash64(feature, F.lit(s)).cast("decimal(38,0)")).alias(f"h{s}")
+             for s in (1, 2)]
+    per_sample = materialize(expression.groupBy(sample).agg(
+        F.count("*").alias("n"), *marks, F.count_if(x.isNull()).alias("n_null"),
+        F.count_if(x.isNotNull() & finite(x).isNull()).alias("n_non_finite"),
+    ))
+    size, h1, h2 = expression.select(feature).distinct().agg(F.count("*"), *marks).first()
+    same = (F.col("n") == size) & (F.col("h1") == F.lit(h1)) & (F.col("h2") == F.lit(h2))
+    whole = per_sample.where(same).select(
+        sample, F.col("n").alias("n_features"), F.lit(0).cast("bigint").alias("n_repeated"),
+        F.lit(True).alias("complete"))
+    others = broadcast_if_small(per_sample.where(~same).select(sample))
+    counted = expression.select(sample, feature).join(others, sample, "left_semi").groupBy(
+        sample, feature).agg(F.count("*").alias("n")).groupBy(sample).agg(
+        F.count("*").alias("n_features"), F.sum(F.col("n") - 1).alias("n_repeated")
+    ).withColumn("complete", F.col("n_features") == F.lit(size))
+    return whole.unionByName(counted).join(
+        per_sample.select(sample, "n_null", "n_non_finite"), sample)
 
 
 def assert_matrix(expression: DataFrame, **columns) -> DataFrame:
@@ -157,7 +175,7 @@ def histogram(expression: DataFrame, bins: int = 80, value: str = "value",
         cells = cells.where(F.col("__x") <= cap)
     edges = cells.groupBy(*keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     if keys:
-        placed = cells.join(edges, keys)
+        placed = cells.join(broadcast_if_small(edges), keys)
     else:
         placed = cells.withColumn("__e", edges.select(F.struct("*")).scalar()).select(
             "*", "__e.*")
@@ -218,9 +236,9 @@ def top_by_variance(stats: DataFrame, k: int, feature: str = "feature_id",
 def z_scores(expression: DataFrame, stats: DataFrame, feature: str = "feature_id",
              value: str = "value", transform=log2p1) -> DataFrame:
     """Cells with ``z``; a feature without spread is only centred."""
-    scale = stats.select(
+    scale = broadcast_if_small(stats.select(
         feature, "mean", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("sd")
-    )
+    ))
     z = (transform(F.col(value)) - F.col("mean")) / F.col("sd")
     return expression.join(scale, feature).withColumn("z", z).drop("mean", "sd")
 
@@ -249,10 +267,8 @@ def marker_summary(expression: DataFrame, markers: Mapping[str, str] = fixed.MAR
                    feature: str = "feature_id", value: str = "value") -> DataFrame:
     """Median and median log2 of named features; absent ones keep a row."""
     names = named_features(expression, markers, feature)
-    cells = expression.join(
-        F.broadcast(names.where(F.col(feature).isNotNull()).select(feature)),  # marker list
-        feature, "left_semi",
-    ).withColumn("__log", log2p1(F.col(value)))
+    cells = panel_cells(expression, names.dropDuplicates([feature]), feature).withColumn(
+        "__log", log2p1(F.col(value)))
     raw = quantiles(cells, [feature], value, {"median": 0.5})
     logs = quantiles(cells, [feature], "__log", {"median_log2": 0.5})
     return (
@@ -265,10 +281,8 @@ def marker_summary(expression: DataFrame, markers: Mapping[str, str] = fixed.MAR
 def marker_boxes(expression: DataFrame, markers: Mapping[str, str], group: str,
                  feature: str = "feature_id", value: str = "value") -> DataFrame:
     """Box statistics of log2 values per marker and group."""
-    names = named_features(expression, markers, feature).where(F.col(feature).isNotNull())
-    cells = expression.join(F.broadcast(names.select("symbol", feature)), feature).withColumn(
-        "__log", log2p1(F.col(value))
-    )
+    names = named_features(expression, markers, feature)
+    cells = panel_cells(expression, names, feature).withColumn("__log", log2p1(F.col(value)))
     return quantiles(cells, ["symbol", group], "__log",
                      {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, count="n")
 

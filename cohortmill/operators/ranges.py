@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmill.session import range_count
+from cohortmill.session import broadcast_if_small, range_count
 
 RANGE = "value_range"
 
@@ -33,11 +33,9 @@ def with_value_range(df: DataFrame, value: str, ranges: int | None = None) -> Da
     return model.transform(df).withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[f"__{k}"])
-    return condition
+def _slot(keys: Sequence[str]) -> Column:
+    """Group and range as one value; structs compare null keys as equal."""
+    return F.struct(*[F.col(k) for k in [*keys, RANGE]]).alias("__slot")
 
 
 def running_sums(
@@ -50,29 +48,30 @@ def running_sums(
     """Inclusive running sums per group in the given order.
 
     ``df`` carries RANGE, and (keys, order) is unique in it. ``sums`` maps each new column
-    to the column it accumulates. RANGE must rise with the first order column.
+    to the column it accumulates. RANGE must rise with the first order column. The join with
+    the offsets and the windows share one partitioning by (group, range).
     """
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
     towards = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     range_first = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
+    columns = [F.col(c) for c in df.columns]
 
-    totals = df.groupBy(*keys, RANGE).agg(
+    slotted = df.select(*columns, _slot(keys))
+    totals = slotted.groupBy("__slot").agg(
         *[F.sum(source).alias(f"__{out}") for out, source in sums.items()]
-    )
+    ).select("__slot", "__slot.*", *[f"__{out}" for out in sums])
     before = Window.partitionBy(*keys).orderBy(range_first).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = totals.select(
-        *[F.col(k).alias(f"__{k}") for k in [*keys, RANGE]],
-        *[F.coalesce(F.sum(f"__{o}").over(before), F.lit(0)).alias(f"__{o}") for o in sums],
+        "__slot", *[F.coalesce(F.sum(f"__{o}").over(before), F.lit(0)).alias(f"__{o}") for o in sums]
     )
-    inside = Window.partitionBy(*keys, RANGE).orderBy(*towards).rowsBetween(
+    inside = Window.partitionBy("__slot").orderBy(*towards).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    joined = df.join(offsets, _null_safe_on(df, offsets, [*keys, RANGE]))
-    return joined.select(
-        *df.columns,
+    return slotted.join(offsets, "__slot").select(
+        *columns,
         *[(F.sum(s).over(inside) + F.col(f"__{o}")).alias(o) for o, s in sums.items()],
     )
 
@@ -104,8 +103,9 @@ def quantiles(
         df.select(*keys, F.col(value).cast("double").alias("__v"), one.alias("__n"))
         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     )
-    ranged = with_value_range(rows, "__v")
-    per_range = ranged.groupBy(*keys, RANGE).agg(F.sum("__n").alias("__n"))
+    ranged = with_value_range(rows, "__v").select(_slot(keys), "__v", "__n")
+    per_range = ranged.groupBy("__slot").agg(F.sum("__n").alias("__n")).select(
+        "__slot", "__slot.*", "__n")
 
     group = Window.partitionBy(*keys)
     upto = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +115,8 @@ def quantiles(
         for p in probabilities.values()
         for rank in (F.floor(last * F.lit(p)), F.ceil(last * F.lit(p)))
     ]))
-    spans = (
+    # at most two ranges per probability and group
+    spans = broadcast_if_small(
         per_range
         .withColumn("__upto", F.sum("__n").over(upto))
         .withColumn("__total", F.sum("__n").over(group))
@@ -125,31 +126,22 @@ def quantiles(
             F.filter(wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__upto"))),
         )
         .where(F.size("__ranks") > 0)
-        .select(
-            *[F.col(k).alias(f"__{k}") for k in [*keys, RANGE]],
-            "__before", "__ranks", "__total",
-        )
+        .select("__slot", "__before", "__ranks", "__total")
     )
-    hit = _null_safe_on(ranged, spans, [*keys, RANGE])
-    kept = ranged.join(spans, hit, "left_semi").groupBy(*keys, RANGE, "__v").agg(
+    kept = ranged.join(spans, "__slot", "left_semi").groupBy("__slot", "__v").agg(
         F.sum("__n").alias("__n")
     )
-    inside = Window.partitionBy(*keys, RANGE).orderBy("__v").rowsBetween(
+    inside = Window.partitionBy("__slot").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, 0
     )
     placed = (
-        kept.join(spans, _null_safe_on(kept, spans, [*keys, RANGE]))
+        kept.join(spans, "__slot")
         .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
         .withColumn("__start", F.col("__end") - F.col("__n"))
-        .withColumn(
-            "__rank",
-            F.explode(F.filter(
-                F.col("__ranks"),
-                lambda r: (r >= F.col("__start")) & (r < F.col("__end")),
-            )),
-        )
+        .select("__slot.*", "__total", "__v", F.explode(F.filter(
+            "__ranks", lambda r: (r >= F.col("__start")) & (r < F.col("__end"))
+        )).alias("__rank"))
     )
-    # at most two ranks per probability and group
     found = placed.groupBy(*keys).agg(
         F.max("__total").alias("__total"),
         F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"),

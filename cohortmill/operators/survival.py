@@ -18,6 +18,7 @@ from cohortmill.functions.identifiers import base_feature
 from cohortmill.functions.numbers import log2p1, ratio
 from cohortmill.functions.probability import chi2_sf, normal_cdf, normal_quantile
 from cohortmill.operators.ranges import quantiles
+from cohortmill.session import broadcast_if_small, materialize, written
 
 Z95 = normal_quantile(0.975)
 
@@ -253,12 +254,29 @@ def median_split(scores: DataFrame, keys: Sequence[str] = (), value: str = "valu
     return joined.withColumn(out, F.col(value) >= F.col("median_split"))
 
 
-def split_screen(expression: DataFrame, cohort: DataFrame, feature: str = "feature_id",
-                 value: str = "value", sample: str = "sample_id", time: str = "time",
-                 event: str = "event") -> DataFrame:
-    """Median split, log-rank test and high-group median survival for every feature at once."""
-    rows = expression.join(cohort.select(sample, time, event), sample)
-    medians = quantiles(rows, [feature], value, {"median_split": 0.5})
+def survival_cells(expression: DataFrame, cohort: DataFrame, feature: str = "feature_id",
+                   value: str = "value", sample: str = "sample_id", time: str = "time",
+                   event: str = "event") -> DataFrame:
+    """Cells of the cohort's samples with time and event, stored feature by feature.
+
+    Screening reads this table several times, a few columns each time, and counts per feature
+    shrink inside the tasks that read it.
+    """
+    times = broadcast_if_small(cohort.select(sample, time, event))
+    joined = expression.select(sample, feature, value).join(times, sample)
+    return written(joined, feature)
+
+
+def split_screen(expression: DataFrame, cohort: DataFrame | None = None,
+                 feature: str = "feature_id", value: str = "value", sample: str = "sample_id",
+                 time: str = "time", event: str = "event") -> DataFrame:
+    """Median split, log-rank test and high-group median survival for every feature at once.
+
+    Without ``cohort`` the expression already carries time and event (``survival_cells``).
+    """
+    rows = expression if cohort is None else survival_cells(
+        expression, cohort, feature, value, sample, time, event)
+    medians = broadcast_if_small(quantiles(rows, [feature], value, {"median_split": 0.5}))
     marked = rows.join(medians, feature).withColumn(
         "high", F.col(value) >= F.col("median_split"))
     tests = logrank_from_table(split_table(marked, "high", [feature], time, event),
@@ -289,27 +307,33 @@ def named_features(expression: DataFrame, panel: Mapping[str, str],
                    feature: str = "feature_id", ordinal: str | None = None) -> DataFrame:
     """Symbols with the matching feature id, versioned or not; null when absent.
 
-    Of several versions the first one (by ``ordinal``, else by id) is taken.
+    Of several versions the first one (by ``ordinal``, else by id) is taken. The conditions on
+    the id reach the parquet scan.
     """
     spark = expression.sparkSession
     names = spark.createDataFrame(list(panel.items()), "symbol string, base string")
-    order = F.min(ordinal or feature)
-    ids = expression.where(base_feature(F.col(feature)).isin(*panel.values()))
-    ids = ids.groupBy(feature).agg(order.alias("__order"))
+    match = F.col(feature).isin(*panel.values())
+    for base in panel.values():
+        match = match | F.col(feature).startswith(base + ".")
+    ids = expression.where(match).groupBy(feature).agg(F.min(ordinal or feature).alias("__order"))
     first = ids.groupBy(base_feature(F.col(feature)).alias("base")).agg(
         F.min_by(feature, F.struct("__order", feature)).alias(feature)
     )
-    return names.join(first, "base", "left")
+    return materialize(names.join(first, "base", "left"))
+
+
+def panel_cells(expression: DataFrame, names: DataFrame, feature: str = "feature_id") -> DataFrame:
+    """Cells of the named features with their symbol; the ids are a filter on the scan."""
+    found = names.where(F.col(feature).isNotNull()).select("symbol", feature)
+    ids = [r[feature] for r in found.collect()]  # as many as the panel has symbols
+    return expression.where(F.col(feature).isin(*ids)).join(F.broadcast(found), feature)
 
 
 def panel_screen(expression: DataFrame, cohort: DataFrame, panel: Mapping[str, str],
                  feature: str = "feature_id", **columns) -> DataFrame:
     """split_screen for named features; a missing one keeps its row with a note."""
     names = named_features(expression, panel, feature)
-    chosen = expression.join(
-        F.broadcast(names.where(F.col(feature).isNotNull()).select(feature)),  # panel-sized
-        feature, "left_semi",
-    )
+    chosen = panel_cells(expression, names.dropDuplicates([feature]), feature).drop("symbol")
     tests = split_screen(chosen, cohort, feature, **columns)
     return names.join(tests, feature, "left").withColumn(
         "note", F.when(F.col(feature).isNull(), "not in the matrix").otherwise("")
@@ -320,12 +344,9 @@ def feature_split_report(expression: DataFrame, cohort: DataFrame, symbol: str,
                          feature: str = "feature_id", sample: str = "sample_id") -> DataFrame:
     """Median split on one named feature."""
     names = named_features(expression, {symbol: base}, feature)
-    values = expression.join(
-        F.broadcast(names.where(F.col(feature).isNotNull()).select("symbol", feature)), feature
-    )
-    return split_report(
-        values.join(cohort.select(sample, "time", "event"), sample), "value"
-    ).withColumn("symbol", F.lit(symbol))
+    values = panel_cells(expression, names, feature)
+    rows = materialize(values.join(cohort.select(sample, "time", "event"), sample))
+    return split_report(rows, "value").withColumn("symbol", F.lit(symbol))
 
 
 def signature_score(expression: DataFrame, panel: Mapping[str, tuple[str, int]],
@@ -348,8 +369,8 @@ def panel_z_scores(expression: DataFrame, panel: Mapping[str, tuple[str, int]],
     signs = spark.createDataFrame(
         [(s, sign) for s, (_, sign) in panel.items()], "symbol string, sign int"
     )
-    chosen = names.where(F.col(feature).isNotNull()).join(signs, "symbol")
-    rows = expression.join(F.broadcast(chosen), feature).withColumn("x", log2p1(F.col(value)))
+    rows = panel_cells(expression, names, feature).join(F.broadcast(signs), "symbol").withColumn(
+        "x", log2p1(F.col(value)))
     stats = rows.groupBy(feature).agg(
         F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd")
     ).where(F.col("sd") > 0)
@@ -362,10 +383,9 @@ def signature_report(expression: DataFrame, cohort: DataFrame,
                      panel: Mapping[str, tuple[str, int]], sample: str = "sample_id",
                      **columns) -> DataFrame:
     scores = signature_score(expression, panel, sample=sample, **columns)
-    rows = scores.join(cohort.select(sample, "time", "event"), sample)
-    return split_report(rows, "score").withColumn(
-        "n_features", scores.agg(F.max("n_features")).scalar()
-    )
+    rows = materialize(scores.join(cohort.select(sample, "time", "event"), sample))
+    found = scores.agg(F.max("n_features"))
+    return split_report(rows, "score").withColumn("n_features", F.lit(found.first()[0]))
 
 
 # ---- sensitivity ------------------------------------------------------------------

@@ -24,7 +24,10 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", out: str = "q_value
     q = suffix_minimum(scaled, "__p", "__ratio", "__q").select(
         "__p", F.least(F.col("__q"), F.lit(1.0)).alias(out)
     )
-    return tests.join(q, F.when(usable, F.col(p).cast("double")) == q["__p"], "left").drop("__p")
+    # unknown p-values get keys below zero, which match nothing and spread over the tasks
+    spread = -1.0 - F.pmod(F.xxhash64(*tests.columns), F.lit(10_000))
+    key = F.when(usable, F.col(p).cast("double")).otherwise(spread)
+    return tests.join(q, key == q["__p"], "left").drop("__p")
 
 
 def multiple_testing(tests: DataFrame, p: str = "p_value",

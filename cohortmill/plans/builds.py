@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortmill.functions import fixed
 from cohortmill.operators import aggregates, cox, filters, joins, matrix, survival, testing
 from cohortmill.operators.components import pca
+from cohortmill.session import broadcast_if_small
 
 
 def survival_cohort(samples: DataFrame, sheet: DataFrame, clinical: DataFrame,
@@ -49,7 +50,8 @@ def survival_dataset(expression: DataFrame, sheet: DataFrame, clinical: DataFram
         empty = [r["column"] for r in problems if r["level"] == "error"]
         if empty:
             raise ValueError(f"covariates are nearly empty: {empty}; rebuild the clinical table")
-    return cohort, cells.join(cohort.select("sample_id").distinct(), "sample_id", "left_semi")
+    kept = broadcast_if_small(cohort.select("sample_id").distinct())
+    return cohort, cells.join(kept, "sample_id", "left_semi")
 
 
 def build_funnel(samples: DataFrame, sheet: DataFrame, clinical: DataFrame,

@@ -10,13 +10,13 @@ from cohortmill.operators import export as E
 from cohortmill.operators import readiness as R
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
-from cohortmill.session import materialize
+from cohortmill.session import materialize, written
 
 SEED, SHARE, TOP = 7, 0.25, 10
 
 
 def _matrix(spark, sf_dir):
-    return materialize(A.expression(spark, sf_dir))
+    return written(A.expression(spark, sf_dir), "feature_id")
 
 
 def _cohort(spark, sf_dir):

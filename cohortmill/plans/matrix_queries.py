@@ -12,11 +12,10 @@ from cohortmill.operators import matrix as M
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
-from cohortmill.session import materialize
 
 
 def _matrix(spark, sf_dir):
-    return materialize(A.expression(spark, sf_dir))
+    return M.stored_matrix(A.expression(spark, sf_dir))
 
 
 def _embedding(spark, sf_dir):

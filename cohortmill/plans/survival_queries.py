@@ -13,7 +13,7 @@ from cohortmill.operators import testing as T
 from cohortmill.plans import adapters as A
 from cohortmill.plans import builds
 from cohortmill.plans.catalog import query
-from cohortmill.session import materialize
+from cohortmill.session import materialize, written
 
 Z = "1.959963984540054"
 # upper tail of the normal distribution by Simpson's rule, since SQL has no erf
@@ -194,7 +194,7 @@ def _split_columns(df, *keys):
 
 
 def _matrix(spark, sf_dir):
-    return materialize(A.expression(spark, sf_dir))
+    return written(A.expression(spark, sf_dir), "feature_id")
 
 
 @query("split_screen_all_features", _SPLIT_SQL + f""" select feature_id,

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "cohortmill", master: str | None = None, **conf) -> SparkSession:
@@ -18,8 +20,8 @@ def build_session(app: str = "cohortmill", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # per-feature sketches stay hash-based up to this many keys per task
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+        # keeps all cores busy on small inputs; large ones follow the advisory size
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -54,6 +56,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *cluster_by: str) -> DataFrame:
+    """The rows as a parquet table in the shared folder, read back with column pruning.
+
+    ``cluster_by`` keeps equal values together, so later aggregates by them shrink before
+    they are shuffled. The rebalance hint lets Spark split a value that holds many rows.
+    """
+    if cluster_by:
+        df = df.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(
+            *cluster_by)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, computed once, with a broadcast hint when its measured size is within ``limit``.
+
+    Spark cannot know the size of an aggregate before it runs and would shuffle the large side
+    of a join for it. Above the limit the join is left to Spark (sort-merge with skew splits).
+    """
+    kept = materialize(df)
+    texts = [f.name for f in kept.schema if f.dataType.simpleString() == "string"]
+    text_bytes = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in texts), F.lit(0))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(text_bytes), F.lit(0))).first()
+    return F.broadcast(kept) if rows * 16 * len(kept.columns) + size <= limit else kept
+
+
 def range_count(df: DataFrame) -> int:
     """How many value ranges an ordered operator splits its input into."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
