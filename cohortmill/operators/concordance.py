@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions.numbers import ratio
 from cohortmill.operators.ranges import running_sums, with_value_range
+from cohortmill.session import materialize
 
 
 def _later(node: tuple[str, ...], time: str, total: str, censored: str):
@@ -40,7 +41,7 @@ def concordance_counts(rows: DataFrame, risk: str = "risk", time: str = "time",
     """One row: comparable pairs, concordant pairs and pairs tied in risk."""
     usable = rows.where(F.col(risk).isNotNull() & F.col(time).isNotNull()
                         & F.col(event).isNotNull())
-    ranked = risk_ranks(usable, risk, time, event)
+    ranked = materialize(risk_ranks(usable, risk, time, event))
 
     same = ranked.withColumn("__c", F.col("n") - F.col("d"))
     tied = same.withColumn("later", _later(("rank",), time, "n", "__c")).agg(

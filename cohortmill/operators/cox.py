@@ -236,7 +236,7 @@ def panel_columns(expression: DataFrame, panel: Mapping[str, tuple[str, int]],
 
     Returns the wide table, its columns and the symbols that are absent or constant.
     """
-    z = panel_z_scores(expression, panel, sample=sample, **columns)
+    z = materialize(panel_z_scores(expression, panel, sample=sample, **columns))
     present = {r[0] for r in z.select("symbol").distinct().collect()}  # panel-sized
     symbols = [s for s in panel if s in present]
     wide = z.groupBy(sample).pivot("symbol", symbols).agg(F.first("z"))

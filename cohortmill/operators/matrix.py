@@ -40,9 +40,9 @@ def build_matrix(quantification: DataFrame, sheet: DataFrame, metric: str | None
         F.col(file).alias("file"), F.col(feature).alias("feature_id"),
         F.col(metric).alias("value"),
     )
-    totals = file_totals(cells).withColumn(
+    totals = materialize(file_totals(cells).withColumn(
         "stem", file_stem(F.col("file"), modality.file_suffixes)
-    )
+    ))
     stems = stem_map(sheet, modality.file_suffixes)
     lost = [r[0] for r in unmapped_files(totals, stems).limit(5).collect()]
     if lost:
@@ -140,9 +140,10 @@ def whole_valued(expression: DataFrame, value: str = "value", feature: str = "fe
                  first: int = 50) -> DataFrame:
     """Whether the finite values of the first features (by id) are whole numbers."""
     probe = expression.select(feature).distinct().orderBy(feature).limit(first)
+    ids = [r[0] for r in probe.collect()]  # at most ``first``
     x = finite(F.col(value))
     near = F.abs(x - F.rint(x)) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.rint(x))
-    return expression.join(F.broadcast(probe), feature, "left_semi").agg(  # at most `first` ids
+    return expression.where(F.col(feature).isin(*ids)).agg(
         F.coalesce(F.bool_and(near), F.lit(False)).alias("whole")
     )
 
@@ -252,9 +253,12 @@ def eta_squared(rows: DataFrame, value: str, group: str, keys: Sequence[str] = (
         F.count("*").alias("n"), F.avg("__x").alias("m"), F.var_pop("__x").alias("v"),
     )
     n, m = F.col("n"), F.col("m")
-    groups = Window.partitionBy(*keys)  # one row per group
-    gap = m - F.sum(n * m).over(groups) / F.sum(n).over(groups)
-    parts = per_group.withColumn("gap", gap).groupBy(*keys).agg(
+    if keys:
+        groups = Window.partitionBy(*keys)  # one row per group
+        grand = F.sum(n * m).over(groups) / F.sum(n).over(groups)
+    else:
+        grand = per_group.agg(F.sum(n * m) / F.sum(n)).scalar()
+    parts = per_group.withColumn("gap", m - grand).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum(n * F.col("v")).alias("within"),
         F.sum(n * F.col("gap") * F.col("gap")).alias("between"),
     )

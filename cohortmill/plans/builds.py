@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortmill.functions import fixed
 from cohortmill.operators import aggregates, cox, filters, joins, matrix, survival, testing
 from cohortmill.operators.components import pca
-from cohortmill.session import broadcast_if_small
+from cohortmill.session import broadcast_if_small, materialize
 
 
 def survival_cohort(samples: DataFrame, sheet: DataFrame, clinical: DataFrame,
@@ -35,8 +35,8 @@ def survival_dataset(expression: DataFrame, sheet: DataFrame, clinical: DataFram
     by a semi join. ``check`` raises on samples without a sheet row, an empty result or an
     empty covariate.
     """
-    samples = expression.select("sample_id").distinct()
-    cohort = survival_cohort(samples, sheet, clinical, **options)
+    samples = materialize(expression.select("sample_id").distinct())
+    cohort = materialize(survival_cohort(samples, sheet, clinical, **options))
     cells = expression
     if features is not None:
         cells = filters.feature_subset(cells, features)

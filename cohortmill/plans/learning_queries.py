@@ -160,10 +160,13 @@ def export_labels(spark, sf_dir):
     return E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED).labels
 
 
-@query("export_x_test")
+@query("export_x_test", f"""with {_SPLIT}, c as (select sample_id, feature_id,
+  round((x - mu) / sd, 5) as x from lx join sel using (feature_id) where is_test)
+pivot c on feature_id using first(x) group by sample_id""")
 def export_x_test(spark, sf_dir):
     made = E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED)
-    return made.x(True)
+    x = made.x(True)
+    return x.select("sample_id", *[rounded(F.col(c), 5).alias(c) for c in x.columns[1:]])
 
 
 @query("one_sample_per_case", f"""with {A.SHEET_SQL}, {A.PROFILE_SQL},

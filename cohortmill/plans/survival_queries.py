@@ -429,9 +429,17 @@ def cox_clinical_effects(spark, sf_dir):
         "direction")
 
 
-@query("cox_clinical_summary")
+@query("cox_clinical_summary", f"""{_MODEL_SQL}, {_newton_sql()}, {_moment_sql('f', 'beta7')},
+rk as (select time, event, b0 * x0 + b1 * x1 + b2 * x2 risk from x, beta7),
+pr as (select a.risk ra, b.risk rb from rk a join rk b
+  on a.event and (b.time > a.time or (b.time = a.time and not b.event)))
+select 'clinical' as model, round((select (count(*) filter (ra > rb) + 0.5 * count(*) filter
+  (ra = rb)) / count(*) from pr), 5) as c_index, 0.0::double as penalizer,
+  (select count(*) from x) as n, (select count(*) filter (event) from x) as n_events,
+  round((select ll from momf), 5) as log_likelihood""")
 def cox_clinical_summary(spark, sf_dir):
-    return C.clinical_report(_cohort(spark, sf_dir))[1]
+    return C.clinical_report(_cohort(spark, sf_dir))[1].withColumns({
+        c: rounded(F.col(c), 5) for c in ("c_index", "log_likelihood")})
 
 
 @query("cox_panel_effects")
