@@ -14,7 +14,7 @@ from cohortmill.functions.numbers import finite, log2p1_clipped
 from cohortmill.operators.dedup import deepest_sample_per_case
 from cohortmill.operators.matrix import feature_statistics, top_by_variance, z_scores
 from cohortmill.operators.ranges import RANGE, running_sums
-from cohortmill.session import broadcast_if_small, materialize, range_count
+from cohortmill.session import broadcast_if_small, materialize, range_count, written
 
 HASH_DIGITS = 12  # 48 bits, exact in a double
 
@@ -189,7 +189,8 @@ def prepare_export(cohort: DataFrame, expression: DataFrame, top_k: int = 2000,
                   "seed": seed, **report},
         "model_advice": list(MODEL_ADVICE),
     }
-    cells = scaled_cells(expression, rows, selected, standardize)
+    # read by both sides; the matrix is scanned once for it
+    cells = written(scaled_cells(expression, rows, selected, standardize), "sample_id")
     return Export(cells, labels, selected, manifest)
 
 

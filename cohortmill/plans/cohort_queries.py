@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions import clinical as FC
@@ -16,7 +18,8 @@ from cohortmill.operators import quality as Q
 from cohortmill.plans import adapters as A
 from cohortmill.plans import builds
 from cohortmill.plans.catalog import query
-from cohortmill.sources import tables
+from cohortmill.session import checkpoint_dir
+from cohortmill.sources import sinks, tables
 
 
 def _clinical(spark, sf_dir):
@@ -897,6 +900,18 @@ def quality_issues(spark, sf_dir):
         for k in ("sample_id", "file_stem", "case_id", "count")])
 
 
+@query("quality_report_file", f"""with {_QC} select severity, category, message, sample_id,
+  case_id from issues""")
+def quality_report_file(spark, sf_dir):
+    """The issue report as JSON, read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/issues-{uuid.uuid4().hex}"
+    sinks.write_issue_report(_issues(spark, sf_dir), path)
+    return spark.read.schema(
+        "severity string, category string, message string, context map<string,string>"
+    ).json(path).select("severity", "category", "message", *[
+        F.try_element_at("context", F.lit(k)).alias(k) for k in ("sample_id", "case_id")])
+
+
 @query("quality_counts", f"""with {_QC}
 select severity, category, count(*) as n from issues group by 1, 2""")
 def quality_counts(spark, sf_dir):

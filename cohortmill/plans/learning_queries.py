@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions.numbers import rounded
@@ -10,7 +12,8 @@ from cohortmill.operators import export as E
 from cohortmill.operators import readiness as R
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
-from cohortmill.session import materialize, written
+from cohortmill.session import checkpoint_dir, materialize, written
+from cohortmill.sources import sinks
 
 SEED, SHARE, TOP = 7, 0.25, 10
 
@@ -169,6 +172,21 @@ def export_x_test(spark, sf_dir):
     return x.select("sample_id", *[rounded(F.col(c), 5).alias(c) for c in x.columns[1:]])
 
 
+@query("export_bundle", f"""with {_SPLIT}, c as (select lx.sample_id, time, event, feature_id,
+  round((x - mu) / sd, 5) as x from lx join sel using (feature_id)
+  join rs on rs.sample_id = lx.sample_id where not lx.is_test)
+pivot c on feature_id using first(x) group by sample_id, time, event""")
+def export_bundle(spark, sf_dir):
+    """The train tables of a written bundle, read back."""
+    made = E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    sinks.write_export(made, folder)
+    x = spark.read.parquet(f"{folder}/X_train.parquet")
+    y = spark.read.parquet(f"{folder}/y_train.parquet").select("sample_id", "time", "event")
+    return x.select("sample_id", *[rounded(F.col(f"`{c}`"), 5).alias(c) for c in x.columns[1:]]).join(
+        y, "sample_id")
+
+
 @query("one_sample_per_case", f"""with {A.SHEET_SQL}, {A.PROFILE_SQL},
 t as (select sample_id, case_id, sum(value) total from profile join sheet using (sample_id)
   group by 1, 2)

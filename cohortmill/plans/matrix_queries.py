@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortmill.functions import fixed
-from cohortmill.functions import identifiers as FI
-from cohortmill.functions.numbers import log2p1, rounded
+from cohortmill.functions.clinical import with_model_columns
+from cohortmill.functions.numbers import rounded
 from cohortmill.operators import components as K
 from cohortmill.operators import matrix as M
 from cohortmill.operators.filters import MIRNA, RNASEQ
@@ -280,7 +279,6 @@ select symbol, stage_group, count(*) as n, round(min(v), 6) as low,
   round(quantile_cont(v, 0.25), 6) as q1, round(quantile_cont(v, 0.5), 6) as median,
   round(quantile_cont(v, 0.75), 6) as q3, round(max(v), 6) as high from x group by 1, 2""")
 def marker_boxes(spark, sf_dir):
-    from cohortmill.functions.clinical import with_model_columns
     groups = with_model_columns(A.cohort(spark, sf_dir)).select("sample_id", "stage_group")
     cells = _matrix(spark, sf_dir).join(groups, "sample_id")
     return M.marker_boxes(cells, A.MARKERS, "stage_group").withColumns(
@@ -370,6 +368,37 @@ def pca_variance(spark, sf_dir):
                         rounded(F.sum(share * share), 5).alias("sum_of_squares"))
 
 
+def _deflation_sql(components: int, steps: int) -> str:
+    """Power iteration on matrix c1(m) with deflation; gives e{k}(v, l) per component."""
+    parts = []
+    for k in range(1, components + 1):
+        parts.append(f"""i{k} as (select 0 as k, [cos(x * {k}.7) for x in range(len(m))] as v
+    from c{k}
+  union all select k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) from (
+    select i{k}.k, list_transform(m, lambda r: list_dot_product(r, v)) as w from i{k}, c{k}
+    where i{k}.k < {steps})),
+e{k} as (select v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) as l
+  from i{k}, c{k} where k = {steps}),
+c{k + 1} as (select [[m[a][b] - l * v[a] * v[b] for b in range(1, len(m) + 1)]
+  for a in range(1, len(m) + 1)] as m from c{k}, e{k})""")
+    return ",\n".join(parts)
+
+
+@query("pca_leading_shares", f"""with recursive {A.EMBEDDING_SQL},
+st as (select feature_id, avg(value) mu, stddev_pop(value) sd from emb group by 1),
+z as (select sample_id, feature_id, (value - mu) / sd z from emb join st using (feature_id)),
+cc as (select a.feature_id i, b.feature_id j, avg(a.z * b.z) c from z a join z b
+  on a.sample_id = b.sample_id group by 1, 2),
+cr as (select i, list(c order by j) r from cc group by 1),
+c1 as (select list(r order by i) m from cr),
+{_deflation_sql(2, 600)}
+select 1 as pc, round(100 * l / 64, 4) as var_pct from e1
+union all select 2, round(100 * l / 64, 4) from e2""")
+def pca_leading_shares(spark, sf_dir):
+    variance, _ = K.pca(_embedding(spark, sf_dir), 2, 64, transform=_identity)
+    return variance.select("pc", rounded(F.col("var_pct"), 4).alias("var_pct"))
+
+
 @query("pca_components")
 def pca_components(spark, sf_dir):
     return K.pca(_matrix(spark, sf_dir), 5)[0]

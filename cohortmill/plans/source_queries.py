@@ -105,6 +105,17 @@ def feature_dimension(spark, sf_dir):
     return QF.feature_dimension(rows)
 
 
+@query("metric_from_parquet", """select l_suppkey::varchar as file, l_partkey as feature_id,
+  sum(l_quantity) as value from lineitem group by 1, 2""")
+def metric_from_parquet(spark, sf_dir):
+    path = _folder(spark, "parsed")
+    rows = A.table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").cast("string").alias("file"), F.col("l_partkey").alias("gene_id")).agg(
+        F.sum("l_quantity").alias("unstranded"), F.sum("l_extendedprice").alias("tpm_unstranded"))
+    QF.write_long(rows, path)
+    return QF.read_metric(spark, path, "gene_id", "unstranded")
+
+
 # ---- nested documents -----------------------------------------------------------------
 
 @query("flatten_cases", """with o as (select 'C' || o_orderkey as id, o_orderstatus as s,

@@ -45,11 +45,12 @@ def read_text_table(spark: SparkSession, path: str, comment: str | None = None)
 
 # ---- sample sheet -----------------------------------------------------------------
 
-def sheet_rows(raw: DataFrame) -> DataFrame:
+def sheet_rows(raw: DataFrame, *keep: str) -> DataFrame:
     """Renamed sheet columns with the sample code and the tumor flag."""
     require_columns(raw, SHEET_NAMES, "sample sheet")
-    rows = raw.select(*[F.col(f"`{old}`").alias(new) for old, new in SHEET_NAMES.items()])
-    return FC.nullify(rows, fixed.SHEET_NULLS).withColumns({
+    names = list(SHEET_NAMES.values())
+    rows = raw.select(*[F.col(f"`{old}`").alias(new) for old, new in SHEET_NAMES.items()], *keep)
+    return FC.nullify(rows, fixed.SHEET_NULLS, names).withColumns({
         "tcga_sample_code": FI.sample_code(F.col("sample_id")),
         "is_tumor": F.col("tissue_type") == "Tumor",
     })
@@ -71,9 +72,7 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     raw = read_text_table(spark, path).withColumn("position", F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
         F.monotonically_increasing_id()))
-    rows = sheet_rows(raw).columns
-    out = sheet_rows(raw.select(*SHEET_NAMES, "position")).select(*rows)
-    positions = raw.select(F.col("`File ID`").alias("file_id"), "position")
+    out = sheet_rows(raw, "position")
     bad = out.withColumn("problem", F.explode(sheet_problems())).groupBy("problem").agg(
         F.count("*").alias("n"), F.min("file_id").alias("example")).collect()
     if bad:
@@ -83,7 +82,7 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"sample sheet {path}: repeated file_id {[r[0] for r in repeated]}")
     if out.isEmpty():
         raise ValueError(f"sample sheet {path} has no rows")
-    return out.join(positions, "file_id")
+    return out
 
 
 def sheet_from_metadata(metadata: DataFrame, project: str) -> DataFrame:

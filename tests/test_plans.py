@@ -37,6 +37,10 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan
 
 
+def test_examples_are_limited_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(QUERIES["mismatch_summary"](spark, SF))
+
+
 def test_panel_ids_reach_the_scan(spark, tmp_path):
     from pyspark.sql import functions as F
 
