@@ -303,8 +303,8 @@ def metric_comparison(counts: DataFrame, other: DataFrame, names: DataFrame, fir
 
     both = two(counts, "counts").join(two(other, "other"), feature)
     return names.select(feature, name).join(both, feature).withColumns({
-        "ratio_counts": F.round(ratio(F.col("counts_first"), F.col("counts_second")), 2),
-        "ratio_other": F.round(ratio(F.col("other_first"), F.col("other_second")), 2),
+        "ratio_counts": ratio(F.col("counts_first"), F.col("counts_second")),
+        "ratio_other": ratio(F.col("other_first"), F.col("other_second")),
     })
 
 

@@ -289,7 +289,7 @@ def marker_boxes(spark, sf_dir):
   sum(l_extendedprice) p from lineitem join part on p_partkey = l_partkey group by 1, 2)
 select a.f as feature_id, 'name of ' || a.f as feature_name, a.q as counts_first,
   b.q as counts_second, round(a.p, 2) as other_first, round(b.p, 2) as other_second,
-  round(a.q / b.q, 2) as ratio_counts, round(a.p / b.p, 2) as ratio_other
+  round(a.q / b.q, 6) as ratio_counts, round(a.p / b.p, 6) as ratio_other
 from c a join c b on a.f = b.f and a.s = 3 and b.s = 4""")
 def metric_comparison(spark, sf_dir):
     items = A.table(spark, sf_dir, "lineitem").join(
@@ -302,7 +302,8 @@ def metric_comparison(spark, sf_dir):
     names = A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature_id")).distinct()
     names = names.withColumn("feature_name", F.concat(F.lit("name of "), "feature_id"))
     out = M.metric_comparison(cells("l_quantity"), cells("l_extendedprice"), names, 3, 4)
-    return out.withColumns({c: rounded(F.col(c), 2) for c in ("other_first", "other_second")})
+    return out.withColumns({c: rounded(F.col(c), 2) for c in ("other_first", "other_second")} | {
+        c: rounded(F.col(c)) for c in ("ratio_counts", "ratio_other")})
 
 
 @query("biotype_distribution", """select p_type as gene_type, count(*) as n,
