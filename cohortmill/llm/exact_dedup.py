@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import stored, text_or_empty
+from cohortmill.llm.common import partitions, stored, text_or_empty
 
 BLANKS = " \t\n\u000b\f\r"
 TABLE_BYTES = 48 * 1024 * 1024
@@ -135,7 +135,7 @@ def combine(batches: Iterator[pa.RecordBatch], table_bytes: int = TABLE_BYTES
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Representatives sorted by bucket to (rep, keep_rep, keep_id, group_size)."""
+    """Representatives, bucket after bucket, to (rep, keep_rep, keep_id, group_size)."""
     schema = pa.schema([("rep", pa.int64()), ("keep_rep", pa.int64()), ("keep_id", pa.int64()),
                         ("group_size", pa.int64())])
     bucket, table, groups, members = None, ContentTable(), [], []
@@ -191,7 +191,7 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while True:
         sizes = left.groupBy("digest").agg(F.max("bytes").alias("bytes"))
         total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        buckets = max(2 * -(-total // table_bytes), 1)
+        buckets = max(2 * -(-total // table_bytes), partitions(spark))
 
         def bucket(digest, level=level, buckets=buckets):
             return F.pmod(F.xxhash64(digest, F.lit(level)), F.lit(buckets))
@@ -202,10 +202,8 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         spread = left.withColumn("bucket", bucket(F.col("digest")))
         over = [r[0] for r in large.select("bucket").limit(1).collect()]
         fitting = spread.join(large, "bucket", "left_anti") if over else spread
-        at_least = max(int(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
         found.append(fitting.select("bucket", "rep", "digest", "content", "n", "best_chars", "best_id")
-                     .repartition(at_least, "bucket", F.substring("digest", 1, 2))
-                     .sortWithinPartitions("bucket")
+                     .repartitionById(buckets, F.col("bucket").cast("int"))
                      .mapInArrow(resolve, RESOLVED))
         if not over:
             break

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import mixing, url_filter
+from cohortmill.llm import bpe, exact_dedup, mixing, url_filter
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import table
-from cohortmill.llm.sql import MIXED, URLS
+from cohortmill.llm.sql import EXACT, MIXED, URLS
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -25,3 +32,17 @@ def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_source_mixing", MIXED)
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_bpe", None)
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.encode(docs, tokenizer_path()).drop("text")
+    return bpe.decode(tokens, tokenizer_path()).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_exact_dedup", EXACT)
+def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decisions(table(spark, sf_dir, "documents"))

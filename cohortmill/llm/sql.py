@@ -87,3 +87,12 @@ select d.*, rate, i::int as copy, md5(concat_ws(':', '17', 'order', coalesce(d.d
 from documents d join copies c on d.doc_id is not distinct from c.doc_id and d.source is not distinct from c.source,
   range(1, copies + 1) as t(i)
 """
+
+EXACT = r"""
+with norm as (select doc_id, length(coalesce(text, '')) as chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as content from documents),
+ranked as (select doc_id, content, count(*) over (partition by content) as group_size,
+    first_value(doc_id) over (partition by content order by chars desc, doc_id nulls last) as keep_id from norm)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
+  sha256(content) as text_sha256 from ranked
+"""
