@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import bpe, exact_dedup, mixing, url_filter
+from cohortmill.llm import bpe, exact_dedup, mixing, url_filter, warc
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import table
-from cohortmill.llm.sql import EXACT, MIXED, URLS
+from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, URLS
 
 
 def tokenizer_path() -> str:
@@ -46,3 +46,14 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_exact_dedup", EXACT)
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc", ARCHIVED)
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    records = warc.read(archives)
+    stored_digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256))
+    return records.select(
+        "page_id", "payload_bytes",
+        F.coalesce(stored_digest, F.col("payload_digest")).alias("payload_digest"),
+        "record_type", "refers_to")

@@ -96,3 +96,14 @@ ranked as (select doc_id, content, count(*) over (partition by content) as group
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
   sha256(content) as text_sha256 from ranked
 """
+
+ARCHIVED = """
+with bodies as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+    sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first
+  from bodies)
+select page_id, payload_bytes, payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when first is not null and page_id is distinct from first then first end as refers_to
+from firsts
+"""
