@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import bpe, exact_dedup, mixing, url_filter, warc
+from cohortmill.llm import bpe, exact_dedup, mixing, ngram_join, url_filter, warc
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import table
-from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, URLS
+from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, NEAR, URLS
 
 
 def tokenizer_path() -> str:
@@ -57,3 +57,8 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes",
         F.coalesce(stored_digest, F.col("payload_digest")).alias("payload_digest"),
         "record_type", "refers_to")
+
+
+@query("op9_ngram_join", NEAR)
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))

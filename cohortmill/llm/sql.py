@@ -107,3 +107,20 @@ select page_id, payload_bytes, payload_digest,
   case when first is not null and page_id is distinct from first then first end as refers_to
 from firsts
 """
+
+NEAR = r"""
+with recursive words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) end as s from words),
+classed as (select doc_id, s, len(s) as size,
+    case when len(s) = 0 then doc_id else min(doc_id) over (partition by s) end as class_id,
+    case when len(s) = 0 then 1 else count(*) over (partition by s) end as class_size from sets),
+items as materialized (select doc_id, size, unnest(s) as item from classed where doc_id = class_id),
+pairs as materialized (select a.doc_id as x, b.doc_id as y from items a join items b on a.item = b.item and a.doc_id <> b.doc_id
+    and least(a.size, b.size) * 5 >= greatest(a.size, b.size) * 4
+    group by a.doc_id, b.doc_id, a.size, b.size having count(*) * 9 >= 4 * (a.size + b.size)),
+reach as (select x, y from pairs union select r.x, p.y from reach r join pairs p on p.x = r.y)
+select doc_id, class_id, class_size, (select count(*) from pairs where x = class_id) as n_links,
+  least(class_id, coalesce((select min(y) from reach where x = class_id), class_id)) as group_id
+from classed
+"""
