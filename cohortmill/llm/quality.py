@@ -30,6 +30,7 @@ TERMS = WORD_TERMS + SHAPE_TERMS
 KINDS = ("capitals", "marks", "letterless", "digits")
 STEPS = np.array([0.03, 0.1, 0.2, 0.4])
 STEP_WEIGHT = 0.4
+ADDED_WORDS = 15
 SHARES = (len(KINDS) + 1) * len(STEPS)
 SAMPLE = 6000
 RANK = 48
@@ -76,13 +77,14 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32), np.zeros(SHARES, np.float32)
     codes = np.fromiter(map(terms_of_words().__getitem__, words), np.int64, len(words))
-    shares = [(codes[1:] == codes[:-1]).mean() if len(codes) > 1 else 0.0]
     kinds = codes % (1 << len(KINDS))
-    shares += [(kinds >> i & 1).mean() for i in range(len(KINDS))]
+    # the added words keep one chance repeat in a short text from looking like a habit
+    shares = np.array([(codes[1:] == codes[:-1]).sum(), *((kinds >> i & 1).sum() for i in range(len(KINDS)))]
+                      ) / (len(codes) + ADDED_WORDS)
     terms = codes >> len(KINDS)
     counts = np.bincount(terms // TERMS, minlength=TERMS) + np.bincount(terms % TERMS, minlength=TERMS)
     found = np.flatnonzero(counts)
-    steps = (np.array(shares)[:, None] >= STEPS).ravel().astype(np.float32)
+    steps = (shares[:, None] >= STEPS).ravel().astype(np.float32)
     return found, (1 + np.log(counts[found])).astype(np.float32), steps
 
 

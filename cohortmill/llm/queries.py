@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, url_filter, vp_search, warc
+from cohortmill.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter, vp_search, warc
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import table
 from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, NEAR, NEAREST, URLS
@@ -89,3 +89,11 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"),
         F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_pii")
+def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).drop("text")
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS],
+                        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
