@@ -220,8 +220,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     width = len(features("1", ("ip", 0, 1)))
     hinted = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).where(
         F.col("text").rlike(r"@|[0-9][0-9 ().-]{7,}[0-9]")).select(
-        F.xxhash64("id", "text").alias("order"), "text")
-    chosen = hinted.orderBy("order").limit(sample)
+        F.xxhash64("id", F.substring("text", 1, 1000)).alias("order"), "text")
+    # the sample is chosen by key alone, so texts that are not in it do not move
+    keys = hinted.select("order").distinct().orderBy("order").limit(sample)
+    chosen = hinted.join(F.broadcast(keys), "order").dropDuplicates(["order"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
                         "order": [order], "x": [np.array([f for f, _ in found], np.float32).tobytes()],
                         "y": [np.array([y for _, y in found], np.int8).tobytes()]})
 
-    rows = chosen.repartition(8, "order").mapInArrow(run, "order long, x binary, y binary").collect()
+    rows = chosen.mapInArrow(run, "order long, x binary, y binary").collect()
     rows.sort(key=lambda r: (r["order"], r["x"]))
     if not rows:
         return None
