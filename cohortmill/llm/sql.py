@@ -55,10 +55,11 @@ levels as (
   from texts join scores using (text) where not trains and action is not null group by 1),
 gains as (
   select level, round(sum(a) over (order by level desc)::double / (select sum(a) from levels)
-    - sum(b) over (order by level desc)::double / (select sum(b) from levels), 9) as gain from levels),
+    - sum(b) over (order by level desc)::double / (select sum(b) from levels), 9) as gain,
+    floor((level + coalesce(lead(level) over (order by level desc), level)) / 2.0)::bigint as cut from levels),
 chosen as (
   select coalesce((select case when (select sum(a) from levels) > 0 and (select sum(b) from levels) > 0
-    then (select level from gains order by gain desc, level limit 1) end), 0) as threshold)
+    then (select cut from gains order by gain desc, level limit 1) end), 0) as threshold)
 select page_id, host, path, rule,
   coalesce(action, case when score >= threshold then 'allow' else 'block' end) as verdict,
   score, threshold

@@ -91,8 +91,8 @@ def calibrated(scores: DataFrame) -> int:
     """The lowest per-character score, in thousandths of a nat, that counts as accepted.
 
     ``scores`` has ``level`` (whole thousandths) and ``accepted``. Of all levels the one with the
-    largest difference of accepted and rejected shares at or above it wins, ties to the lowest.
-    Zero when either kind is missing. Levels are few: the log ratios are bounded.
+    largest difference of accepted and rejected shares at or above it wins, ties to the lowest, and
+    the threshold lies halfway between it and the next lower level that occurs. Zero when either kind is missing. Levels are few: the log ratios are bounded.
     """
     levels = scores.groupBy("level").agg(F.count_if("accepted").alias("a"),
                                          F.count_if(~F.col("accepted")).alias("b"))
@@ -102,7 +102,8 @@ def calibrated(scores: DataFrame) -> int:
     above = "over (order by level desc)"
     return levels.select("level", F.expr(
         f"cast(sum(a) {above} as double) / {totals[0]} - cast(sum(b) {above} as double) / {totals[1]}"
-    ).alias("gain")).orderBy(F.desc(F.round("gain", 9)), "level").first()[0]
+    ).alias("gain"), F.expr(f"floor((level + coalesce(lead(level) {above}, level)) / 2.0)").alias("cut")
+    ).orderBy(F.desc(F.round("gain", 9)), "level").first()["cut"]
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:

@@ -1,8 +1,9 @@
 """Nearest neighbours by largest inner product with vantage-point trees, one per shard.
 
 Inner products become distances by one more coordinate: every row gets sqrt(M^2 - |x|^2), where M
-is the largest norm, and a query gets 0. Then |q - x|^2 = |q|^2 + M^2 - 2 <q, x>, so the nearest
-rows are those with the largest inner product, and the triangle inequality holds.
+is the largest norm, and a query, scaled to length M, gets 0. Then the squared distance is
+2 M^2 - 2 M <q, x> / |q|, so the nearest rows are those with the largest inner product, and the
+triangle inequality holds.
 
 A node of a tree splits its rows at the median distance to a vantage point and keeps the range of
 distances on either side. A query at distance d from the vantage point can skip a side whose range
@@ -89,7 +90,8 @@ def nearest(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fac
     ids, rows, nodes, place = index["ids"], index["rows"], index["nodes"], index["place"]
     many = len(queries)
     squares = (queries * queries).sum(axis=1)
-    reach = squares + index["longest"] ** 2
+    reach = 2 * index["longest"] ** 2
+    scale = index["longest"] / np.sqrt(np.maximum(squares, 1e-300))
     slack = 1e-12 * np.sqrt(squares) * index["longest"]
     best = np.full((many, k), -np.inf)
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -109,7 +111,7 @@ def nearest(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fac
         hits.append((active[q], mine[r], score[q, r]))
 
     def away(active: np.ndarray, vantage: int) -> np.ndarray:
-        square = reach[active] - 2 * (queries[active] @ rows[vantage])
+        square = reach - 2 * scale[active] * (queries[active] @ rows[vantage])
         return np.sqrt(np.maximum(square, 0.0))
 
     def descend(active: np.ndarray, node: int) -> None:
@@ -133,11 +135,12 @@ def nearest(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fac
         distance = away(active, vantage)
         for child, lo, hi in ((near, near_lo, near_hi), (far, far_lo, far_hi)):
             worst = best[active].min(axis=1)
-            tau = np.where(np.isfinite(worst), np.sqrt(np.maximum(reach[active] - 2 * np.maximum(worst, -1e300), 0.0)),
-                           np.inf)
+            known = np.isfinite(worst)
+            tau = np.sqrt(np.maximum(reach - 2 * scale[active] * np.where(known, worst, 0.0), 0.0))
+            tau = np.where(known, tau, np.inf)
             gap = np.maximum(np.maximum(lo - distance, distance - hi), 0.0)
             # the slack covers rounding of distances, so that factor one stays exact
-            open_ = active[factor * gap <= tau + 1e-7 * (1 + tau)]
+            open_ = active[factor * gap <= tau + 1e-7 * (index["longest"] + tau)]
             if len(open_):
                 walk(open_, child)
 
