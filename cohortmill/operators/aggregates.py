@@ -78,25 +78,20 @@ def excess_samples(samples: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
-def code_combinations(samples: DataFrame, code: str, case: str = "case_id",
-                      written_out: int = 1000) -> DataFrame:
+def code_combinations(samples: DataFrame, code: str, case: str = "case_id") -> DataFrame:
     """How many multi-sample cases show each combination of sample codes.
 
-    Codes are counted per case first; a code list per case holds each code once with its
-    count before it is written out as "01A + 01A + 02A". A code that a case repeats more than
-    ``written_out`` times is written "01A x5000", so the text stays short and exact.
+    Codes are counted per case first; a combination names each code once with its count, as
+    "01A x2 + 02A x1", so its length does not depend on how often a case repeats a code.
     """
     per_code = samples.groupBy(case, code).agg(F.count("*").alias("n"))
     per_case = per_code.groupBy(case).agg(
         F.sum("n").alias("n"),
         F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), "n"))).alias("codes"),
     ).where("n > 1")
-    written = F.flatten(F.transform(
+    written = F.transform(
         F.filter("codes", lambda c: c["code"].isNotNull()),
-        lambda c: F.when(c["n"] <= written_out, F.array_repeat(
-            c["code"], F.least(c["n"], F.lit(written_out)).cast("int")))
-        .otherwise(F.array(F.concat(c["code"], F.lit(" x"), c["n"].cast("string")))),
-    ))
+        lambda c: F.concat(c["code"], F.lit(" x"), c["n"].cast("string")))
     return per_case.select(F.array_join(written, " + ").alias("combination")).groupBy(
         "combination").agg(F.count("*").alias("n_cases")).orderBy(F.col("n_cases").desc(),
                                                                   "combination")

@@ -24,14 +24,17 @@ def sample_vectors(cells: DataFrame, positions: DataFrame, value: str,
                    sample: str = "sample_id", feature: str = "feature_id") -> DataFrame:
     """One vector per sample in the order of ``position``; as long as the selection.
 
-    ``positions`` holds the selected features, a few thousand at most.
+    ``positions`` holds the selected features, a few thousand at most. A sample that lacks one of
+    them, or has one twice, is an error: its later values would slip into wrong positions.
     """
     placed = cells.join(F.broadcast(positions), feature).groupBy(sample).agg(
         F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("x")))).alias("c")
     )
-    return placed.select(
-        sample, array_to_vector(F.transform("c", lambda c: c["x"])).alias("features")
-    )
+    size = positions.count()
+    in_place = F.transform("c", lambda c: c["position"]) == F.sequence(F.lit(0), F.lit(size - 1))
+    checked = F.when(in_place, F.transform("c", lambda c: c["x"])).otherwise(F.raise_error(F.concat(
+        F.lit("a sample lacks selected features or repeats one: "), F.col(sample).cast("string"))))
+    return placed.select(sample, array_to_vector(checked).alias("features"))
 
 
 def standardized_vectors(expression: DataFrame, top_n: int = 2000, clipped: bool = False,

@@ -28,11 +28,14 @@ def file_totals(cells: DataFrame, file: str = "file", value: str = "value") -> D
 def build_matrix(quantification: DataFrame, sheet: DataFrame, metric: str | None = None,
                  duplicate_strategy: str = "fail", biotype: str | None = None,
                  features: DataFrame | None = None, modality: Modality = RNASEQ,
-                 file: str = "file_name", feature: str | None = None) -> DataFrame:
+                 file: str = "file_name", feature: str | None = None,
+                 complete: bool = True) -> DataFrame:
     """Long matrix (sample_id, feature_id, value) from per-file quantification rows.
 
     Files without a sheet row are an error. Of several files of a sample one is chosen.
-    The biotype filter runs before the cells are shuffled.
+    The biotype filter runs before the cells are shuffled; without ``features`` the biotypes
+    are those in the files. Unless ``complete`` is off, samples with different features,
+    repeated features or null cells are an error.
     """
     feature = feature or modality.feature_column
     metric = resolve_metric(metric or modality.default_metric, modality.metrics)
@@ -49,9 +52,13 @@ def build_matrix(quantification: DataFrame, sheet: DataFrame, metric: str | None
         raise ValueError(f"files without a sample sheet row: {lost}")
     chosen = chosen_files(files_to_samples(totals, stems), duplicate_strategy)
     if biotype is not None:
+        if features is None:
+            features = quantification.select(
+                F.col(feature).alias("feature_id"), "gene_type").distinct()
         cells = biotype_filter(cells, features, biotype)
     picked = broadcast_if_small(chosen.select("file", "sample_id"))
-    return cells.join(picked, "file").select("sample_id", "feature_id", "value")
+    matrix = cells.join(picked, "file").select("sample_id", "feature_id", "value")
+    return assert_matrix(matrix) if complete else matrix
 
 
 def stored_matrix(expression: DataFrame, feature: str = "feature_id") -> DataFrame:
@@ -129,21 +136,18 @@ def value_distribution(expression: DataFrame, value: str = "value", sample: str
     return counts.withColumns({
         "__q": points.select(F.struct("*")).scalar(),
         "median_depth": depth.scalar(),
-        "__whole": whole_valued(expression, value, feature).scalar(),
+        "__whole": whole_valued(expression, value).scalar(),
     }).select(
         "max", "zero_pct", "__q.*", "median_depth",
         metric_name(F.col("median_depth"), F.col("__whole")).alias("metric"),
     )
 
 
-def whole_valued(expression: DataFrame, value: str = "value", feature: str = "feature_id",
-                 first: int = 50) -> DataFrame:
-    """Whether the finite values of the first features (by id) are whole numbers."""
-    probe = expression.select(feature).distinct().orderBy(feature).limit(first)
-    ids = [r[0] for r in probe.collect()]  # at most ``first``
+def whole_valued(expression: DataFrame, value: str = "value") -> DataFrame:
+    """Whether all finite values are whole numbers."""
     x = finite(F.col(value))
     near = F.abs(x - F.rint(x)) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.rint(x))
-    return expression.where(F.col(feature).isin(*ids)).agg(
+    return expression.agg(
         F.coalesce(F.bool_and(near), F.lit(False)).alias("whole")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def person_code(key: Column) -> Column:
+    """A key in base 36, at least four characters: no two keys share a code."""
+    digits = F.conv(key.cast("string"), 10, 36)
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
+
+
+def person_code_sql(key: str) -> str:
+    digits = " || ".join(f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ({key} // {36 ** k} % 36)::int + 1, 1)"
+                         for k in range(11, -1, -1))
+    return f"lpad(ltrim({digits}, '0'), greatest(length(ltrim({digits}, '0')), 4)::int, '0')"
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with orders: survival time, event and covariates."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(
@@ -63,25 +75,32 @@ COHORT_SQL = """coh as (
 
 def expression(spark: SparkSession, sf_dir: str, measure: str = "l_quantity",
                sample: str = "o_custkey") -> DataFrame:
-    """Long matrix customer x brand with every cell present, zeros included."""
+    """Long matrix customer x brand with every cell present, zeros included.
+
+    The brands are those of ``part``, a dictionary that each sample holds once.
+    """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", measure)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    wide = (
+    present = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col(sample).alias("sample_id"))
-        .pivot("p_brand", BRANDS).agg(F.sum(measure))
-        .na.fill(0.0)
+        .groupBy(F.col(sample).alias("sample_id"), F.col("p_brand").alias("feature_id"))
+        .agg(F.sum(measure).cast("double").alias("value"))
     )
-    return wide.unpivot("sample_id", BRANDS, "feature_id", "value")
+    brands = part.agg(F.sort_array(F.collect_set("p_brand")).alias("b")).scalar()
+    held = present.groupBy("sample_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("cells"))
+    return held.select("sample_id", "cells", F.explode(brands).alias("feature_id")).select(
+        "sample_id", "feature_id",
+        F.coalesce(F.try_element_at("cells", F.col("feature_id")), F.lit(0.0)).alias("value"))
 
 
 EXPRESSION_SQL = """cell as (
   select o_custkey as sample_id, p_brand as feature_id, sum(l_quantity) as value
   from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
   group by 1, 2),
-brand as (select 'Brand#' || range as feature_id from range(1, 26)),
+brand as (select distinct p_brand as feature_id from part where p_brand is not null),
 expr as (
   select s.sample_id, brand.feature_id, coalesce(cell.value, 0.0) as value
   from (select distinct sample_id from cell) s cross join brand
@@ -126,7 +145,7 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     site = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
-    person = F.lpad(F.col("c_custkey").cast("string"), 4, "0")
+    person = person_code(F.col("c_custkey"))
     code = F.lpad((F.col("o_orderkey") % 25).cast("string"), 2, "0")
     project = F.when(F.col("o_orderkey") % 7 == 0, "OTHR").otherwise("TCGA")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -136,10 +155,10 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BARCODE_SQL = """bar as (
+BARCODE_SQL = f"""bar as (
   select o_orderkey,
          case when o_orderkey % 7 = 0 then 'OTHR' else 'TCGA' end || '-' ||
-         lpad(c_nationkey::varchar, 2, '0') || '-' || lpad(c_custkey::varchar, 4, '0') || '-' ||
+         lpad(c_nationkey::varchar, 2, '0') || '-' || {person_code_sql("c_custkey")} || '-' ||
          lpad((o_orderkey % 25)::varchar, 2, '0') || 'A-11R-A26X-07' as barcode
   from orders join customer on o_custkey = c_custkey)"""
 

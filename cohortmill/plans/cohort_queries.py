@@ -616,8 +616,9 @@ def excess_samples(spark, sf_dir):
 @query("code_combinations", f"""with {A.BARCODE_SQL},
 s as (select o_custkey as case_id, right(array_to_string(string_split(barcode, '-')[1:4], '-'), 3)
   as code from bar join orders using (o_orderkey)),
-c as (select case_id, string_agg(code, ' + ' order by code) as combination from s
-  group by 1 having count(*) > 1)
+k as (select case_id, code, count(*) as n from s group by 1, 2),
+c as (select case_id, string_agg(code || ' x' || n, ' + ' order by code) as combination from k
+  group by 1 having sum(n) > 1)
 select combination, count(*) as n_cases from c group by 1""")
 def code_combinations(spark, sf_dir):
     orders = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"))
@@ -776,7 +777,7 @@ def _raw_clinical(spark, sf_dir):
     day = F.datediff("o_orderdate", F.lit("1995-01-01").cast("timestamp")).cast("string")
     dead = F.col("o_orderstatus") == "F"
     return orders.select(
-        F.concat(F.lit("TCGA-44-"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"))
+        F.concat(F.lit("TCGA-44-"), A.person_code(F.col("o_custkey")))
         .alias("cases.submitter_id"),
         F.lit("Lung").alias("cases.primary_site"),
         F.when(dead, "Dead").when(F.col("o_orderstatus") == "O", "Alive").otherwise("'--")
@@ -794,7 +795,7 @@ def _raw_clinical(spark, sf_dir):
         .alias("diagnoses.ajcc_pathologic_stage"))
 
 
-@query("clinical_job", """with r as (select 'TCGA-44-' || lpad((o_custkey % 10000)::varchar, 4, '0')
+@query("clinical_job", f"""with r as (select 'TCGA-44-' || {A.person_code_sql("o_custkey")}
   as case_submitter_id, 'Lung' as primary_site,
   case o_orderstatus when 'F' then 'Dead' when 'O' then 'Alive' end as vital_status,
   case when o_orderstatus = 'F' then date_diff('day', timestamp '1995-01-01', o_orderdate) ||

@@ -62,7 +62,7 @@ select sample_id, feature_id, round(value, 2) as value from cells join pick usin
 @query("matrix_build_deepest", _build_sql("l_quantity", "total desc, file"))
 def matrix_build_deepest(spark, sf_dir):
     return M.build_matrix(_quantification(spark, sf_dir, RNASEQ), _sheet(spark, sf_dir, RNASEQ),
-                          "counts", "deepest").withColumn("value", rounded(F.col("value"), 2))
+                          "counts", "deepest", complete=False).withColumn("value", rounded(F.col("value"), 2))
 
 
 @query("matrix_build_by_biotype", _build_sql(
@@ -74,7 +74,7 @@ def matrix_build_by_biotype(spark, sf_dir):
         .otherwise("lncRNA").alias("gene_type"))
     return M.build_matrix(
         _quantification(spark, sf_dir, RNASEQ), _sheet(spark, sf_dir, RNASEQ), "counts", "first",
-        biotype="protein_coding", features=features,
+        biotype="protein_coding", features=features, complete=False,
     ).withColumn("value", rounded(F.col("value"), 2))
 
 
@@ -84,7 +84,7 @@ def matrix_build_mirna(spark, sf_dir):
     exact = F.round(F.col(MIRNA.default_metric).cast("decimal(18,4)"), 2)
     return M.build_matrix(
         quant.withColumn(MIRNA.default_metric, exact), _sheet(spark, sf_dir, MIRNA), None, "deepest",
-        modality=MIRNA).withColumn("value", rounded(F.col("value"), 2))
+        modality=MIRNA, complete=False).withColumn("value", rounded(F.col("value"), 2))
 
 
 @query("matrix_checks", f"""with {A.PROFILE_SQL}
@@ -136,8 +136,7 @@ def value_distribution(spark, sf_dir):
 
 @query("metric_detection", """with d as (select l_suppkey, sum(l_extendedprice) depth, sum(l_quantity) q
   from lineitem group by 1), m as (select quantile_cont(depth, 0.5) a, quantile_cont(q, 0.5) b from d),
-f as (select l_partkey, l_extendedprice v, l_quantity w from lineitem where l_partkey in
-  (select distinct l_partkey from lineitem order by 1 limit 50))
+f as (select l_extendedprice v, l_quantity w from lineitem)
 select 'price' as measure, case when (select a between 900000 and 1100000 from m) then 'TPM'
   when (select bool_and(abs(v - round(v)) <= 1e-8 + 1e-5 * abs(round(v))) from f) then 'counts'
   else 'FPKM/other' end as metric

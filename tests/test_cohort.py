@@ -122,7 +122,7 @@ def test_quality_rules(spark):
 
 def test_code_combinations(spark):
     df = spark.createDataFrame([("c1", "01B"), ("c1", "01A"), ("c2", "01A"), ("c2", "01A"), ("c3", "01A")], "case_id string, code string")
-    assert rows_as(G.code_combinations(df, "code")) == [("01A + 01A", 1), ("01A + 01B", 1)]
+    assert rows_as(G.code_combinations(df, "code")) == [("01A x1 + 01B x1", 1), ("01A x2", 1)]
 
 
 def test_profile_and_transfer(spark):

@@ -148,3 +148,46 @@ def test_modalities(spark):
     assert detect_modality(df) is MIRNA
     assert detect_modality(df.where("feature_id = 'case_id'")) is None
     assert detect_modality(df.where("feature_id in ('ENSG1', 'hsa-mir-1')")) is RNASEQ
+
+
+def test_a_ragged_matrix_is_an_error(spark, quant):
+    sheet = sheet_of(spark, "a", "b", "c")
+    lacking = quant.where("not (file_name like 'u1%' and gene_id = 'ENSG1.1')")
+    with pytest.raises(ValueError, match="not complete"):
+        M.build_matrix(lacking, sheet, "counts")
+    with pytest.raises(ValueError, match="not complete"):
+        M.build_matrix(quant.withColumn("unstranded", F.expr("nullif(unstranded, 21)")), sheet, "counts")
+    assert M.build_matrix(lacking, sheet, "counts", complete=False).count() == 8
+
+
+def test_biotypes_come_from_the_files(spark, quant):
+    kept = M.build_matrix(quant, sheet_of(spark, "a", "b", "c"), "counts", biotype="protein_coding")
+    assert kept.select("feature_id").distinct().count() == 2
+
+
+def test_one_fraction_among_many_features_counts(spark):
+    cells = spark.range(60).selectExpr("'s' as sample_id", "lpad(cast(id as string), 3, '0') as feature_id",
+                                       "if(id = 59, 1.5d, cast(id as double)) as value")
+    assert M.whole_valued(cells).first()[0] is False
+    assert M.whole_valued(cells.where("value <> 1.5")).first()[0] is True
+
+
+def test_vectors_keep_positions(spark):
+    from cohortmill.operators.components import sample_vectors
+
+    cells = spark.createDataFrame([("a", "f1", 1.0), ("a", "f2", 2.0), ("b", "f2", 3.0), ("b", "f1", 4.0)],
+                                  "sample_id string, feature_id string, value double")
+    order = spark.createDataFrame([("f1", 0), ("f2", 1)], "feature_id string, position int")
+    got = {r[0]: list(r[1]) for r in sample_vectors(cells, order, "value").collect()}
+    assert got == {"a": [1.0, 2.0], "b": [4.0, 3.0]}
+    for ragged in ("not (sample_id = 'b' and feature_id = 'f1')", "not (sample_id = 'b' and feature_id = 'f2')"):
+        with pytest.raises(Exception, match="lacks selected features"):
+            sample_vectors(cells.where(ragged), order, "value").collect()
+
+
+def test_person_codes_keep_keys_apart(spark):
+    from cohortmill.plans.adapters import person_code
+
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 35, 36, 9999, 10000, 10001, 1679615, 1679616, 10**12)], "k long")
+    codes = [r[0] for r in keys.select(person_code(F.col("k"))).collect()]
+    assert len(set(codes)) == len(codes) and min(map(len, codes)) == 4
