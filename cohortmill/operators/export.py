@@ -18,15 +18,12 @@ from cohortmill.session import broadcast_if_small, materialize, range_count, wri
 
 HASH_DIGITS = 12  # 48 bits, exact in a double
 
-MODEL_ADVICE = (
-    "Many more features than samples and few events per feature: use regularisation (ridge, "
-    "lasso, elastic net) or reduce dimensions; do not fit raw features without a penalty.",
-    "Stage imbalance: use class weights or resampling and judge by F1 and AUC-PR.",
-    "Batch (tissue source sites): consider a batch correction or the site as a covariate; "
-    "check that the first component does not follow the site.",
-    "Cross-validation: GroupKFold by case_id, since a plain KFold leaks.",
-    "Survival target: use models that know censoring.",
-)
+def fit_notes(report: dict, selected: int) -> list[str]:
+    """Codes for what the measured tables ask of a model."""
+    notes = ["folds_by_case", "outcome_is_censored"]
+    if selected > report["n_train"]:
+        notes.append("more_features_than_training_rows")
+    return notes
 
 
 def sample_totals(expression: DataFrame, sample: str = "sample_id",
@@ -168,26 +165,16 @@ def prepare_export(cohort: DataFrame, expression: DataFrame, top_k: int = 2000,
     stats = materialize(train_statistics(expression, train))
     selected = materialize(top_by_variance(stats, max(top_k, 1), "feature_id", True))
     labels = rows.select(*[c for c in fixed.LABEL_COLUMNS if c in rows.columns], "is_test")
+    varying, kept = stats.where("variance > 0").count(), selected.count()
     manifest = {
         "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
-        "source": {"n_samples": n_before, "n_features": dictionary},
-        "deduplication": {
-            "enabled": one_per_case, "strategy": "one sample per case, the deepest",
-            "n_before": n_before, "n_after": report["n_train"] + report["n_test"],
-        },
-        "feature_selection": {
-            "method": "largest variance on train, unsupervised",
-            "features_before": dictionary,
-            "zero_variance_dropped": dictionary - stats.where("variance > 0").count(),
-            "selected": selected.count(),
-        },
-        "transformations": {
-            "log2(x+1)": True,
-            "standardization": "z-score per feature, fitted on train" if standardize else "none",
-        },
-        "split": {"method": "grouped by case, stratified by event", "test_share": test_share,
-                  "seed": seed, **report},
-        "model_advice": list(MODEL_ADVICE),
+        "rows": {"read": n_before, "kept": report["n_train"] + report["n_test"],
+                 "deepest_per_case": one_per_case},
+        "features": {"read": dictionary, "constant": dictionary - varying, "kept": kept,
+                     "chosen_by": "train variance"},
+        "values": {"log2_of_x_plus_1": True, "scaled_by_train": bool(standardize)},
+        "split": {"by": "hash of case within event", "test_share": test_share, "seed": seed, **report},
+        "notes": fit_notes(report, kept),
     }
     # read by both sides; the matrix is scanned once for it
     cells = written(scaled_cells(expression, rows, selected, standardize), "sample_id")

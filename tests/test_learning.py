@@ -28,12 +28,12 @@ def test_no_case_on_both_sides(dataset, made):
     train, test = ({r[0] for r in made.y(side).select("case_id").collect()} for side in (False, True))
     assert train and test and not train & test
     whole = E.prepare_export(*dataset, one_per_case=False, **OPTIONS)
-    assert whole.manifest["split"]["no_leakage"] and not whole.manifest["deduplication"]["enabled"]
+    assert whole.manifest["split"]["no_leakage"] and not whole.manifest["rows"]["deepest_per_case"]
 
 
 def test_one_sample_per_case(made):
-    kept = made.manifest["deduplication"]
-    assert kept["n_after"] == 60 < kept["n_before"] == 66
+    rows = made.manifest["rows"]
+    assert rows["kept"] == 60 < rows["read"] == 66
     assert made.labels.groupBy("case_id").count().where("count > 1").isEmpty()
 
 
@@ -59,8 +59,8 @@ def test_test_values_do_not_reach_train(dataset, made):
 
 def test_selection(made):
     assert len(made.feature_names()) == 20
-    chosen = made.manifest["feature_selection"]
-    assert chosen["zero_variance_dropped"] == 2 and chosen["selected"] == 20
+    chosen = made.manifest["features"]
+    assert chosen["constant"] == 2 and chosen["kept"] == 20
     assert made.x(False).columns == made.x(True).columns
 
 
@@ -93,7 +93,7 @@ def test_bundle(spark, made, tmp_path, fmt):
     names = [r[0] for r in spark.read.text(str(tmp_path / "selected_features")).collect()]
     assert names == made.feature_names()
     manifest = json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])
-    assert manifest["export"]["format"] == fmt and any("GroupKFold" in a for a in manifest["model_advice"])
+    assert manifest["export"]["format"] == fmt and "folds_by_case" in manifest["notes"]
     if fmt == "parquet":
         assert spark.read.parquet(str(tmp_path / "X_train.parquet")).columns == ["sample_id", *names]
 
@@ -134,7 +134,7 @@ def test_readiness(dataset):
 def test_empty_field_is_red(dataset):
     cohort, cells = dataset
     rows = report_of(cohort.withColumn("gender", F.lit(None).cast("string")), cells)
-    assert rows["completeness"]["status"] == "red" and "rebuild" in rows["completeness"]["action"]
+    assert rows["completeness"]["status"] == "red" and rows["completeness"]["action"] == "refresh_clinical_table"
     assert rows["filled_age_at_index"]["value"] == 100
 
 
