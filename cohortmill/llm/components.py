@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.common import stored
+from cohortmill.session import broadcast_if_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # computed apart from the join, which may then split the rows of a hot node
+        least = broadcast_if_small(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = (both.join(least, "u").where("v > u and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large = stored(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = broadcast_if_small(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = stored(small, "edges")

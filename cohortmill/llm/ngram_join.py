@@ -323,7 +323,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         lambda b: sketch(b, width), "doc_id long, class_key binary, bands array<long>"), "sketches")
     classes = sketches.groupBy("class_key").agg(F.min("doc_id").alias("class_id"),
                                                 F.count("*").alias("class_size"))
-    members = stored(sketches.select("doc_id", "class_key").join(classes, "class_key")
+    members = stored(sketches.select("doc_id", "class_key").join(broadcast_if_small(classes), "class_key")
                      .select("doc_id", "class_id", "class_size"), "members")
     heads = members.where("doc_id = class_id").select("doc_id").distinct()
     banded = sketches.select("doc_id", "bands").join(heads, "doc_id", "left_semi").select(
