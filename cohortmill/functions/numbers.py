@@ -38,9 +38,3 @@ def percent(part: Column, whole: Column) -> Column:
 def banded(value: Column, green: Column, yellow: Column) -> Column:
     """green / yellow / red by two conditions."""
     return F.when(green, "green").when(yellow, "yellow").otherwise("red")
-
-
-def leading_bytes(text: Column, width: int = 6) -> Column:
-    """The first bytes of a text as a number that sorts like the text."""
-    head = F.substring(F.hex(F.encode(text, "UTF-8")), 1, 2 * width)
-    return F.conv(F.rpad(head, 2 * width, "0"), 16, 10).cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -53,6 +54,7 @@ def principal_components(vectors: DataFrame, k: int = 5, sample: str = "sample_i
     """(percent of variance per component, scores per sample).
 
     MLlib forms the p x p covariance across the cluster; p is the number of selected features.
+    A component's sign is free: here its largest loading is positive, the first one of ties.
     """
     spark = vectors.sparkSession
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(vectors)
@@ -62,8 +64,13 @@ def principal_components(vectors: DataFrame, k: int = 5, sample: str = "sample_i
         running += share
         table.append((i, share, running))
     variance = spark.createDataFrame(table, "pc int, var_pct double, cum_pct double")
+    loadings = model.pc.toArray()
+    # rounded, so that loadings equal but for the last digits count as ties
+    largest = np.argmax(np.round(np.abs(loadings), 9), axis=0)
+    signs = [1.0 if loadings[row, i] >= 0 else -1.0 for i, row in enumerate(largest)]
     arrays = model.transform(vectors).select(sample, vector_to_array("scores").alias("s"))
-    scores = arrays.select(sample, *[F.col("s")[i].alias(f"pc{i + 1}") for i in range(k)])
+    scores = arrays.select(sample, *[
+        (F.col("s")[i] * F.lit(sign)).alias(f"pc{i + 1}") for i, sign in enumerate(signs)])
     return variance, scores
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cohortmill.functions import fixed
 from cohortmill.functions.clinical import canonical_text
 from cohortmill.functions.identifiers import case_barcode, file_stem
-from cohortmill.functions.numbers import leading_bytes
 from cohortmill.operators.aggregates import completeness
 from cohortmill.operators.dedup import last_per_key
 from cohortmill.operators.ranges import ordinal_rank
@@ -95,8 +94,7 @@ def cell_comparison(left: DataFrame, right: DataFrame, key: str, columns: Sequen
     def side(df: DataFrame, name: str) -> DataFrame:
         text = df.select(key, *[canonical_text(F.col(c)).alias(c) for c in columns])
         placed = ordinal_rank(
-            text.withColumn("__lead", leading_bytes(F.col(order))), [key],
-            ["__lead", order, *columns], "place",
+            text, [key], list(dict.fromkeys([order, *columns])), "place",
         ) if key_rows else text.withColumn("place", F.lit(1).cast("bigint"))
         return placed.select(key, "place", F.struct(*columns).alias(name))
 

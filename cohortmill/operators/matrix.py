@@ -128,6 +128,7 @@ def value_distribution(expression: DataFrame, value: str = "value", sample: str
     counts = cells.agg(
         F.max("__x").alias("max"),
         percent(F.count_if(F.col(value) == 0), F.count("*")).alias("zero_pct"),
+        all_whole(F.col("__x")).alias("__whole"),
     )
     points = quantiles(cells, (), "__x", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     depth = quantiles(
@@ -136,20 +137,21 @@ def value_distribution(expression: DataFrame, value: str = "value", sample: str
     return counts.withColumns({
         "__q": points.select(F.struct("*")).scalar(),
         "median_depth": depth.scalar(),
-        "__whole": whole_valued(expression, value).scalar(),
     }).select(
         "max", "zero_pct", "__q.*", "median_depth",
         metric_name(F.col("median_depth"), F.col("__whole")).alias("metric"),
     )
 
 
+def all_whole(x: Column) -> Column:
+    """Aggregate: whether all finite values are whole numbers; false without any."""
+    near = F.abs(x - F.rint(x)) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.rint(x))
+    return F.coalesce(F.bool_and(near), F.lit(False))
+
+
 def whole_valued(expression: DataFrame, value: str = "value") -> DataFrame:
     """Whether all finite values are whole numbers."""
-    x = finite(F.col(value))
-    near = F.abs(x - F.rint(x)) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.rint(x))
-    return expression.agg(
-        F.coalesce(F.bool_and(near), F.lit(False)).alias("whole")
-    )
+    return expression.agg(all_whole(finite(F.col(value))).alias("whole"))
 
 
 def metric_name(median_depth: Column, whole: Column) -> Column:

@@ -1,9 +1,10 @@
 """Ordered work without one task per group: ranks, running sums and exact quantiles.
 
 A window over a whole group puts that group on one task, and a group may hold a third
-of all rows. Here the order column is first cut into value ranges of about equal row
-counts. Totals per (group, range) are small and carry the offsets; the windows then run
-inside one (group, range) only.
+of all rows. Here the rows are first cut into ranges of about equal row counts: by value
+(``with_value_range``, equal values stay together) or by the full order
+(``with_order_range``, which also splits tied values). Totals per (group, range) are small
+and carry the offsets; the windows then run inside one (group, range) only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmill.session import broadcast_if_small, range_count
+from cohortmill.session import broadcast_if_small, materialize, range_count
 
 RANGE = "value_range"
 
@@ -33,6 +34,17 @@ def with_value_range(df: DataFrame, value: str, ranges: int | None = None) -> Da
     return model.transform(df).withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
+def with_order_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds the number of the range each row falls in by keys and full order.
+
+    Rows tied in the first order columns are cut by the next ones, so a value that most rows
+    share is split too. The cuts come from a sample; the result is stored, so that every later
+    step sees the same cuts.
+    """
+    cut = df.repartitionByRange(range_count(df), *keys, *order)
+    return materialize(cut.withColumn(RANGE, F.spark_partition_id()))
+
+
 def _slot(keys: Sequence[str]) -> Column:
     """Group and range as one value; structs compare null keys as equal."""
     return F.struct(*[F.col(k) for k in [*keys, RANGE]]).alias("__slot")
@@ -48,7 +60,7 @@ def running_sums(
     """Inclusive running sums per group in the given order.
 
     ``df`` carries RANGE, and (keys, order) is unique in it. ``sums`` maps each new column
-    to the column it accumulates. RANGE must rise with the first order column. The join with
+    to the column it accumulates. Within a group RANGE must rise with the order. The join with
     the offsets and the windows share one partitioning by (group, range).
     """
     keys = list(keys)
@@ -79,8 +91,8 @@ def running_sums(
 def ordinal_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank"
 ) -> DataFrame:
-    """1-based rank of every row per group by a full order whose first column is numeric."""
-    ranged = with_value_range(df, order[0]).withColumn("__one", F.lit(1).cast("bigint"))
+    """1-based rank of every row per group by a full order."""
+    ranged = with_order_range(df, keys, order).withColumn("__one", F.lit(1).cast("bigint"))
     return running_sums(ranged, keys, order, {out: "__one"}).drop(RANGE, "__one")
 
 
@@ -96,10 +108,11 @@ def quantiles(
 
     Rows are counted per (group, range); only the ranges that hold a wanted rank are read
     again and ordered. ``weight`` counts a row several times. Null and NaN are left out.
+    The needed columns are stored first, since they are read three times.
     """
     keys = list(keys)
     one = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = (
+    rows = materialize(
         df.select(*keys, F.col(value).cast("double").alias("__v"), one.alias("__n"))
         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     )

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cohortmill.functions import fixed
 from cohortmill.functions.clinical import years
@@ -27,9 +28,17 @@ def _deaths(event: str) -> Column:
     return F.col(event).cast("boolean").cast("bigint")
 
 
+def require_days(rows: DataFrame, time: str) -> None:
+    """Times must be of a whole-number type: tables per day stay small only then."""
+    kind = rows.schema[time].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{time} must hold whole days, not {kind.simpleString()}")
+
+
 def time_table(cohort: DataFrame, strata: Sequence[str] = (), time: str = "time",
                event: str = "event") -> DataFrame:
     """Deaths and leavers per stratum and day."""
+    require_days(cohort, time)
     return cohort.where(F.col(time).isNotNull()).groupBy(*strata, time).agg(
         F.coalesce(F.sum(_deaths(event)), F.lit(0)).alias("deaths"),
         F.count("*").alias("leaving"),
@@ -382,7 +391,7 @@ def panel_z_scores(expression: DataFrame, panel: Mapping[str, tuple[str, int]],
 def signature_report(expression: DataFrame, cohort: DataFrame,
                      panel: Mapping[str, tuple[str, int]], sample: str = "sample_id",
                      **columns) -> DataFrame:
-    scores = signature_score(expression, panel, sample=sample, **columns)
+    scores = materialize(signature_score(expression, panel, sample=sample, **columns))
     rows = materialize(scores.join(cohort.select(sample, "time", "event"), sample))
     found = scores.agg(F.max("n_features"))
     return split_report(rows, "score").withColumn("n_features", F.lit(found.first()[0]))

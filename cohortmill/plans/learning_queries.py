@@ -12,6 +12,7 @@ from cohortmill.operators import export as E
 from cohortmill.operators import readiness as R
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
+from cohortmill.plans.component_sql import component_sql
 from cohortmill.session import checkpoint_dir, materialize, written
 from cohortmill.sources import sinks
 
@@ -94,14 +95,28 @@ def readiness_verdict(spark, sf_dir):
         F.size("actions").cast("bigint").alias("n_actions"))
 
 
-@query("readiness_with_components")
+def _eta_sql(group: str) -> str:
+    return f"""(select sum(n * (m - g) * (m - g)) / (sum(n * (m - g) * (m - g)) + sum(n * v)) from (
+  select count(*) n, avg(s) m, var_pop(s) v, any_value(g) g from (
+    select {group} k, s, avg(s) over () g from sco) group by k))"""
+
+
+@query("readiness_with_components", _READY.replace("with ", "with recursive ", 1) + f""",
+{component_sql(1)},
+sco as (select coh.*, list_dot_product(z, e1.v) as s from pz join coh using (sample_id), e1),
+eta as (select {_eta_sql('site')} as by_site, {_eta_sql('stage_group')} as by_stage)
+select measure, round(value, 6) as value, status from rows_
+union all select 'pc1', round(by_site, 6), case when by_site >= 0.3 and by_site > by_stage then 'red'
+  when by_stage >= by_site then 'green' else 'yellow' end from eta
+union all select 'pc1_stage', round(by_stage, 6), 'info' from eta
+union all select 'pc1_pct', round(l, 6), 'info' from e1""")
 def readiness_with_components(spark, sf_dir):
     cells, cohort = _matrix(spark, sf_dir), A.cohort(spark, sf_dir)
     site = F.col("site").cast("string")
     variance, scores = K.pca(cells, 1, 2000, clipped=True)
     batch = R.batch_measures(scores, cohort, variance.first()["var_pct"], site=site)
     return R.readiness(R.cohort_measures(cohort, site=site), R.feature_measures(cells), "counts",
-                       batch).select("measure", "value", "status", "action")
+                       batch).select("measure", rounded(F.col("value")).alias("value"), "status")
 
 
 # ---- export ---------------------------------------------------------------------------
@@ -163,19 +178,22 @@ def export_labels(spark, sf_dir):
     return E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED).labels
 
 
-@query("export_x_test", f"""with {_SPLIT}, c as (select sample_id, feature_id,
-  round((x - mu) / sd, 5) as x from lx join sel using (feature_id) where is_test)
-pivot c on feature_id using first(x) group by sample_id""")
+def _long(x):
+    """The columns of a wide X as rows, so that SQL need not know their names."""
+    return x.unpivot("sample_id", [F.col(f"`{c}`") for c in x.columns[1:]], "feature_id", "x").withColumn(
+        "x", rounded(F.col("x"), 5))
+
+
+@query("export_x_test", f"""with {_SPLIT} select sample_id, feature_id, round((x - mu) / sd, 5) as x
+from lx join sel using (feature_id) where is_test""")
 def export_x_test(spark, sf_dir):
     made = E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED)
-    x = made.x(True)
-    return x.select("sample_id", *[rounded(F.col(c), 5).alias(c) for c in x.columns[1:]])
+    return _long(made.x(True))
 
 
-@query("export_bundle", f"""with {_SPLIT}, c as (select lx.sample_id, time, event, feature_id,
+@query("export_bundle", f"""with {_SPLIT} select lx.sample_id, time, event, feature_id,
   round((x - mu) / sd, 5) as x from lx join sel using (feature_id)
-  join rs on rs.sample_id = lx.sample_id where not lx.is_test)
-pivot c on feature_id using first(x) group by sample_id, time, event""")
+  join rs on rs.sample_id = lx.sample_id where not lx.is_test""")
 def export_bundle(spark, sf_dir):
     """The train tables of a written bundle, read back."""
     made = E.prepare_export(_cohort(spark, sf_dir), _matrix(spark, sf_dir), TOP, SHARE, SEED)
@@ -183,8 +201,7 @@ def export_bundle(spark, sf_dir):
     sinks.write_export(made, folder)
     x = spark.read.parquet(f"{folder}/X_train.parquet")
     y = spark.read.parquet(f"{folder}/y_train.parquet").select("sample_id", "time", "event")
-    return x.select("sample_id", *[rounded(F.col(f"`{c}`"), 5).alias(c) for c in x.columns[1:]]).join(
-        y, "sample_id")
+    return _long(x).join(y, "sample_id")
 
 
 @query("one_sample_per_case", f"""with {A.SHEET_SQL}, {A.PROFILE_SQL},

@@ -11,6 +11,7 @@ from cohortmill.operators import matrix as M
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
+from cohortmill.plans.component_sql import component_sql
 
 
 def _matrix(spark, sf_dir):
@@ -399,14 +400,23 @@ def pca_leading_shares(spark, sf_dir):
     return variance.select("pc", rounded(F.col("var_pct"), 4).alias("var_pct"))
 
 
-@query("pca_components")
+@query("pca_components", f"""with recursive {A.EXPRESSION_SQL}, {component_sql(5)},
+sh as ({' union all '.join(f"select {k} as pc, l from e{k}" for k in range(1, 6))})
+select pc, round(l, 4) as var_pct, round(sum(l) over (order by pc), 4) as cum_pct from sh""")
 def pca_components(spark, sf_dir):
-    return K.pca(_matrix(spark, sf_dir), 5)[0]
+    return K.pca(_matrix(spark, sf_dir), 5)[0].select(
+        "pc", *[rounded(F.col(c), 4).alias(c) for c in ("var_pct", "cum_pct")])
 
 
-@query("pca_scores_with_metadata")
+@query("pca_scores_with_metadata", f"""with recursive {A.COHORT_SQL}, {A.EXPRESSION_SQL}, {component_sql(2)},
+big as (select site from coh group by 1 order by count(*) desc, site limit 8)
+select sample_id, round(list_dot_product(z, e1.v), 4) as pc1, round(list_dot_product(z, e2.v), 4) as pc2,
+  event, gender, ajcc_pathologic_stage, site,
+  case when site in (select site from big) then site::varchar else 'other' end as site_group
+from pz join coh using (sample_id), e1, e2""")
 def pca_scores_with_metadata(spark, sf_dir):
-    scores = K.pca(_matrix(spark, sf_dir), 2)[1]
+    scores = K.pca(_matrix(spark, sf_dir), 2)[1].select(
+        "sample_id", *[rounded(F.col(c), 4).alias(c) for c in ("pc1", "pc2")])
     meta = A.cohort(spark, sf_dir).select(
         "sample_id", "event", "gender", "ajcc_pathologic_stage", "site")
     return K.component_overlay(scores, meta)

@@ -200,7 +200,8 @@ def _matrix(spark, sf_dir):
 @query("split_screen_all_features", _SPLIT_SQL + f""" select feature_id,
   {', '.join(_SPLIT_COLUMNS)} from res""")
 def split_screen_all_features(spark, sf_dir):
-    return _split_columns(S.split_screen(_matrix(spark, sf_dir), _cohort(spark, sf_dir)),
+    cells = A.expression(spark, sf_dir)  # written once, with time and event
+    return _split_columns(S.split_screen(cells, _cohort(spark, sf_dir)),
                           "feature_id")
 
 

@@ -22,6 +22,8 @@ def build_session(app: str = "cohortmill", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # keeps all cores busy on small inputs; large ones follow the advisory size
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+        # a checkpoint goes when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():

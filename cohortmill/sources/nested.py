@@ -142,16 +142,23 @@ def require_unique(rows: DataFrame, key: str = "file_id") -> DataFrame:
 
 # ---- cases ------------------------------------------------------------------------
 
+def case_problem() -> Column:
+    """Why a case cannot be used; null when it can."""
+    name = F.trim(F.col("submitter_id"))
+    return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, "missing submitter_id")
+
+
 def flatten_cases(hits: DataFrame) -> DataFrame:
     """The portal's clinical text table: one row per case and diagnosis.
 
     A case without a diagnosis keeps one row. Missing values are empty text, flags are
-    "true" and "false".
+    "true" and "false". Cases without an id are left to ``case_problem``.
     """
     def text(c: Column) -> Column:
         return F.coalesce(c.cast("string"), F.lit(""))
 
-    rows = hits.withColumn("diagnosis", F.explode_outer("diagnoses"))
+    rows = hits.where(case_problem().isNull()).withColumn(
+        "diagnosis", F.explode_outer("diagnoses"))
     who, what = F.col("demographic"), F.col("diagnosis")
     return rows.select(
         F.col("submitter_id").alias("cases.submitter_id"),

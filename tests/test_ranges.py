@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from cohortmill.operators.ranges import ordinal_rank, quantiles
+from cohortmill.operators.ranges import RANGE, ordinal_rank, quantiles, with_order_range
 
 PROBS = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
 
@@ -64,6 +65,17 @@ def test_ordinal_rank_matches_pandas(skewed):
     assert got.to_dict() == want
 
 
+@pytest.mark.parametrize("order", [["v", "id"], ["text"]])
+def test_tied_values_and_long_common_prefixes_are_split(spark, order):
+    rows = spark.range(20_000).select(
+        F.lit("gene").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).alias("v"),
+        "id", F.concat(F.lit("the same twenty bytes "), F.lpad("id", 6, "0")).alias("text"))
+    sizes = [r["count"] for r in with_order_range(rows, ["g"], order).groupBy(RANGE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    ranks = ordinal_rank(rows, ["g"], order).orderBy(*order).select("rank").toPandas()["rank"]
+    assert ranks.tolist() == list(range(1, 20_001))
+
+
 def test_same_result_for_any_number_of_partitions(spark, skewed):
     _, df = skewed
     before = spark.conf.get("spark.sql.shuffle.partitions")
