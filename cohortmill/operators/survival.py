@@ -144,6 +144,7 @@ def km_by_stratum(cohort: DataFrame, stratum: str = "stage_group",
 def split_table(rows: DataFrame, high: str = "high", keys: Sequence[str] = (),
                 time: str = "time", event: str = "event") -> DataFrame:
     """Per key and day: leavers (c1, c0) and deaths (d1, d0) of the high and the low group."""
+    require_days(rows, time)
     side, died = F.col(high).cast("bigint"), _deaths(event)
     return rows.groupBy(*keys, time).agg(
         F.sum(side).alias("c1"), F.sum(1 - side).alias("c0"),
@@ -194,6 +195,7 @@ def logrank_two_groups(rows: DataFrame, high: str = "high", keys: Sequence[str]
 def logrank_moments(rows: DataFrame, stratum: str, levels: Sequence[str],
                     time: str = "time", event: str = "event") -> DataFrame:
     """One row: observed, expected and covariance entries for k known strata."""
+    require_days(rows, time)
     day = rows.where(F.col(stratum).isin(*levels)).groupBy(time).agg(*[
         agg
         for i, level in enumerate(levels)

@@ -189,9 +189,11 @@ def test_case_pages(spark, tmp_path):
         {"submitter_id": "A", "primary_site": "Lung", "demographic": {"vital_status": "Dead", "days_to_death": 5},
          "diagnoses": [{"diagnosis_is_primary_disease": True, "ajcc_pathologic_stage": "Stage I"},
                        {"diagnosis_is_primary_disease": False}]},
-        {"submitter_id": "B", "diagnoses": []}, {"submitter_id": "C"}]
+        {"submitter_id": "B", "diagnoses": []}, {"submitter_id": "C"}, {"submitter_id": " "}, {"primary_site": "Lung"}]
     (tmp_path / "page.json").write_text(json.dumps({"data": {"hits": hits}}))
-    rows = N.flatten_cases(N.read_hits(spark, str(tmp_path), N.CASE_SCHEMA))
+    read = N.read_hits(spark, str(tmp_path), N.CASE_SCHEMA)
+    assert [r[0] for r in read.select(N.case_problem()).collect()].count("missing submitter_id") == 2
+    rows = N.flatten_cases(read)
     assert rows.columns == CLINICAL_HEADER
     assert rows_as(rows, "`cases.submitter_id`", "`diagnoses.diagnosis_is_primary_disease`", "`demographic.days_to_death`") == [
         ("A", "false", "5"), ("A", "true", "5"), ("B", "", ""), ("C", "", "")]

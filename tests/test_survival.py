@@ -180,3 +180,10 @@ def test_stage_report_on_study(dataset):
     rows = S.km_by_stratum(with_model_columns(cohort)).collect()
     assert {r["stage_group"] for r in rows} <= {"overall", "I", "II", "III", "IV"}
     assert all(0 <= r["ci_lower"] <= r["survival"] <= r["ci_upper"] <= 1 for r in rows)
+
+
+def test_times_that_are_not_whole_days_are_refused(subjects):
+    rows = subjects[-1].withColumn("time", F.col("time") / 7)
+    for estimate in (S.km_curve, lambda df: S.logrank_two_groups(df), lambda df: S.logrank_strata(df, "arm", ("A", "B"), min_known=0)):
+        with pytest.raises(TypeError, match="whole days"):
+            estimate(rows)
