@@ -866,7 +866,11 @@ def written_sample_sheet(spark, sf_dir):
         F.lit("Gene Expression Quantification").alias("data_type"),
         F.lit("RNA-Seq").alias("experimental_strategy"),
         FI.case_barcode(c).alias("case_submitter_id"), FI.sample_barcode(c).alias("sample_id"))
-    return tables.sheet_from_metadata(metadata, "TCGA-DEMO")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sheet-{uuid.uuid4().hex}"
+    sheet = tables.sheet_from_metadata(metadata, "TCGA-DEMO")
+    sinks.write_text_table(sheet, path)
+    return spark.read.schema(sheet.schema).option("sep", "\t").option("header", True).option(
+        "quote", "").csv(path)
 
 
 # ---- quality rules ------------------------------------------------------------------

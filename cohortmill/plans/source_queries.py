@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
 from cohortmill.functions.numbers import rounded
+from cohortmill.operators.filters import MIRNA
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
 from cohortmill.session import checkpoint_dir
@@ -42,11 +44,17 @@ def _quantification_folder(spark, sf_dir):
         F.col("s_suppkey").cast("string").alias("file"), F.lit("N_unmapped").alias("gene_id"),
         *[F.lit("").alias(c) for c in fixed.RNA_COLUMNS[1:]])
     path = _folder(spark, "quantification")
-    genes.unionByName(summary).repartition("file").write.partitionBy("file").option(
-        "sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    _write_text(genes.unionByName(summary), path, "tsv", "file")
     return path
 
 
+def _write_text(rows, path, extension, *folders):
+    """Tab-separated files in nested folders; a folder with many rows gets several files."""
+    rows.hint("rebalance", *[F.col(c) for c in folders]).write.mode("append").partitionBy(
+        *folders).option("sep", "\t").option("header", True).option("quote", "").option(
+        "emptyValue", "").option("extension", extension).csv(path)
+
+
 @query("quantification_files", """with c as (select l_suppkey, l_partkey, sum(l_quantity)::bigint q,
   sum(l_extendedprice::decimal(18,2)) p from lineitem group by 1, 2)
 select l_suppkey::varchar as file, count(*) as n_features, sum(q)::bigint as unstranded,
@@ -63,6 +71,37 @@ def quantification_files(spark, sf_dir):
         rounded(F.sum("tpm_unstranded"), 2).alias("tpm_unstranded"))
 
 
+@query("mirna_files", """with c as (select l_suppkey, l_partkey, sum(l_quantity)::bigint q
+  from lineitem group by 1, 2)
+select l_suppkey::varchar as file, count(*) as n_features, count(distinct l_partkey) as n_ids,
+  sum(q) filter (q <= 30)::bigint as read_count, round(sum(q) / 4.0::double, 2) as per_million,
+  count(*) filter (q % 2 = 0) as n_cross_mapped from c group by 1""")
+def mirna_files(spark, sf_dir):
+    """miRNA files found by name in nested folders that also hold files of another kind."""
+    items = A.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        F.sum("l_quantity").cast("bigint").alias("q"))
+    count = F.col("q").cast("string")
+    rows = items.select(
+        F.concat(F.lit("nation"), (F.col("l_suppkey") % 25).cast("string")).alias("folder"),
+        F.col("l_suppkey").cast("string").alias("file"),
+        F.concat(F.lit("hsa-mir-"), F.col("l_partkey").cast("string")).alias("miRNA_ID"),
+        F.when(F.col("q") > 30, "NA").otherwise(count).alias("read_count"),
+        (F.col("q") / 4).cast("decimal(12,2)").cast("string").alias("reads_per_million_miRNA_mapped"),
+        F.when(F.col("q") % 2 == 0, "Y").otherwise("N").alias("cross-mapped"))
+    path = _folder(spark, "mirna")
+    _write_text(rows, path, "txt", "folder", "file")
+    _write_text(rows.select("folder", "file", F.lit("not a quantification").alias("note")), path, "log",
+                "folder", "file")
+    # Spark names the files it writes; their ending stands in for the portal's
+    named = replace(MIRNA, file_suffixes=(".c000.txt",))
+    file = F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/", 1)
+    return QF.read_quantification(spark, path, named, file=file).groupBy("file").agg(
+        F.count("*").alias("n_features"), F.count_distinct("miRNA_ID").alias("n_ids"),
+        F.sum("read_count").alias("read_count"),
+        rounded(F.sum("reads_per_million_miRNA_mapped"), 2).alias("per_million"),
+        F.count_if(F.col("`cross-mapped`") == "Y").alias("n_cross_mapped"))
+
+
 @query("quantification_problems", """with c as (select l_suppkey::varchar as file,
   case when l_quantity = 50 then 'LRG' else 'ENSG' end || l_partkey as id from lineitem),
 p as (select file, id, count(*) n from c group by 1, 2)
