@@ -49,8 +49,10 @@ PROPOSALS = {
     "card": re.compile(r"(?<!\d)\d{3,6}(?:[\s./_ -]{0,2}\d{3,6}){2,4}(?!\d)"),
     "phone": re.compile(r"(?<!\d)(?:\+|00)?\(?\d{1,4}\)?(?:[\s./ -]{1,2}\(?\d{2,5}\)?){2,5}(?!\d)"),
 }
-# a proposal must hold one of these; texts without any are skipped at once
-HINT = re.compile(r"@|\d[\d\s()./_:, -]{5,}\d|(?:\(|\[|\{| )at(?:\)|\]|\}| ).{1,64}?(?:\(|\[| )dot(?:\)|\]| )", re.I)
+# supersets of the patterns above and of the base rules: an e-mail proposal holds a mark, the others
+# hold a run of at least six of the characters they are made of, from digit to digit
+MARKED = re.compile(r"@|[(\[{ ]at[)\]} ]", re.I)
+NUMERIC = re.compile(r"\d[\d\s()\[\]./_:, -]{4,}\d")
 CUES = {
     "email": re.compile(r"mail|contact|write", re.I), "ip": re.compile(r"\bip\b|host|server|addr", re.I),
     "card": re.compile(r"card|visa|credit|iban|account", re.I),
@@ -115,11 +117,13 @@ def base_spans(text: str) -> list[Span]:
 
 def proposals(text: str) -> list[Span]:
     """Overlapping candidate spans of all kinds."""
-    if not HINT.search(text):
+    marked, numeric = MARKED.search(text), NUMERIC.search(text)
+    if not marked and not numeric:
         return []
     found = {(k, s, e) for k, s, e, _ in base_matches(text) if e - s >= 7}
     for kind, pattern in PROPOSALS.items():
-        found.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
+        if marked if kind == "email" else numeric:
+            found.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
     return sorted(found, key=lambda s: (s[1], s[2], s[0]))
 
 

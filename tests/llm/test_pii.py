@@ -38,6 +38,29 @@ def test_scans_are_linear():
         pii.base_spans(text), pii.proposals(text)
 
 
+FORMS = [("email", "john.doe@mail.example.com"), ("ip", "192.168.10.77"), ("ip", "1.2.3.4"), ("card", "4111111111111111"),
+         ("phone", "+13775550271")]
+LOOSE = [(k, f) for k, found in FORMS for f in pii.loosened(k, found)]
+
+
+@pytest.mark.parametrize("kind, form", LOOSE + [("email", f) for f in (
+    "john (at) example.com", "john[at]example.com", "john at example.com", "john {AT} example (dot) com")])
+def test_each_looser_form_is_proposed_alone(kind, form):
+    for text in (form, f"hinan {form} er the"):
+        at = text.index(form)
+        assert any(k == kind and s <= at and e >= at + len(form) for k, s, e in pii.proposals(text)), text
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(["a", "x.yz", "@", ".", "1", "25", "1234", "+1", " ", "  ", "-", "[.]", " . ", "(at)", "[at]", " at ",
+                                 "[dot]", " dot ", "٣", "(", ")", "/", "_", ":", ",", "\n", "\u2009"]), max_size=16).map("".join))
+def test_no_proposal_is_lost_before_the_patterns(text):
+    whole = {(k, s, e) for k, s, e, _ in pii.base_matches(text) if e - s >= 7}
+    for kind, pattern in pii.PROPOSALS.items():
+        whole.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
+    assert set(pii.proposals(text)) == whole
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
