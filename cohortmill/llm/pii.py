@@ -10,13 +10,16 @@ Accepted proposals that touch no base span and no better proposal are added.
 No labels of personal data exist, so the trees learn from the corpus itself. Base spans are
 positive, as they are and rewritten in looser forms in their own surroundings. Negative are
 proposals in which the base rules' checks fail, and base spans broken so that they fail. The
-examples come from a bounded sample of documents (``sample``, by a hash of their id, a documented
-parameter). Everything else covers all rows, whole texts included; scans are linear in the text.
+examples come from a bounded sample of documents: per kind at most ``sample`` that hold a base span
+of it, by a hash of their id, and per document at most ``EXAMPLES_PER_TEXT`` examples, dealt in turn
+over kinds, labels and forms. A kind with too few examples for a threshold of its own takes that of
+all kinds. Everything else covers all rows, whole texts included; scans are linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm import boosting
+from cohortmill.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
-EXAMPLES_PER_TEXT = 40
+EXAMPLES_PER_TEXT = 40  # no less than the groups of ``labelled``, so that none is left out
+LEAST_HELD = 20  # held-out positives of a kind for a threshold of its own
 PRECISION = 0.99
 AROUND = 24
 
@@ -187,47 +192,88 @@ def broken(kind: str, found: str) -> list[str]:
             " ".join(digits[i:i + 3] for i in range(0, len(digits), 3)) + " " + digits * 2]
 
 
-def examples(text: str) -> list[tuple[list[float], int]]:
-    """Labelled proposals of a text; at most ``EXAMPLES_PER_TEXT`` of them."""
+def labelled(text: str) -> Iterator[tuple[tuple[str, int, int], str, Span]]:
+    """((kind, label, form), text, proposal): form 0 are the text's own proposals, 1 and up the
+    rewritten base spans, each in a text of its own surroundings."""
     base = base_spans(text)
-    out = []
-    for span in proposals(text):
-        overlaps = [b for b in base if b[1] < span[2] and span[1] < b[2]]
-        if span in base:
-            out.append((features(text, span), 1))
-        elif not overlaps:
-            out.append((features(text, span), 0))
+    known = set(base)
+    found = proposals(text)
+    for span in known.intersection(found):
+        yield (span[0], 1, 0), text, span
+    for span in _clear(found, base):
+        yield (span[0], 0, 0), text, span
     for kind, start, end in base:
         before, after = text[max(0, start - 60):start], text[end:end + 60]
         for forms, label in ((loosened(kind, text[start:end]), 1), (broken(kind, text[start:end]), 0)):
-            for form in forms:
+            for at, form in enumerate(forms, 1):
                 changed = before + form + after
                 inside = (len(before), len(before) + len(form))
                 for span in proposals(changed):
                     whole = span[1] <= inside[0] and span[2] >= inside[1] and span[2] - span[1] <= len(form) + 2
                     if label and span[0] == kind and whole:
-                        out.append((features(changed, span), 1))
+                        yield (kind, 1, at), changed, span
                     elif not label and span[1] < inside[1] and inside[0] < span[2] and not any(
                             b[1] < span[2] and span[1] < b[2] for b in base_spans(changed)):
-                        out.append((features(changed, span), 0))
+                        yield (span[0], 0, at), changed, span
                     elif label and span[0] != kind and whole:
-                        out.append((features(changed, span), 0))
-    return out[:EXAMPLES_PER_TEXT]
+                        yield (span[0], 0, at), changed, span
+
+
+def examples(text: str) -> list[tuple[list[float], int]]:
+    """Labelled proposals of a text; at most ``EXAMPLES_PER_TEXT`` of them, dealt in turn over
+    kind, label and form, and by hash within each."""
+    groups: dict[tuple[str, int, int], list] = {}
+    for at, (group, of, span) in enumerate(labelled(text)):
+        own = groups.setdefault(group, [])
+        own.append((zlib.crc32(f"{at} {of[span[1]:span[2]]}".encode("utf-8", "replace")), of, span))
+        if len(own) >= 2 * EXAMPLES_PER_TEXT:
+            own.sort()
+            del own[EXAMPLES_PER_TEXT:]
+    turns = sorted((turn, group, of, span) for group, own in groups.items()
+                   for turn, (_, of, span) in enumerate(sorted(own)))
+    return [(features(of, span), group[1]) for _, group, of, span in turns[:EXAMPLES_PER_TEXT]]
+
+
+def sample_keys(hinted: DataFrame, sample: int) -> DataFrame:
+    """Per kind the ``sample`` smallest keys of texts that hold a base span of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = [sum({1 << KINDS.index(s[0]) for s in base_spans(t.as_py())}) for t in batch.column("text")]
+            held = pa.RecordBatch.from_arrays([batch.column("order"), pa.array(masks, pa.int32())], ["order", "kinds"])
+            yield held.filter(pa.array([m > 0 for m in masks], pa.bool_()))
+
+    held = stored(hinted.select("order", "text").mapInArrow(run, "order long, kinds int"), "pii_sample")
+    keys = [held.where(F.col("kinds").bitwiseAND(1 << i) != 0).select("order").distinct().orderBy("order").limit(sample)
+            for i in range(len(KINDS))]
+    return keys[0].union(keys[1]).union(keys[2]).union(keys[3]).distinct()
+
+
+def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> dict[str, float]:
+    """Per kind the lowest probability that keeps the precision; for a kind with fewer than
+    ``LEAST_HELD`` positives that of all kinds together."""
+    limits = {}
+    for i, kind in enumerate(KINDS):
+        own = kinds == i
+        if y[own].sum() < LEAST_HELD:
+            own = np.ones(len(p), bool)
+        limits[kind] = max(0.5, boosting.threshold_for(p[own], y[own], precision))
+    return limits
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
         precision: float = PRECISION) -> dict | None:
-    """Trees, calibration and thresholds from at most ``sample`` texts that hold base spans.
+    """Trees, calibration and thresholds from at most ``sample`` texts per kind that hold base spans.
 
-    None, so that nothing is added, when the sample has too few examples of either label.
+    Every fourth text is held out for calibration and thresholds; a sample too small for that is
+    used whole for both. None, so that nothing is added, when it has no example of either label.
     """
     width = len(features("1", ("ip", 0, 1)))
+    # any base span holds an @, or seven characters from digit to digit
     hinted = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).where(
-        F.col("text").rlike(r"@|[0-9][0-9 ().-]{7,}[0-9]")).select(
+        F.col("text").rlike(r"@|[0-9][0-9 ().-]{5,}[0-9]")).select(
         F.xxhash64("id", F.substring("text", 1, 1000)).alias("order"), "text")
     # the sample is chosen by key alone, so texts that are not in it do not move
-    keys = hinted.select("order").distinct().orderBy("order").limit(sample)
-    chosen = hinted.join(F.broadcast(keys), "order").dropDuplicates(["order"])
+    chosen = hinted.join(F.broadcast(sample_keys(hinted, sample)), "order").dropDuplicates(["order"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,18 +290,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return None
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, width) for r in rows]).astype(np.float64)
     y = np.concatenate([np.frombuffer(r["y"], np.int8) for r in rows]).astype(np.float64)
-    held = np.concatenate([np.full(len(r["y"]), r["order"] % 4 == 0) for r in rows])
-    if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 5:
+    if not 0 < y.sum() < len(y):
         return None
-    trees = boosting.fit_trees(x[~held], y[~held])
+    held = np.concatenate([np.full(len(r["y"]), r["order"] % 4 == 0) for r in rows])
+    taught = ~held
+    if min(y[taught].sum(), (1 - y[taught]).sum(), y[held].sum(), (1 - y[held]).sum()) < 5:
+        held = taught = np.ones(len(y), bool)
+    trees = boosting.fit_trees(x[taught], y[taught])
     margin = boosting.margins(trees, x[held])
     curve = boosting.calibrate(margin, y[held])
     p = boosting.probabilities(margin, curve)
-    limits = {}
-    for i, kind in enumerate(KINDS):
-        own = x[held, 0] == i
-        limits[kind] = max(0.5, boosting.threshold_for(p[own], y[held][own], precision)) if own.sum() >= 20 else 1.1
-    return {"trees": trees, "curve": curve, "limits": limits}
+    return {"trees": trees, "curve": curve, "limits": thresholds(p, y[held], x[held, 0], precision)}
 
 
 def added_spans(text: str, base: list[Span], model: dict | None) -> list[Span]:

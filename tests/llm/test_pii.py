@@ -82,3 +82,24 @@ def test_nulls_clashes_and_empty_table(spark, model):
     assert got[1]["spans"] == got[None]["spans"] == "" and got[1]["n_ip"] == 0
     assert got[2]["spans"] == "email:0:8,ip:9:17" and got[2]["redacted"] == "[email] [ip]"
     assert pii.fit(rows.limit(0)) is None and pii.find(rows.limit(0), None).collect() == []
+
+
+def test_crowded_texts_still_teach_every_form():
+    text = " ".join(f"name{i}@host{i}.com" for i in range(60)) + " at 10.0.0.7 or card 4111 1111 1111 1111 or call +1 (974) 555-3436 now"
+    groups = {group for group, _, _ in pii.labelled(text)}
+    got = pii.examples(text)
+    assert len(groups) <= len(got) <= pii.EXAMPLES_PER_TEXT
+    for kind in range(len(pii.KINDS)):
+        assert {y for x, y in got if x[0] == kind} >= {1}, pii.KINDS[kind]
+
+
+def test_a_rare_kind_is_sampled_and_keeps_a_threshold(spark):
+    rows = [(i, f"hinan name{i}@host{i % 7}.com er the {i}.{i % 9} order 4111{i:08d}2 ok on 2021-11-{i % 28:02d}") for i in range(400)]
+    rows += [(1000 + i, f"hinan 10.20.{i}.77 er the") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs, sample=40)
+    assert model is not None and all(limit <= 1 for limit in model["limits"].values()), model["limits"]
+    hinted = docs.selectExpr("xxhash64(cast(doc_id as string), substring(text, 1, 1000)) as order", "text", "doc_id")
+    kept = hinted.join(pii.sample_keys(hinted, 40), "order")
+    assert kept.where("doc_id >= 1000").count() == 6
+    assert pii.fit(docs.where("doc_id >= 1000")) is not None
