@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-1. Terms of a text: hashed words and word shapes (letters collapsed, marks kept), weighted by
+1. Terms of a text: hashed words (long ones in successive pieces) and word shapes (letters collapsed, marks kept), weighted by
    (1 + log count) times the inverse document frequency, which is counted over all documents, and
    scaled to length one. To these come steps of a few shares of its words: repeats of the word
    before, capitals, marks, words without letters, digits.
@@ -36,6 +36,7 @@ SAMPLE = 6000
 RANK = 48
 NEIGHBOURS = 15
 MEMO = 300_000
+PIECE = 50  # longer words are cut into pieces of so many characters, all of which count
 ROWS_AT_ONCE = 256
 LOWER, UPPER, DIGITS = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
 MARK = re.compile(r"[^\w.,;:!?'\"()-]|[!?]{2}")
@@ -53,11 +54,10 @@ class TermsOfWords(dict):
 
         if len(self) >= MEMO:
             self.clear()
-        part = word[:200]
-        shape = UPPER.sub("A", LOWER.sub("a", DIGITS.sub("0", part)))
-        letters = sum(c.isalpha() for c in part)
-        kinds = (letters > 1 and part.upper() == part, bool(MARK.search(part)), not letters,
-                 any(c.isdigit() for c in part))
+        shape = UPPER.sub("A", LOWER.sub("a", DIGITS.sub("0", word)))
+        letters = sum(c.isalpha() for c in word)
+        kinds = (letters > 1 and word.upper() == word, bool(MARK.search(word)), not letters,
+                 any(c.isdigit() for c in word))
         value = xxhash.xxh32_intdigest(word.lower()) % WORD_TERMS
         value = value * TERMS + WORD_TERMS + xxhash.xxh32_intdigest(shape) % SHAPE_TERMS
         for kind in kinds:
@@ -71,9 +71,17 @@ def terms_of_words() -> TermsOfWords:
     return TermsOfWords()
 
 
+def words_of(text: str) -> list[str]:
+    """Words between white space; text without any (Chinese, base64, minified code) in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [word[at:at + PIECE] for word in words for at in range(0, len(word), PIECE)]
+
+
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms of a text, 1 + log of their counts, and the steps its shares reach."""
-    words = (text or "").split()
+    words = words_of(text or "")
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32), np.zeros(SHARES, np.float32)
     codes = np.fromiter(map(terms_of_words().__getitem__, words), np.int64, len(words))

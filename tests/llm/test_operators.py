@@ -219,3 +219,12 @@ def test_chat_odd_rows(spark):
         assert shown.count("<|im_start|>") == shown.count("<|im_end|>") == 1 and "<|endoftext|>" not in shown
     assert chat.read_back(chat.format_turns(turns, path), path).count() == 2
     assert chat.format_turns(turns.limit(0), path).collect() == []
+
+
+def test_quality_counts_the_whole_of_texts_without_spaces():
+    head = "abcdefgh" * 40
+    seen = [quality.term_counts(head + tail * 500) for tail in ("ijklmnop", "12345678", "IJKLMNOP", "\u5b57{};#")]
+    assert len({steps.tobytes() for _, _, steps in seen}) == 4
+    assert all(len(terms) > 3 for terms, _, _ in seen[1:])
+    assert quality.words_of(f"a {head} b") == ["a", *(head[i:i + quality.PIECE] for i in range(0, len(head), quality.PIECE)), "b"]
+    assert "".join(quality.words_of(head)) == head
