@@ -9,7 +9,9 @@ Accepted proposals that touch no base span and no better proposal are added.
 
 No labels of personal data exist, so the trees learn from the corpus itself. Base spans are
 positive, as they are and rewritten in looser forms in their own surroundings. Negative are
-proposals in which the base rules' checks fail, and base spans broken so that they fail. The
+proposals of other forms than those, or in which the base rules' checks fail, and base spans broken
+so that they fail. Proposals of the corpus in a looser form that pass the checks are not labelled:
+they may be what the trees are to find. The
 examples come from a bounded sample of documents: per kind at most ``sample`` that hold a base span
 of it, by a hash of their id, and per document at most ``EXAMPLES_PER_TEXT`` examples, dealt in turn
 over kinds, labels and forms. A kind with too few examples for a threshold of its own takes that of
@@ -58,6 +60,15 @@ PROPOSALS = {
 # hold a run of at least six of the characters they are made of, from digit to digit
 MARKED = re.compile(r"@|[(\[{ ]at[)\]} ]", re.I)
 NUMERIC = re.compile(r"\d[\d\s()\[\]./_:, -]{4,}\d")
+# looser forms, whole spans
+AT = re.compile(r" ?(?:@|\(at\)|\[at\]|\{at\}) ?| at ", re.I)
+DOT = re.compile(r" ?(?:\(dot\)|\[dot\]) ?| dot ", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOOSE = {
+    "ip": re.compile(r"\d+(?:(?:\[\.\]\d+){3}|(?: \. \d+){3})"),
+    "card": re.compile(r"\d{4}(?:(?:\.\d{4}){2,3}\.\d{1,4}|(?:/\d{4}){2,3}/\d{1,4}|(?:\s\d{4}){2,3}\s\d{1,4})"),
+    "phone": re.compile(r"(?:(?:\+|00)?\d{1,5}[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"),
+}
 CUES = {
     "email": re.compile(r"mail|contact|write", re.I), "ip": re.compile(r"\bip\b|host|server|addr", re.I),
     "card": re.compile(r"card|visa|credit|iban|account", re.I),
@@ -132,6 +143,13 @@ def proposals(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[2], s[0]))
 
 
+def may_hold(kind: str, found: str) -> bool:
+    """Whether a proposal has a looser form of its kind and passes the checks of the base rules."""
+    if kind == "email":
+        return bool(ADDRESS.fullmatch(DOT.sub(".", AT.sub("@", found, count=1))))
+    return bool(LOOSE[kind].fullmatch(found)) and holds(kind, found.replace("[.]", ".").replace(" ", "") if kind == "ip" else found)
+
+
 def kind_of(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
 
@@ -201,7 +219,8 @@ def labelled(text: str) -> Iterator[tuple[tuple[str, int, int], str, Span]]:
     for span in known.intersection(found):
         yield (span[0], 1, 0), text, span
     for span in _clear(found, base):
-        yield (span[0], 0, 0), text, span
+        if not may_hold(span[0], text[span[1]:span[2]]):
+            yield (span[0], 0, 0), text, span
     for kind, start, end in base:
         before, after = text[max(0, start - 60):start], text[end:end + 60]
         for forms, label in ((loosened(kind, text[start:end]), 1), (broken(kind, text[start:end]), 0)):

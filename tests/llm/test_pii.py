@@ -103,3 +103,19 @@ def test_a_rare_kind_is_sampled_and_keeps_a_threshold(spark):
     kept = hinted.join(pii.sample_keys(hinted, 40), "order")
     assert kept.where("doc_id >= 1000").count() == 6
     assert pii.fit(docs.where("doc_id >= 1000")) is not None
+
+
+@pytest.mark.parametrize("kind, form", LOOSE + [("email", "john at example.com"), ("phone", "377-555-0271"), ("phone", "1 (377) 555-0271")])
+def test_looser_forms_of_the_corpus_are_not_taught_as_negatives(kind, form):
+    assert pii.may_hold(kind, form) or (kind, form) in [b[:1] + (form[b[1]:b[2]],) for b in pii.base_spans(form)]
+    text = f"hinan {form}, er the"
+    taught = [(group, of[span[1]:span[2]]) for group, of, span in pii.labelled(text)]
+    assert not [g for g, found in taught if found == form and g == (kind, 0, 0)], taught
+
+
+def test_other_forms_and_failing_checks_are_negatives():
+    for kind, form in (("email", "look at home. Then"), ("ip", "300[.]1[.]2[.]3"), ("ip", "1-2-3-4"), ("card", "4111.1111.1111.1112"),
+                       ("phone", "2021-11-05 12 30")):
+        assert not pii.may_hold(kind, form)
+        groups = [group for group, of, span in pii.labelled(f"hinan {form}, er the") if of[span[1]:span[2]] == form]
+        assert (kind, 0, 0) in groups, (form, groups)
