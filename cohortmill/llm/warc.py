@@ -29,6 +29,7 @@ SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame that holds a dictiona
 ARCHIVE_BYTES = 64 * 1024 * 1024
 SAMPLE_BYTES = 2 * 1024 * 1024
 DICTIONARY_BYTES = 64 * 1024
+PIECE_BYTES = 64 * 1024  # longer records are several training samples
 LEVEL = 3
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,10 +117,11 @@ def parsed(raw: bytes) -> tuple:
             fields["WARC-Payload-Digest"].split(":", 1)[1], body)
 
 
-def trained(samples: list[bytes]) -> bytes:
-    """A dictionary from records; empty where there are too few to train one."""
+def trained(records: list[bytes]) -> bytes:
+    """A dictionary from records, long ones in pieces; empty where there are too few to train one."""
     import zstandard
 
+    samples = [raw[at:at + PIECE_BYTES] for raw in records for at in range(0, len(raw), PIECE_BYTES)]
     if len(samples) < 8:
         return b""
     try:

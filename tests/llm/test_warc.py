@@ -55,3 +55,22 @@ def test_damage_is_noticed():
 
     with pytest.raises(ValueError):
         list(warc.frames(io.BytesIO(b"1234567890")))
+
+
+def test_large_pages_do_not_cost_an_archive_its_dictionary(tmp_path):
+    import random
+    import struct
+
+    words = [f"word{i}" for i in range(3000)]
+    page = lambda seed, size: " ".join(random.Random(seed).choices(words, k=size // 8)).encode()
+    for pages in ([page(1, 3_000_000), *(page(i, 2000) for i in range(2, 40))], [page(i, 500_000) for i in range(9)],
+                  [page(i, 200_000) for i in range(5)]):
+        writer = warc.ArchiveWriter(f"file://{tmp_path}")
+        for body in pages:
+            writer.add(body)
+        path, records, _, raw_bytes = writer.close()
+        with open(path.removeprefix("file://"), "rb") as stream:
+            assert struct.unpack("<II", stream.read(8))[1] > 0
+            stream.seek(0)
+            assert list(warc.frames(stream)) == pages
+        assert records == len(pages) and raw_bytes == sum(map(len, pages))
