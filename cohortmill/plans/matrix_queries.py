@@ -88,6 +88,24 @@ def matrix_build_mirna(spark, sf_dir):
         modality=MIRNA, complete=False).withColumn("value", rounded(F.col("value"), 2))
 
 
+@query("matrix_build_complete", f"""with {A.EXPRESSION_SQL},
+cells as (select 'f' || sample_id as file, feature_id, value from expr),
+tot as (select sample_id as customer, sum(value) as total from expr group by 1),
+pick as (select 'f' || customer as file, 's' || (customer // 2) as sample_id from tot
+  qualify row_number() over (partition by customer // 2 order by total desc, 'f' || customer) = 1)
+select sample_id, feature_id, round(value, 2) as value from cells join pick using (file)""")
+def matrix_build_complete(spark, sf_dir):
+    """A file per customer that holds every brand, two customers a sample; checked when built."""
+    name = F.concat(F.lit("f"), F.col("key").cast("string"), F.lit(RNASEQ.file_suffixes[0])).alias("file_name")
+    quant = A.expression(spark, sf_dir).withColumnRenamed("sample_id", "key").select(
+        name, F.col("feature_id").alias(RNASEQ.feature_column), F.col("value").alias(RNASEQ.metrics[0]))
+    sheet = A.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "key").select(
+        name, F.concat(F.lit("s"), F.floor(F.col("key") / 2).cast("string")).alias("sample_id"),
+        F.col("key").alias("position"))
+    return M.build_matrix(quant, sheet, RNASEQ.metrics[0], "deepest").withColumn(
+        "value", rounded(F.col("value"), 2))
+
+
 @query("matrix_checks", f"""with {A.PROFILE_SQL}
 select sample_id, count(*) as n_features, 0::bigint as n_repeated, 0::bigint as n_null,
   0::bigint as n_non_finite, count(*) = (select count(distinct feature_id) from profile)

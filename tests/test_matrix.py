@@ -191,3 +191,13 @@ def test_person_codes_keep_keys_apart(spark):
     keys = spark.createDataFrame([(k,) for k in (0, 1, 35, 36, 9999, 10000, 10001, 1679615, 1679616, 10**12)], "k long")
     codes = [r[0] for r in keys.select(person_code(F.col("k"))).collect()]
     assert len(set(codes)) == len(codes) and min(map(len, codes)) == 4
+
+
+def test_a_registered_build_is_checked(spark, monkeypatch):
+    from cohortmill.operators import matrix as M
+    from cohortmill.plans.registry import QUERIES
+
+    checked, check = [], M.assert_matrix
+    monkeypatch.setattr(M, "assert_matrix", lambda cells: checked.append(1) or check(cells))
+    built = QUERIES["matrix_build_complete"](spark, "/root/testdata/sf0.001")
+    assert checked and built.count() == built.select("sample_id").distinct().count() * built.select("feature_id").distinct().count()
