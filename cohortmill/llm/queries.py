@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter, vp_search, warc
+from cohortmill.llm import alignment, bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter, vp_search, warc
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
-from cohortmill.llm.common import table
+from cohortmill.llm.common import stored, table
 from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, NEAR, NEAREST, URLS
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 VP_FACTOR = 1.0
@@ -97,3 +97,13 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs)).drop("text")
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS],
                         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op11_alignment")
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    # the spelt groups are digested as they come; they are not stored
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.link_statistics(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
