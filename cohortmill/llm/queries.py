@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import alignment, bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter, vp_search, warc
+from cohortmill.llm import (alignment, bpe, chat, exact_dedup, hard_negatives, mixing, ngram_join, pii, quality,
+                            url_filter, vp_search, warc)
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import stored, table
-from cohortmill.llm.sql import ARCHIVED, EXACT, MIXED, NEAR, NEAREST, URLS
+from cohortmill.llm.sql import ARCHIVED, EXACT, HARD, MIXED, NEAR, NEAREST, URLS
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -107,3 +108,9 @@ def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
     return alignment.link_statistics(aligned).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_hard_negatives", HARD)
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label=label)

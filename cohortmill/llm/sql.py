@@ -138,3 +138,21 @@ scored as (select q.vec_id as query_id, c.vec_id,
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
+
+HARD = """
+with whole as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double)::bigint for x in embedding] as w from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+numbered as (select *, row_number() over () as n from whole),
+scored as (select a.n as anchor, a.vec_id as anchor_id, r.vec_id, a.label = r.label as same,
+    coalesce(list_sum([a.w[i] * r.w[i] for i in range(1, least(len(a.w), len(r.w)) + 1)]), 0)::bigint as score
+  from numbered a join numbered r on a.vec_id % 100 = 0 and (a.vec_id <> r.vec_id or a.label <> r.label)),
+positives as (select anchor, anchor_id, vec_id as positive_id, score as positive_score,
+    row_number() over (partition by anchor order by score desc, vec_id) as p from scored where same qualify p <= 5),
+negatives as (select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor, p.p order by s.score desc, s.vec_id)::int as rank
+  from positives p join scored s on s.anchor = p.anchor and not s.same
+    and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 5
+"""
