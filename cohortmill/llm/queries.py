@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.llm import (alignment, bpe, chat, exact_dedup, hard_negatives, mixing, ngram_join, pii, quality,
-                            url_filter, vp_search, warc)
+                            resharding, url_filter, vp_search, warc)
 from cohortmill.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from cohortmill.llm.common import stored, table
 from cohortmill.llm.sql import ARCHIVED, EXACT, HARD, MIXED, NEAR, NEAREST, URLS
@@ -114,3 +114,19 @@ def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label=label)
+
+
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+@query("op13_resharding")
+def resharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a table of six shards by hash of their id, resharded to eight of equal bytes."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    folder, schema = resharding.write_shards(
+        table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), size)
+    rows = resharding.reshard(spark, folder, schema, lambda total: resharding.equal_capacities(total, NEW_SHARDS))
+    return rows.select("doc_id", F.col(resharding.SIZE).alias("size"),
+                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+                       F.col(resharding.SHARD).alias("shard"), F.col(resharding.SLOT).alias("slot"),
+                       F.lit(None).cast("int").alias("grown_shard"))
