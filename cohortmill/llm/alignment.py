@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +64,23 @@ class Tokenizers:
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """Both id lists of each text; both empty where either does not spell a space and the text."""
-        known = [t or "" for t in texts]
-        found = []
-        for text, first, second in zip(known, self.first.encode_ordinary_batch([" " + t for t in known], num_threads=1),
-                                       self.second.encode(known, num_threads=1)):
-            spelt = (" " + text).encode()
-            fits = (text and b"".join(map(self.first_bytes.__getitem__, first)) == spelt
-                    and b"".join(map(self.second_bytes.__getitem__, second)) == spelt)
-            found.append((first, second) if fits else ([], []))
-        return found
+        spelt = [f" {t}".encode() if t else b"" for t in texts]
+        first = [self.first.encode_ordinary(f" {t}") if t else [] for t in texts]
+        second = self.second.encode([t or "" for t in texts], num_threads=1)
+        fits = _spell(self.first_bytes, self.first_length, first, spelt) & _spell(
+            self.second_bytes, self.second_length, second, spelt)
+        return [(a, b) if fit else ([], []) for a, b, fit in zip(first, second, fits.tolist())]
+
+
+def _spell(pieces: list[bytes], lengths: np.ndarray, ids: list[list[int]], texts: list[bytes]) -> np.ndarray:
+    """Whether the pieces of each id list are the bytes of its text."""
+    many = np.fromiter(map(len, ids), np.int64, len(ids))
+    of_token = lengths[np.fromiter(chain.from_iterable(ids), np.int64, many.sum())]
+    total = np.r_[0, np.cumsum(of_token)][np.r_[0, np.cumsum(many)]]
+    fits = np.diff(total) == np.fromiter(map(len, texts), np.int64, len(texts))
+    if fits.all() and b"".join(map(pieces.__getitem__, chain.from_iterable(ids))) == b"".join(texts):
+        return fits
+    return np.array([b"".join(map(pieces.__getitem__, i)) == t for i, t in zip(ids, texts)], bool)
 
 
 @lru_cache(maxsize=2)
@@ -101,7 +110,7 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, a0: np.ndarray, a1: np.n
         best = nearest[hit]
         chosen = centre[hit] + np.where(best & 1, best >> 1, -(best >> 1))
         cut_a[open_[hit]] = chosen
-        cut_b[open_[hit]] = np.searchsorted(ends_b, ends_a[chosen])
+        cut_b[open_[hit]] = at[starts[hit] + chosen - low[hit]]
         open_ = open_[~hit & ((low > a0[open_]) | (high < a1[open_] - 2))]
         reach = max(1, reach * 4)
     return cut_a, cut_b
@@ -148,18 +157,21 @@ def align_texts(known: Tokenizers, texts: list[str | None]) -> dict[str, pa.Arra
     groups = ["".join(spelt[start:end].tolist())[:-1] for start, end in zip([0, *stop], stop)]
 
     # every stretch between neighbouring ends of either side lies in one token of each: one link
-    ends = np.union1d(ends_a, ends_b)
-    link_a, link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    of_text = np.searchsorted(stop_a, link_a, side="right")
-    pair = (first[link_a] << SHIFT) | second[link_b]
-    order = np.lexsort((pair, of_text))
-    pair, of_text = pair[order], of_text[order]
-    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (of_text[1:] != of_text[:-1])][:len(pair)])
-    times = np.diff(np.r_[new, len(pair)])
-    offsets = pa.array(np.searchsorted(of_text[new], np.arange(len(texts) + 1)).astype(np.int32))
+    known_a, known_b = np.zeros(ends_a[-1] + 1 if len(ends_a) else 0, bool), np.zeros(ends_b[-1] + 1 if len(ends_b) else 0, bool)
+    known_a[ends_a] = known_b[ends_b] = True
+    ends = np.flatnonzero(known_a | known_b)
+    link_a, link_b = (np.cumsum(side[ends]) - side[ends] for side in (known_a, known_b))
+    of_text = np.repeat(np.arange(len(texts)), many_a)[link_a]
+    width = len(known.second_bytes)
+    link = np.sort((of_text * len(known.first_bytes) + first[link_a]) * width + second[link_b])
+    new = np.flatnonzero(np.r_[True, link[1:] != link[:-1]][:len(link)])
+    of_text, pair = np.divmod(link[new], len(known.first_bytes) * width)
+    pair = (pair // width << SHIFT) | pair % width
+    times = np.diff(np.r_[new, len(link)])
+    offsets = pa.array(np.searchsorted(of_text, np.arange(len(texts) + 1)).astype(np.int32))
     return {"n_a": pa.array(many_a), "n_b": pa.array(many_b), "n_groups": pa.array(n_groups.astype(np.int64)),
             "groups": pa.array(groups, pa.string()),
-            "pairs": pa.ListArray.from_arrays(offsets, pa.array(pair[new])),
+            "pairs": pa.ListArray.from_arrays(offsets, pa.array(pair)),
             "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))}
 
 
@@ -180,7 +192,7 @@ def align(docs: DataFrame, first_path: str, second_path: str, doc_id: str = "doc
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            sizes = np.cumsum(np.array([len(t or "") for t in texts.to_pylist()], np.int64))
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(ids):
                 before = sizes[at - 1] if at else 0
