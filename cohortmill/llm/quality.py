@@ -8,10 +8,10 @@
    documented parameter) gives a truncated singular value decomposition: the latent space.
 3. The sample's latent vectors and labels are broadcast: their size is bounded by ``sample`` times
    ``rank``. Every document is projected and multiplied with all of them, block by block, and its
-   ``neighbours`` nearest vote with their cosine as weight. A document of the sample does not vote
-   for itself.
+   ``neighbours`` nearest vote with their cosine as weight. Sampled texts equal to a document's own
+   do not vote for it, whatever their ids.
 
-Text, label and hash of the id choose the sample; scores see the text alone.
+Text, label and hash of the id choose the sample; scores see the text alone, so copies have one score.
 """
 
 from __future__ import annotations
@@ -146,12 +146,18 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def votes(vectors: np.ndarray, ids: list, model: dict) -> np.ndarray:
+def digest(text: str | None) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest((text or "").encode())
+
+
+def votes(vectors: np.ndarray, texts: list[str | None], model: dict) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest labelled vectors; the base rate for a
     text that resembles none."""
     labelled, labels, k = model["vectors"], model["labels"], model["neighbours"]
     cosine = vectors @ labelled.T
-    own = [(i, at) for i, doc_id in enumerate(ids) for at in model["places"].get(doc_id, ())]
+    own = [(i, at) for i, text in enumerate(texts) for at in model["places"].get(digest(text), ())]
     if own:
         cosine[tuple(zip(*own))] = -1
     k = min(k, len(labels))
@@ -177,22 +183,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = [term_counts(t.as_py()) for t in batch.column("text__")]
+            texts = batch.column("text__").to_pylist()
+            counted = [term_counts(t) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "id__": batch.column("id__"), "y__": batch.column("y__"),
+                "digest__": pa.array([digest(t) for t in texts], pa.binary()),
                 "terms__": pa.array([c[0].astype("<i4").tobytes() for c in counted], pa.binary()),
                 "counts__": pa.array([c[1].tobytes() for c in counted], pa.binary()),
                 "steps__": pa.array([c[2].tobytes() for c in counted], pa.binary())})
 
     rows = (docs.select(F.col(doc_id).cast("long").alias("id__"), F.col(text).cast("string").alias("text__"))
-            .join(F.broadcast(known), "id__").mapInArrow(run, "id__ long, y__ int, terms__ binary, counts__ binary, steps__ binary")
-            .orderBy("id__", "terms__").limit(sample).collect())
+            .join(F.broadcast(known), "id__").mapInArrow(run, "id__ long, y__ int, digest__ binary, terms__ binary, counts__ binary, steps__ binary")
+            .orderBy("id__", "digest__").limit(sample).collect())
     dense = rows_of([(np.frombuffer(r["terms__"], "<i4"), np.frombuffer(r["counts__"], np.float32),
                       np.frombuffer(r["steps__"], np.float32)) for r in rows], weights)
     y = np.array([r["y__"] for r in rows], np.float64)
     places: dict = {}
     for i, row in enumerate(rows):
-        places.setdefault(row["id__"], []).append(i)
+        places.setdefault(bytes(row["digest__"]), []).append(i)
     if not len(rows):
         return {"weights": weights, "space": np.zeros((TERMS + SHARES, 1), np.float32), "vectors": np.zeros((1, 1), np.float32),
                 "labels": np.ones(1), "base": 1.0, "neighbours": 1, "places": {}}
@@ -201,8 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             "base": float(y.mean()), "neighbours": neighbours, "places": places}
 
 
-def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text",
-          name: str = "quality_score") -> DataFrame:
+def score(docs: DataFrame, model: dict, text: str = "text", name: str = "quality_score") -> DataFrame:
     """``docs`` with the share of good neighbours, from 0 to 1; an existing column is replaced.
 
     Null and empty texts get the base rate of the sample. Without labelled rows every score is 1.
@@ -216,8 +223,9 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                rows = rows_of([term_counts(t.as_py()) for t in part.column(text)], model["weights"])
-                scores = votes(unit(rows @ model["space"]), part.column(doc_id).to_pylist(), model)
+                texts = part.column(text).to_pylist()
+                rows = rows_of([term_counts(t) for t in texts], model["weights"])
+                scores = votes(unit(rows @ model["space"]), texts, model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())],
                                                  [*part.schema.names, name])
 
@@ -227,5 +235,5 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
              least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``least``, with their own columns."""
-    scored = score(docs, fit(docs, labels, doc_id, text), doc_id, text, "quality_score__")
+    scored = score(docs, fit(docs, labels, doc_id, text), text, "quality_score__")
     return scored.where(F.col("quality_score__") >= least).drop("quality_score__")

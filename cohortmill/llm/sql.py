@@ -127,15 +127,16 @@ from classed
 """
 
 NEAREST = """
-with v as (select vec_id, embedding::double[] as e from embeddings
+with v as (select distinct vec_id, embedding::double[] as e from embeddings
   where vec_id is not null and embedding is not null
     and len([x for x in embedding if x is null or not isfinite(x)]) = 0
     and len([x for x in embedding if x <> 0]) > 0),
-sized as (select * from v where len(e) = (select len(e) from v group by 1 order by count(*) desc, 1 limit 1)),
-scored as (select q.vec_id as query_id, c.vec_id,
+sized as (select *, row_number() over () as query from v
+  where len(e) = (select len(e) from v group by 1 order by count(*) desc, 1 limit 1)),
+scored as (select q.query, q.vec_id as query_id, c.vec_id,
     list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) as score
   from sized q join sized c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+ranked as (select *, row_number() over (partition by query order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 

@@ -10,7 +10,7 @@ distances on either side. A query at distance d from the vantage point can skip
 [lo, hi] is further away than its current k-th neighbour: max(lo - d, d - hi) > tau. ``factor``
 relaxes this to ``factor * max(...) > tau``: one is exact, more prunes more and may miss rows.
 
-Rows are dealt to shards of bounded size by a hash of their id; each shard's tree is one index row.
+Rows are dealt to shards of bounded size by a hash; each shard's tree is one index row.
 Queries are packed into bounded blocks; every block meets every shard in a task of its own, all
 queries of the block walk the tree together as arrays, and each returns its k best. Scores of the
 rows returned are summed again in coordinate order in double precision, so equal vectors tie.
@@ -28,27 +28,27 @@ from pyspark.sql import functions as F
 from cohortmill.llm.common import stored
 
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 2048
+BLOCK_QUERIES = 8192
 LEAF_ROWS = 128
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(vec_id, vector as doubles) of rows that take part: an id, and a vector of the commonest
-    length without null or non-finite components that is not zero."""
+    length without null or non-finite components that is not zero. Repeated rows count once."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"),
                           F.col(vector).cast("array<double>").alias("vector"))
     broken = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~broken
-                      & F.exists("vector", lambda x: x != 0))
+                      & F.exists("vector", lambda x: x != 0)).distinct()
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("vector") == (common[0] if common else 0))
 
 
 def tree(ids: np.ndarray, rows: np.ndarray, longest: float, copies: int) -> dict:
-    """A vantage-point tree. Of equal vectors only the ``copies`` smallest ids are kept: with ties
-    going to smaller ids the others can never be among the nearest."""
+    """A vantage-point tree of distinct (id, vector) rows. Of equal vectors only the ``copies``
+    smallest ids are kept: with ties going to smaller ids the others can never be among the nearest."""
     order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
+    ids, rows = ids[order], rows[order] + 0.0  # minus zero equals zero
     _, kind = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1] * 8}").ravel(), return_inverse=True)
     by_kind = np.argsort(kind, kind="stable")
     first = np.r_[True, kind[by_kind][1:] != kind[by_kind][:-1]]
@@ -180,41 +180,41 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
         made = tree(shard.column("vec_id").to_numpy(), _matrix(shard.column("vector")), longest, k + 1)
         return pa.table({"shard": shard.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(made)], pa.binary())})
 
-    return stored(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    return stored(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
                   .groupBy("shard").applyInArrow(build, "shard int, tree binary"), "index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float,
            block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest rows of each query (vec_id, vector), without
-    rows of the query's own id. Work and data moved are blocks of queries times shards."""
-    count = queries.count()
-    blocks = max(1, -(-count // block_queries))
+    """(query_id, rank, vec_id, score) of the k nearest rows of each row of queries (vec_id, vector),
+    without rows of the query's own id. Work and data moved are blocks of queries times shards."""
+    numbered = stored(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-numbered.count() // block_queries))
     shards = index.agg(F.max("shard")).first()[0]
 
     def pack(block: pa.Table) -> pa.Table:
-        packed = pickle.dumps((block.column("vec_id").to_numpy(), _matrix(block.column("vector"))))
+        packed = pickle.dumps((block.column("query").to_numpy(), block.column("vec_id").to_numpy(), _matrix(block.column("vector"))))
         return pa.table({"block": block.column("block").slice(0, 1), "queries": pa.array([packed], pa.binary())})
 
-    packed = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    packed = (numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
               .groupBy("block").applyInArrow(pack, "block int, queries binary"))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards if shards is not None else 0))))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(trees: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
         for made in trees.column("tree").to_pylist():
             made = pickle.loads(made)
             for block in blocks.column("queries").to_pylist():
-                ids, vectors = pickle.loads(block)
+                numbers, ids, vectors = pickle.loads(block)
                 q, r, score, _ = nearest(made, ids, vectors, k, factor)
-                out.append(pa.table([ids[q], made["ids"][r], score], schema=schema))
+                out.append(pa.table([numbers[q], ids[q], made["ids"][r], score], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        meet, "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
@@ -224,6 +224,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, v
     """The k nearest rows of every row that ``is_query`` (a function of the id column) picks.
 
     Null, zero, broken or odd-length vectors and null ids take no part. Ties go to the smaller id.
+    Rows repeated in id and vector count once. Different vectors of one id are candidates of their
+    own, and queries of their own with k ranks each; rows of a query's own id are not its candidates.
     A query with fewer candidates than k gets all of them; an empty table gives an empty result.
     """
     rows = stored(usable(vectors, vec_id, vector), "vectors")

@@ -154,6 +154,23 @@ def test_nearest_odd_vectors(spark):
     assert vp_search.neighbours(vectors.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+def test_nearest_with_repeated_ids_against_all_pairs(spark):
+    """Ids repeated with other vectors, rows repeated whole, ties, and more copies than ranks."""
+    rng = np.random.default_rng(12)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)]) for i in rng.integers(0, 60, 300)]
+    rows += [(20, [1.0, 2.0, 0.0]), (20, [2.0, 1.0, 0.0])] + [(20, [1.0, 1.0, 1.0])] * 40 + [(i, [1.0, 1.0, 1.0]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    known = {(i, tuple(x + 0.0 for x in v)) for i, v in rows if any(v)}
+    for k in (4, 1000):
+        want = []
+        for i, v in known:
+            if i % 20 == 0:
+                others = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in known if j != i)[:k]
+                want += [(i, rank, j, -score) for rank, (score, j) in enumerate(others, 1)]
+        got = [tuple(r) for r in vp_search.neighbours(vectors, lambda i: i % 20 == 0, k=k).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_tree_prunes_exactly_and_relaxed():
     rng = np.random.default_rng(0)
     rows = rng.normal(size=(40, 1, 6)) * 8 + rng.normal(size=(40, 100, 6))
@@ -183,6 +200,36 @@ def test_quality_on_held_out_rows(spark):
     assert (got.predicted == got.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_scores_do_not_depend_on_ids(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert model["places"]
+    shifted = docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text")
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs.unionByName(shifted), model).collect()}
+    # single-precision products differ in the last bits with a row's place in its block
+    assert all(abs(scores[i] - scores[i + 100_000]) < 1e-4 for i in scores if i < 100_000)
+    by_text = docs.join(spark.createDataFrame(list(scores.items()), "doc_id long, s double"), "doc_id")
+    assert by_text.groupBy("text").agg((F.max("s") - F.min("s")).alias("d")).where("d > 1e-4").count() == 0
+
+
+def test_votes_against_plain_neighbours(spark):
+    """Every score of a whole table is the weighted vote of the sorted cosines of all others."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    for row in docs.collect():
+        vector = quality.unit(quality.rows_of([quality.term_counts(row["text"])], model["weights"]) @ model["space"])[0]
+        own = model["places"].get(quality.digest(row["text"]), [])
+        cosines = sorted(((-1.0 if at in own else float(vector @ other)), y) for at, (other, y) in
+                         enumerate(zip(model["vectors"], model["labels"])))[-model["neighbours"]:]
+        weights = [max(c, 0.0) ** 4 for c, _ in cosines]
+        want = sum(w * y for w, (_, y) in zip(weights, cosines)) / sum(weights) if sum(weights) > 1e-12 else model["base"]
+        assert abs(scores[row["doc_id"]] - want) < 1e-3, row["doc_id"]
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (8, 0, 0), (7, None, 0), (None, 1, 1), (8, 0, 1)],
                                    "doc_id long, quality int, toxic int")
