@@ -20,8 +20,10 @@ all kinds. Everything else covers all rows, whole texts included; scans are line
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,24 +160,50 @@ def features(text: str, span: Span) -> list[float]:
     """Format of the span and of its surroundings."""
     kind, start, end = span
     found = text[start:end]
-    digits, before, after = digits_of(found), text[max(0, start - AROUND):start], text[end:end + AROUND]
-    groups = [len(g) for g in re.findall(r"\d+", found)] or [0]
+    # numbers in names and domains say nothing of the form of an address
+    numbers = [] if kind == "email" else re.findall(r"\d+", found)
+    digits = "" if kind == "email" else digits_of(found)
+    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    groups = [len(g) for g in numbers] or [0]
     other = [c for c in found if not c.isalnum()]
     return [
         KINDS.index(kind), len(found), len(digits), sum(c.isalpha() for c in found), len(groups),
         min(groups), max(groups), len(set(other)), sum(c.isspace() for c in found), found.count("."),
         found.count("-"), found.count("@"), float("(" in found), float(found.startswith("+")),
-        float(len(digits) > 1 and luhn(digits)), float(max((int(g) if len(g) < 5 else 9999)
-                                                             for g in re.findall(r"\d+", found) or ["0"]) <= 255),
+        float(len(digits) > 1 and luhn(digits)),
+        float(max((int(g) if len(g) < 5 else 9999) for g in numbers or ["0"]) <= 255),
         float(bool(re.search(r"[(\[{ ]at[)\]} ]", found, re.I))),
         float(bool(re.search(r"[(\[ ]dot[)\] ]|\.", found, re.I))),
         kind_of(before[-1:]), kind_of(after[:1]), float(bool(CUES[kind].search(before))),
         float(bool(SECRET.search(before))), float('"' in before[-3:] or "=" in before[-4:]),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
         sum(c in "%$#&*|" for c in before + after), float(len(set(digits)) < 3),
+        float(bool(re.search(r"\.\s", found))),
     ]
 
 
+# fixed values: endings of domains in made-up addresses
+ENDINGS = ("com", "org", "net", "edu", "de", "fr", "it", "es", "co.uk", "io", "info", "gov", "com.br")
+
+
+def made_up_address(found: str) -> tuple[str, str]:
+    """A name and a domain of no corpus, chosen by a hash of the address, so that the trees learn the
+    form of an address and not the names that the corpus happens to use."""
+    drawn = random.Random(zlib.crc32(found.encode()))
+    letters = "".join(c for c in map(chr, range(97, 123)) if c not in "aeiou")
+
+    def word(longest: int) -> str:
+        return "".join(drawn.choice(letters) + drawn.choice("aeiou") * (drawn.random() < 0.8)
+                       for _ in range(drawn.randint(1, longest)))
+
+    parts = [word(4) for _ in range(drawn.randint(1, 3))]
+    if drawn.random() < 0.3:
+        parts[0] = parts[0][0]
+    name = drawn.choice([".", "_", "-", ""]).join(parts) + (str(drawn.randint(1, 2030)) if drawn.random() < 0.35 else "")
+    domain = [word(4) + (str(drawn.randint(1, 99)) if drawn.random() < 0.15 else "") for _ in range(drawn.choice([1, 1, 1, 2]))]
+    return (name.title() if drawn.random() < 0.2 else name), ".".join([*domain, drawn.choice(ENDINGS)])
+
+
 def loosened(kind: str, found: str) -> list[str]:
     """A base span in looser forms that are still personal data."""
     if kind == "email":
@@ -198,9 +226,12 @@ def broken(kind: str, found: str) -> list[str]:
     digits = digits_of(found)
     if kind == "email":
         name, _, domain = found.partition("@")
-        return [f"{name}@{domain.replace('.', ' ')} 1.2", f"{domain.replace('.', ' at ')} the. {name[:3]}"]
+        first = domain.partition(".")[0]
+        return [f"{name}@{domain.replace('.', ' ')} 1.2", f"{domain.replace('.', ' at ')} the. {name[:3]}",
+                f"{name} at {first}. {name[:3].title()}"]
     if kind == "ip":
-        parts = found.split(".")
+        # a part may have any number of leading zeros
+        parts = [part.lstrip("0")[:3] or "0" for part in found.split(".")]
         return [".".join([parts[0], str(int(parts[1]) + 300), *parts[2:]]), "-".join(["2021", "11", "05", "0900"]),
                 f"{parts[0]},{int(parts[1]) + 256},{parts[2]},{parts[3]}"]
     if kind == "card":
@@ -212,7 +243,8 @@ def broken(kind: str, found: str) -> list[str]:
 
 def labelled(text: str) -> Iterator[tuple[tuple[str, int, int], str, Span]]:
     """((kind, label, form), text, proposal): form 0 are the text's own proposals, 1 and up the
-    rewritten base spans, each in a text of its own surroundings."""
+    rewritten base spans (per kind at most ``EXAMPLES_PER_TEXT`` of them, by hash; addresses with
+    made-up names), each in a text of its own surroundings."""
     base = base_spans(text)
     known = set(base)
     found = proposals(text)
@@ -221,9 +253,13 @@ def labelled(text: str) -> Iterator[tuple[tuple[str, int, int], str, Span]]:
     for span in _clear(found, base):
         if not may_hold(span[0], text[span[1]:span[2]]):
             yield (span[0], 0, 0), text, span
+    chosen: dict[str, list] = {kind: [] for kind in KINDS}
     for kind, start, end in base:
+        chosen[kind].append((zlib.crc32(f"{start} {text[start:end]}".encode("utf-8", "replace")), start, end))
+    for kind, start, end in [(k, s, e) for k in KINDS for _, s, e in sorted(chosen[k])[:EXAMPLES_PER_TEXT]]:
+        found = "@".join(made_up_address(text[start:end])) if kind == "email" else text[start:end]
         before, after = text[max(0, start - 60):start], text[end:end + 60]
-        for forms, label in ((loosened(kind, text[start:end]), 1), (broken(kind, text[start:end]), 0)):
+        for forms, label in ((loosened(kind, found), 1), (broken(kind, found), 0)):
             for at, form in enumerate(forms, 1):
                 changed = before + form + after
                 inside = (len(before), len(before) + len(form))
@@ -268,14 +304,16 @@ def sample_keys(hinted: DataFrame, sample: int) -> DataFrame:
 
 
 def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> dict[str, float]:
-    """Per kind the lowest probability that keeps the precision; for a kind with fewer than
-    ``LEAST_HELD`` positives that of all kinds together."""
+    """Per kind the lowest probability that keeps the precision. A kind with fewer than
+    ``LEAST_HELD`` positives, or without such a probability, takes that of all kinds together; if
+    there is none either, the highest probability of the examples. No kind is ever shut off."""
+    pooled = boosting.threshold_for(p, y, precision)
+    pooled = pooled if pooled <= 1 else float(p.max())
     limits = {}
     for i, kind in enumerate(KINDS):
         own = kinds == i
-        if y[own].sum() < LEAST_HELD:
-            own = np.ones(len(p), bool)
-        limits[kind] = max(0.5, boosting.threshold_for(p[own], y[own], precision))
+        limit = boosting.threshold_for(p[own], y[own], precision) if y[own].sum() >= LEAST_HELD else 2.0
+        limits[kind] = max(0.5, limit if limit <= 1 else pooled)
     return limits
 
 
@@ -290,7 +328,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     # any base span holds an @, or seven characters from digit to digit
     hinted = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).where(
         F.col("text").rlike(r"@|[0-9][0-9 ().-]{5,}[0-9]")).select(
-        F.xxhash64("id", F.substring("text", 1, 1000)).alias("order"), "text")
+        F.xxhash64("id", "text").alias("order"), "text")
     # the sample is chosen by key alone, so texts that are not in it do not move
     chosen = hinted.join(F.broadcast(sample_keys(hinted, sample)), "order").dropDuplicates(["order"])
 
@@ -334,9 +372,12 @@ def added_spans(text: str, base: list[Span], model: dict | None) -> list[Span]:
     p = boosting.probabilities(boosting.margins(model["trees"], x), model["curve"])
     passing = [(float(q), s) for q, s in zip(p, candidates) if q >= model["limits"][s[0]]]
     taken: list[Span] = []
+    starts: list[int] = []  # of the spans taken, which do not overlap
     for _, span in sorted(passing, key=lambda c: (-c[0], c[1][1], -c[1][2], KINDS.index(c[1][0]))):
-        if not any(t[1] < span[2] and span[1] < t[2] for t in taken):
-            taken.append(span)
+        at = bisect_left(starts, span[1])
+        if (at == 0 or taken[at - 1][2] <= span[1]) and (at == len(starts) or span[2] <= starts[at]):
+            starts.insert(at, span[1])
+            taken.insert(at, span)
     return taken
 
 

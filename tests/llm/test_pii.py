@@ -1,12 +1,16 @@
 """Base rules against plain patterns, and what the trees add."""
 
+import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cohortmill.llm import pii
+from cohortmill.llm.queries import pii_query
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -38,6 +42,72 @@ def test_scans_are_linear():
         pii.base_spans(text), pii.proposals(text)
 
 
+def test_crowded_texts_are_judged_in_linear_time(model):
+    crowded = " er ".join(f"({200 + i % 700}) {300 + i % 600}-{1000 + i % 9000:04d}" for i in range(50_000))
+    addresses = " ".join(f"10.{i % 250}.{i // 250 % 250}.7" for i in range(20_000))
+    start = time.time()
+    assert len(crowded) > 890_000 and len(pii.added_spans(crowded, pii.base_spans(crowded), model)) > 40_000
+    assert time.time() - start < 20
+    start = time.time()
+    assert len(pii.examples(addresses)) <= pii.EXAMPLES_PER_TEXT
+    assert time.time() - start < 5
+
+
+def test_any_number_of_leading_zeros(spark):
+    text = "host 1." + "0" * 5000 + "1.2.3 er 10.2.3.4"
+    assert [s[0] for s in pii.base_spans(text)] == ["ip", "ip"]
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(30)], "doc_id long, text string")
+    assert pii.find(docs, pii.fit(docs)).where("n_ip = 2").count() == 30
+
+
+def unseen(kind, rng):
+    """A span in a looser form, with names and numbers of its own."""
+    if kind == "email":
+        name = rng.choice(["john.doe", "ana7", "m_lee", "Priya-K", "zoltan", "q.wu88", "sam.o.hara", "ludmila1999"])
+        host = rng.choice(["mail.com", "corp.org", "uni.de", "cs.oxbridge.ac.uk", "my-shop.io", "startup2.fr", "example.co.jp"])
+        at, dot = rng.choice([(" (at) ", "."), ("[at]", "[dot]"), (" at ", " dot ")])
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return rng.choice(["[.]", " . "]).join(str(rng.randint(1, 255)) for _ in range(4))
+    if kind == "card":
+        body = "".join(str(rng.randint(0, 9)) for _ in range(15))
+        digits = next(body + str(d) for d in range(10) if pii.luhn(body + str(d)))
+        return rng.choice([".", "/"]).join(digits[i:i + 4] for i in range(0, 16, 4))
+    a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)
+    return rng.choice([f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}"])
+
+
+def test_recall_on_unseen_names_and_numbers(model):
+    rng = random.Random(11)
+    words = "hinan thar er the onre inwh edblere tionoure athawh".split()
+    for kind in pii.KINDS:
+        found = 0
+        for _ in range(300):
+            span = unseen(kind, rng)
+            before = " ".join(rng.choices(words, k=rng.randint(0, 6))) + " "
+            text = before + span + " " + " ".join(rng.choices(words, k=rng.randint(0, 6)))
+            added = pii.base_spans(text) + pii.added_spans(text, pii.base_spans(text), model)
+            found += any(s <= len(before) and e >= len(before) + len(span) for _, s, e in added)
+        assert found >= 270, (kind, found, model["limits"])
+
+
+def test_query_on_a_whole_table_against_plain_patterns(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = pii_query(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        base = sorted(plain(texts[row["doc_id"]]), key=lambda s: (s[1], list(PLAIN).index(s[0])))
+        spelt = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert row["base_sha256"] == hashlib.sha256(",".join(spelt).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in PLAIN] == [sum(b[0] == k for b in base) for k in PLAIN]
+        spans = row["spans"].split(",") if row["spans"] else []
+        starts = [int(s.split(":")[1]) for s in spans]
+        assert set(spelt) <= set(spans) and starts == sorted(starts)
+        added = [s.split(":") for s in spans if s not in spelt]
+        assert not [a for a in added for b in base if int(a[1]) < b[2] and b[1] < int(a[2])]
+
+
 FORMS = [("email", "john.doe@mail.example.com"), ("ip", "192.168.10.77"), ("ip", "1.2.3.4"), ("card", "4111111111111111"),
          ("phone", "+13775550271")]
 LOOSE = [(k, f) for k, found in FORMS for f in pii.loosened(k, found)]
