@@ -13,7 +13,7 @@ from cohortmill.operators import testing as T
 from cohortmill.plans import builds
 from cohortmill.sources import sinks
 from tests import reference_math
-from tests.conftest import rows_as
+from tests.conftest import N_CASES, N_FEATURES, N_SAMPLES, SECOND_SAMPLES, rows_as
 
 OPTIONS = dict(top_k=20, test_share=0.25, seed=42)
 
@@ -33,7 +33,7 @@ def test_no_case_on_both_sides(dataset, made):
 
 def test_one_sample_per_case(made):
     rows = made.manifest["rows"]
-    assert rows["kept"] == 60 < rows["read"] == 66
+    assert rows["kept"] == N_CASES < rows["read"] == N_SAMPLES
     assert made.labels.groupBy("case_id").count().where("count > 1").isEmpty()
 
 
@@ -107,7 +107,7 @@ def test_digest_ignores_order_but_not_values(spark, dataset):
     cells = dataset[1]
     one = E.matrix_manifest(cells, "tpm").first()
     two = E.matrix_manifest(cells.repartition(9).orderBy("value"), "tpm").first()
-    assert one == two and one["n_cells"] == 66 * 80
+    assert one == two and one["n_cells"] == N_SAMPLES * N_FEATURES
     other = E.matrix_manifest(cells.withColumn("value", F.col("value") + 1), "tpm").first()
     assert other["content_hash"] != one["content_hash"] and other["samples_hash"] == one["samples_hash"]
 
@@ -122,9 +122,9 @@ def report_of(cohort, cells, metric=None):
 def test_readiness(dataset):
     cohort, cells = dataset
     rows = report_of(cohort, cells, "TPM")
-    assert rows["n_samples"]["value"] == 66 and rows["n_samples"]["status"] == "yellow"
+    assert rows["n_samples"]["value"] == N_SAMPLES and rows["n_samples"]["status"] == "yellow"
     assert rows["metric"]["status"] == "green" and rows["zero_variance"]["value"] == 2
-    assert rows["repeated_cases"]["value"] == 6 and rows["repeated_cases"]["status"] == "red"
+    assert rows["repeated_cases"]["value"] == SECOND_SAMPLES and rows["repeated_cases"]["status"] == "red"
     assert rows["completeness"]["status"] == "green" and rows["n_sites"]["value"] == 3
     assert report_of(cohort, cells, "counts")["metric"]["status"] == "red"
     assert report_of(cohort, cells, "FPKM")["metric"]["status"] == "yellow"

@@ -6,7 +6,7 @@ from cohortmill.operators import components as K
 from cohortmill.operators import matrix as M
 from cohortmill.operators.filters import MIRNA, RNASEQ, detect_modality, resolve_metric
 from cohortmill.plans import builds
-from tests.conftest import rows_as
+from tests.conftest import N_FEATURES, rows_as
 
 SUFFIX = RNASEQ.file_suffixes[0]
 
@@ -131,15 +131,18 @@ def test_distribution_and_metric_names(spark, dataset):
     assert row["zero_pct"] == pytest.approx(100 * (v == 0).mean()) and row["metric"] == "FPKM/other"
     whole = cells.withColumn("value", F.floor("value"))
     assert M.value_distribution(whole).first()["metric"] == "counts"
-    tpm = cells.withColumn("value", F.lit(1e6 / 80))
+    tpm = cells.withColumn("value", F.lit(1e6 / N_FEATURES))
     assert M.value_distribution(tpm).first()["metric"] == "TPM"
 
 
 def test_summary_report(dataset):
     _, cells = dataset
     parts = builds.matrix_summary(cells, components=3)
-    assert parts["size"].first()["n_features"] == 80 and parts["size"].first()["biotype_filtered"]
-    assert parts["components"].count() == 3 and parts["markers"].where("found").count() == 7
+    assert parts["size"].first()["n_features"] == N_FEATURES and parts["size"].first()["biotype_filtered"]
+    held = {r[0] for r in cells.select("feature_id").distinct().collect()}
+    markers = parts["markers"].collect()
+    assert parts["components"].count() == 3 and all(r["found"] == (r["base"] in held) for r in markers)
+    assert 0 < sum(r["found"] for r in markers) < len(markers)
     assert {r["site"] for r in parts["sites"].collect()} == {"44", "45", "46"}
 
 

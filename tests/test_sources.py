@@ -10,7 +10,7 @@ from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
 from cohortmill.sources import sinks, tables
 from cohortmill.streaming.ingest import ingest_new_files
-from tests.conftest import CLINICAL_HEADER, rows_as
+from tests.conftest import CLINICAL_HEADER, N_CASES, rows_as
 
 HEADER = "\t".join(fixed.RNA_COLUMNS)
 
@@ -112,7 +112,7 @@ def test_incremental_ingest_reads_each_file_once(spark, star_dir, tmp_path):
 
 def test_clinical_rows(spark, clinical):
     rows = clinical.collect()
-    assert len(rows) == 60 and clinical.columns == list(tables.CLINICAL_COLUMNS)
+    assert len(rows) == N_CASES and clinical.columns == list(tables.CLINICAL_COLUMNS)
     assert all(r["event"] == (r["vital_status"] == "Dead") for r in rows)
     assert all(r["time"] == (r["days_to_death"] if r["event"] else r["days_to_last_follow_up"]) for r in rows)
     assert all(r["race"] is None for r in rows)
