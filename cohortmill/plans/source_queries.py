@@ -13,6 +13,7 @@ from cohortmill.operators.filters import MIRNA
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
 from cohortmill.session import checkpoint_dir
+from cohortmill.sources import byte_files
 from cohortmill.sources import files as SF
 from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
@@ -316,6 +317,33 @@ def file_integrity(spark, sf_dir):
         "doc_id", "verified", "status", "size_matches")
 
 
+@query("file_digests", """with l as (select l_suppkey as k, string_agg(l_orderkey || '|' || l_linenumber || '|' || l_partkey,
+    chr(10) order by l_orderkey, l_linenumber, l_partkey) || chr(10) as body from lineitem group by 1),
+m as (select k, case when k % 11 = 0 then null when k % 7 = 0 then md5('other') else md5(body) end as want,
+    strlen(body) + (k % 3 = 0)::int as want_size, case when k % 5 <> 0 then md5(body) end as digest,
+    case when k % 5 <> 0 then strlen(body) end as size from l)
+select k::varchar as file, digest, size, digest is not null and coalesce(digest = want, want is null) as verified,
+  case when digest is null then 'missing' when coalesce(digest = want, want is null) then 'present'
+  else 'damaged' end as status, size = want_size as size_matches from m""")
+def file_digests(spark, sf_dir):
+    """A file of lines per supplier, streamed through its digest; some are missing or unlike expected."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey")
+    lines = A.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("file"), *keys, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("line"))
+    path = _folder(spark, "files")
+    written = lines.where(F.col("file").cast("bigint") % 5 != 0)
+    written.repartition("file").sortWithinPartitions("file", *keys).select("file", "line").write.partitionBy("file").text(path)
+    found = byte_files.read_digests(spark, path).withColumn("file", F.regexp_extract("path", "/file=([^/]*)/", 1))
+    body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*keys, "line"))), lambda r: r["line"]), "\n"),
+                    F.lit("\n")).cast("binary")
+    key = F.col("file").cast("bigint")
+    expected = lines.groupBy("file").agg(body.alias("body")).select(
+        "file", F.when(key % 11 == 0, None).when(key % 7 == 0, F.md5(F.lit("other").cast("binary"))).otherwise(F.md5("body")).alias("md5sum"),
+        (F.octet_length("body") + (key % 3 == 0).cast("int")).cast("bigint").alias("file_size"))
+    return SF.integrity(found, expected, "file").select(
+        "file", F.col("actual_md5").alias("digest"), F.col("actual_size").alias("size"), "verified", "status", "size_matches")
+
+
 @query("file_kinds", """select doc_id, case lang when 'en' then 'star' when 'fr' then 'clinical'
   when 'de' then 'sample_sheet' when 'es' then 'star' else 'unknown' end as kind
 from documents""")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: signatures that tell a file kind ---------------------------------
-KINDS = ("star", "clinical", "sample_sheet", "unknown")
 SUMMARY_MARKS = ("N_unmapped", "N_multimapping")
 QUANTIFICATION_MARKS = ("gene_id", "tpm_unstranded")
 CLINICAL_MARKS = ("cases.submitter_id", "demographic.vital_status",
@@ -15,7 +14,8 @@ SHEET_MARKS = ("File ID", "File Name", "Case ID", "Sample ID")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and content of every file below ``path``."""
+    """Name, size and content of every file below ``path``; a file of 2 GiB or more is an error, for
+    those see ``byte_files.read_digests``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
                         F.col("length").alias("size"), "content")
@@ -25,18 +25,23 @@ def integrity(files: DataFrame, metadata: DataFrame, name: str = "file_name",
               md5: str = "md5sum", size: str = "file_size") -> DataFrame:
     """Expected files with the digest found; ``verified`` and ``status``.
 
-    A file without an expected digest counts as verified once it is there.
+    ``files`` holds a ``content``, or the ``digest`` and ``problem`` of ``byte_files.read_digests``,
+    which has no limit of size. A file without an expected digest counts as verified once it is
+    there; one that could not be read is unreadable.
     """
-    found = files.select(name, F.md5("content").alias("actual_md5"),
-                         F.col("size").alias("actual_size"))
+    streamed = "content" not in files.columns
+    found = files.select(name, (F.col("digest") if streamed else F.md5("content")).alias("actual_md5"),
+                         F.col("size").alias("actual_size"),
+                         (F.col("problem").isNotNull() if streamed else F.lit(False)).alias("__failed"))
     rows = metadata.join(found, name, "left")
     here = F.col("actual_md5").isNotNull()
     same = F.coalesce(F.col("actual_md5") == F.col(md5), F.col(md5).isNull())
     return rows.withColumns({
         "verified": here & same,
         "size_matches": F.col("actual_size") == F.col(size),
-        "status": F.when(~here, "missing").when(same, "present").otherwise("damaged"),
-    })
+        "status": F.when(F.coalesce("__failed", F.lit(False)), "unreadable").when(~here, "missing")
+        .when(same, "present").otherwise("damaged"),
+    }).drop("__failed")
 
 
 def file_kind(text: Column) -> Column:
