@@ -158,7 +158,7 @@ def metric_from_parquet(spark, sf_dir):
 
 # ---- nested documents -----------------------------------------------------------------
 
-@query("flatten_cases", """with o as (select 'C' || o_orderkey as id, o_orderstatus as s,
+_CASES_SQL = """with o as (select 'C' || o_orderkey as id, o_orderstatus as s,
   o_custkey, o_orderpriority as p from orders),
 d as (select id, s, o_custkey, p, 'true' as flag, o_custkey || '.5' as lf, 'Stage I' as st from o
     where s = 'F'
@@ -169,8 +169,16 @@ select id as "cases.submitter_id", 'Lung' as "cases.primary_site",
   case when s = 'F' then o_custkey::varchar else '' end as "demographic.days_to_death",
   (o_custkey % 90)::varchar as "demographic.age_at_index", '' as "demographic.gender",
   p as "demographic.race", flag as "diagnoses.diagnosis_is_primary_disease",
-  lf as "diagnoses.days_to_last_follow_up", st as "diagnoses.ajcc_pathologic_stage" from d""")
+  lf as "diagnoses.days_to_last_follow_up", st as "diagnoses.ajcc_pathologic_stage" from d"""
+
+
+@query("flatten_cases", _CASES_SQL)
 def flatten_cases(spark, sf_dir):
+    return N.flatten_cases(N.parse_documents(_case_documents(spark, sf_dir), "text", N.CASE_SCHEMA))
+
+
+def _case_documents(spark, sf_dir):
+    """A case per order as JSON text, with the order's key."""
     dead = F.col("o_orderstatus") == "F"
     diagnosis = "diagnosis_is_primary_disease"
     document = F.to_json(F.struct(
@@ -192,12 +200,36 @@ def flatten_cases(spark, sf_dir):
             "cast(array() as array<struct<diagnosis_is_primary_disease: boolean, "
             "days_to_last_follow_up: decimal(12,1), ajcc_pathologic_stage: string>>)"))
         .alias("diagnoses")))
-    texts = A.table(spark, sf_dir, "orders").select(document.alias("text"))
-    return N.flatten_cases(N.parse_documents(texts, "text", N.CASE_SCHEMA))
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), document.alias("text"))
+
+
+def _array_files(texts, path, opening, closing, files=5):
+    """JSON arrays of the texts, ``files`` files with ``opening`` and ``closing`` around them."""
+    texts = texts.select(F.pmod(F.xxhash64("key"), F.lit(files)).alias("file"), "key", "text")
+    first = texts.groupBy("file").agg(F.min("key").alias("first"))
+    lines = texts.join(F.broadcast(first), "file").select(  # a row per file
+        "file", F.lit(1).alias("part"), "key", F.concat(F.when(F.col("key") == F.col("first"), "").otherwise(","), "text").alias("line"))
+    around = first.select("file", F.explode(F.array(*[
+        F.struct(F.lit(part).alias("part"), F.col("first").alias("key"), F.lit(text).alias("line"))
+        for part, text in ((0, opening), (2, closing))])).alias("of")).select("file", "of.*")
+    lines.unionByName(around).repartition("file").sortWithinPartitions("file", "part", "key").select(
+        "file", "line").write.partitionBy("file").text(path)
+
+
+@query("cases_of_array_files", _CASES_SQL)
+def cases_of_array_files(spark, sf_dir):
+    """The same cases out of files that are one JSON array each, cut into ranges of a tenth megabyte."""
+    path = _folder(spark, "cases")
+    _array_files(_case_documents(spark, sf_dir), path, "[", "]")
+    return N.flatten_cases(N.read_documents(spark, path, N.CASE_SCHEMA, range_bytes=100_000))
 
 
 def _hits(spark, sf_dir):
-    """A file hit per order line; some levels are empty."""
+    return N.parse_documents(_hit_documents(spark, sf_dir), "text", N.FILE_SCHEMA)
+
+
+def _hit_documents(spark, sf_dir):
+    """A file hit per order line as JSON text; some levels are empty."""
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                       F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     aliquots = F.when(F.col("l_quantity") == 1, F.array()).otherwise(F.array(F.struct(
@@ -216,23 +248,34 @@ def _hits(spark, sf_dir):
         F.when(F.col("l_quantity") != 3, F.col("l_partkey")).alias("file_size"),
         F.lit("RNA-Seq").alias("experimental_strategy"), cases.alias("cases"),
         F.struct(F.col("l_returnflag").alias("workflow_type")).alias("analysis")))
-    texts = A.table(spark, sf_dir, "lineitem").select(document.alias("text"))
-    return N.parse_documents(texts, "text", N.FILE_SCHEMA)
+    return A.table(spark, sf_dir, "lineitem").select(key.alias("key"), document.alias("text"))
 
 
 _KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
 
 
-@query("flatten_file_hits", f"""select {_KEY} as file_id, {_KEY} || '.tsv' as file_name,
+_HITS_SQL = f"""select {_KEY} as file_id, {_KEY} || '.tsv' as file_name,
   md5({_KEY}) as md5sum, l_partkey as file_size, '' as data_type,
   'RNA-Seq' as experimental_strategy, 'S' || l_orderkey as sample_id,
   'C' || l_suppkey as case_submitter_id, 'A' || {_KEY} as aliquot_barcode,
   'c' || l_suppkey as case_uuid, 'u' || {_KEY} as aliquot_uuid, l_returnflag as workflow_type,
-  '' as workflow_version from lineitem where l_quantity > 3""")
+  '' as workflow_version from lineitem where l_quantity > 3"""
+
+
+@query("flatten_file_hits", _HITS_SQL)
 def flatten_file_hits(spark, sf_dir):
     return N.flatten_hits(_hits(spark, sf_dir))
 
 
+@query("hits_of_response_pages", _HITS_SQL)
+def hits_of_response_pages(spark, sf_dir):
+    """The same hits out of response pages, the hits between other fields of the page."""
+    path = _folder(spark, "pages")
+    opening = '{"warnings": {"hits": [1]}, "data": {"pagination": {"count": 10, "sort": ["\\"]"]}, "hits": ['
+    _array_files(_hit_documents(spark, sf_dir), path, opening, '], "other": [{"file_id": "x"}]}}')
+    return N.flatten_hits(N.read_hits(spark, path, N.FILE_SCHEMA, range_bytes=1_000_000))
+
+
 @query("file_hit_problems", """select case l_quantity when 1 then 'empty aliquots'
   when 2 then 'empty cases' else 'missing field' end as problem, count(*) as n
 from lineitem where l_quantity <= 3 group by 1""")

@@ -115,12 +115,18 @@ def read_digests(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load()
 
 
-def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
-    """(path, start, stop, last) of ranges that cover every file below ``path``."""
-    files = spark.createDataFrame(list_files(path), "path string, size long").where("size > 0")
-    starts = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))))
-    return starts.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"),
-                         (F.col("start") + range_bytes >= F.col("size")).alias("last"))
+def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> tuple[DataFrame, int]:
+    """(path, start, stop) of ranges that cover every file below ``path``, and their number."""
+    files = [f for f in list_files(path) if f[1]]
+    number = sum(-(-size // range_bytes) for _, size in files)
+    starts = spark.createDataFrame(files, "path string, size long").withColumn(
+        "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))))
+    return starts.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop")), number
+
+
+def one_task_each(ranges: DataFrame, number: int, most: int = 20_000) -> DataFrame:
+    """Ranges dealt to tasks in order, about one to each."""
+    return ranges.repartitionByRange(max(1, min(number, most)), "path", "start")
 
 
 def chunks_from(path: str, start: int, stop: int | None = None, chunk: int = CHUNK) -> Iterator[bytes]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cohortmill.functions import identifiers as FI
+from cohortmill.sources.json_arrays import read_elements
 
 # --- fixed values: layouts of the exported documents --------------------------------
 METADATA_SCHEMA = """file_id string, file_name string, md5sum string, file_size bigint,
@@ -30,17 +30,14 @@ CASE_SCHEMA = """submitter_id string, primary_site string,
     days_to_last_follow_up: string, ajcc_pathologic_stage: string>>"""
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records, one row per record."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """JSON arrays of records, one row per record; a file of any size is read in parallel."""
+    return parse_documents(read_elements(spark, path, (), **options), "text", schema)
 
 
-def read_hits(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Response pages ``{"data": {"hits": [...]}}``, one row per hit."""
-    hit = StructType.fromDDL(schema).simpleString()
-    pages = spark.read.schema(f"data struct<hits: array<{hit}>>").option(
-        "multiLine", True).json(path)
-    return pages.select(F.inline("data.hits"))
+def read_hits(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Response pages ``{"data": {"hits": [...]}}``, one row per hit, read as ``read_documents``."""
+    return parse_documents(read_elements(spark, path, ("data", "hits"), **options), "text", schema)
 
 
 def parse_documents(texts: DataFrame, text: str, schema: str, *keep: str) -> DataFrame:
