@@ -17,6 +17,7 @@ from cohortmill.sources import byte_files
 from cohortmill.sources import files as SF
 from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
+from cohortmill.streaming import ingest
 
 
 def _folder(spark, name):
@@ -117,6 +118,44 @@ def quantification_problems(spark, sf_dir):
     return QF.quantification_problems(rows)
 
 
+@query("checked_ingest", """with c as (select l_suppkey k, l_partkey p, sum(l_quantity)::bigint q from lineitem group by 1, 2),
+r as (select k, q, case when k % 10 = 3 and p % 2 = 0 then 'LRG' else 'ENSG' end || p as id, (k % 10 = 7 and p % 4 = 0)::int as bad,
+    case when k % 10 = 5 and p % 3 = 0 then 2 else 1 end as n from c),
+f as (select k, sum(n)::bigint as n_rows, count(*) filter (starts_with(id, 'LRG')) as n_foreign,
+    count(*) filter (n > 1) as n_repeated, sum(bad)::bigint as n_malformed,
+    min(id) filter (starts_with(id, 'LRG') or n > 1 or bad > 0) as example, sum(q)::bigint as q from r group by 1)
+select k::varchar as file, k % 2 as wave, if(example is null, 'accepted', 'quarantined') as status, n_rows, n_foreign,
+  n_repeated, n_malformed, example, if(example is null, q, null) as unstranded from f""")
+def checked_ingest(spark, sf_dir):
+    """A file per supplier, some with foreign or repeated ids or broken numbers, taken in two waves;
+    a third run finds nothing new, and the last batch is committed once more."""
+    items = A.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    kind, part = F.col("l_suppkey") % 10, F.col("l_partkey")
+    count = F.col("q").cast("string")
+    genes = items.select(
+        (F.col("l_suppkey") % 2).alias("wave"), F.col("l_suppkey").cast("string").alias("file"),
+        F.concat(F.when((kind == 3) & (part % 2 == 0), "LRG").otherwise("ENSG"), part.cast("string")).alias("gene_id"),
+        F.lit("g").alias("gene_name"), F.lit("protein_coding").alias("gene_type"),
+        F.when((kind == 7) & (part % 4 == 0), "many").otherwise(count).alias("unstranded"),
+        *[count.alias(c) for c in fixed.RNA_COLUMNS[4:]],
+        F.explode(F.when((kind == 5) & (part % 3 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    ).drop("copy")
+    path, out, progress = _folder(spark, "arriving"), _folder(spark, "ingested"), _folder(spark, "progress")
+    file = F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/", 1)
+
+    def commit(text, batch, out, modality):
+        ingest.commit_batch(text, batch, out, modality)
+        ingest.commit_batch(text, batch, out, modality)
+
+    for wave, one in ((0, ingest.commit_batch), (1, commit), (None, commit)):
+        if wave is not None:
+            _write_text(genes.where(F.col("wave") == wave).drop("wave"), path, "tsv", "file")
+        ingest.ingest_new_files(spark, path, out, progress, glob=None, file=file, commit=one)
+    kept = ingest.accepted_rows(spark, out).groupBy("file").agg(F.sum("unstranded").alias("unstranded"))
+    return ingest.ledger(spark, out).withColumnRenamed("batch", "wave").join(kept, "file", "left").select(
+        "file", "wave", "status", "n_rows", "n_foreign", "n_repeated", "n_malformed", "example", "unstranded")
+
+
 @query("line_balance", """with l as (select doc_id as file,
   unnest(string_split(case when lang = 'en' then '# gene-model' || chr(10) else '' end || text
   || chr(10) || 'N_unmapped' || chr(9) || n_chars, chr(10))) as value from documents),

@@ -9,7 +9,6 @@ from cohortmill.sources import files as SF
 from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
 from cohortmill.sources import sinks, tables
-from cohortmill.streaming.ingest import ingest_new_files
 from tests.conftest import CLINICAL_HEADER, N_CASES, rows_as
 
 HEADER = "\t".join(fixed.RNA_COLUMNS)
@@ -97,17 +96,6 @@ def test_feature_dimension_reports_conflicts(spark):
     assert rows_as(QF.feature_dimension(rows)) == [("ENSG1", "A", "x", 2), ("ENSG2", "B", "x", 1)]
 
 
-def test_incremental_ingest_reads_each_file_once(spark, star_dir, tmp_path):
-    source, out, progress = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "progress")
-    source.mkdir()
-    (source / "a.rna_seq.augmented_star_gene_counts.tsv").write_text(star_text([1, 2, 3]))
-    ingest_new_files(spark, str(source), out, progress)
-    (source / "b.rna_seq.augmented_star_gene_counts.tsv").write_text(star_text([4, 5, 6]))
-    ingest_new_files(spark, str(source), out, progress)
-    ingest_new_files(spark, str(source), out, progress)
-    assert rows_as(spark.read.parquet(out).groupBy("file").agg(F.sum("unstranded"))) == [("a", 6), ("b", 15)]
-
-
 # ---- clinical and sheet ---------------------------------------------------------------
 
 def test_clinical_rows(spark, clinical):
