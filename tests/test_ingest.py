@@ -57,7 +57,7 @@ def test_bad_files_land_in_quarantine(spark, place):
 def test_a_batch_run_again_adds_nothing(spark, place):
     put, folders = place
     put("a", star_text([1, 2, 3]))
-    put("b", star_text([4, 5, 6], ("ENSG1", "X", "ENSG2")))
+    put("b", star_text([4, 5, 6], ("ENSG1", "X123", "ENSG2")))
     failing = [True]
 
     def once_failing(text, batch, out, modality):
