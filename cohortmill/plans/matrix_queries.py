@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions.clinical import with_model_columns
 from cohortmill.functions.numbers import rounded
 from cohortmill.operators import components as K
 from cohortmill.operators import matrix as M
+from cohortmill.operators import matrix_store as MS
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
 from cohortmill.plans.component_sql import component_sql
+from cohortmill.session import checkpoint_dir
 
 
 def _matrix(spark, sf_dir):
@@ -66,6 +70,18 @@ def matrix_build_deepest(spark, sf_dir):
                           "counts", "deepest", complete=False).withColumn("value", rounded(F.col("value"), 2))
 
 
+@query("matrix_upkeep", _build_sql("l_quantity", "total desc, file"))
+def matrix_upkeep(spark, sf_dir):
+    """The matrix of the deepest files, from a third of the files, to which the others are added."""
+    quant, sheet = _quantification(spark, sf_dir, RNASEQ), _sheet(spark, sf_dir, RNASEQ)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    third = F.pmod(F.xxhash64("file_name"), F.lit(3))
+    MS.create(MS.sample_cells(quant.where(third == 0), sheet, "counts", "deepest"), path)
+    for rest in (1, 2):
+        MS.add(MS.sample_cells(quant.where(third == rest), sheet, "counts", "deepest"), path, "deepest")
+    return MS.stored_cells(spark, path).withColumn("value", rounded(F.col("value"), 2))
+
+
 @query("matrix_build_by_biotype", _build_sql(
     "l_quantity", "file", "where feature_id in (select p_brand from part group by 1 "
     "having max(p_size) = 50 and min(p_type) = 'ECONOMY')"))
