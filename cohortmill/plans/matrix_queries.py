@@ -11,6 +11,7 @@ from cohortmill.functions.numbers import rounded
 from cohortmill.operators import components as K
 from cohortmill.operators import matrix as M
 from cohortmill.operators import matrix_store as MS
+from cohortmill.operators import range_finder as RF
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
@@ -442,6 +443,25 @@ def pca_components(spark, sf_dir):
         "pc", *[rounded(F.col(c), 4).alias(c) for c in ("var_pct", "cum_pct")])
 
 
+@query("pca_range_finder", f"""with recursive {A.EXPRESSION_SQL}, {component_sql(5)},
+sh as ({' union all '.join(f"select {k} as pc, l from e{k}" for k in range(1, 6))})
+select pc, round(l, 4) as var_pct, round(sum(l) over (order by pc), 4) as cum_pct from sh""")
+def pca_range_finder(spark, sf_dir):
+    """The same shares without a covariance matrix."""
+    vectors, _ = K.standardized_vectors(_matrix(spark, sf_dir))
+    return RF.leading_components(vectors, 5)[0].select(
+        "pc", *[rounded(F.col(c), 4).alias(c) for c in ("var_pct", "cum_pct")])
+
+
+@query("pca_range_finder_scores", f"""with recursive {A.EXPRESSION_SQL}, {component_sql(2)}
+select sample_id, round(list_dot_product(z, e1.v), 4) as pc1, round(list_dot_product(z, e2.v), 4) as pc2
+from pz, e1, e2""")
+def pca_range_finder_scores(spark, sf_dir):
+    vectors, _ = K.standardized_vectors(_matrix(spark, sf_dir))
+    return RF.leading_components(vectors, 2, oversample=30)[1].select(
+        "sample_id", *[rounded(F.col(c), 4).alias(c) for c in ("pc1", "pc2")])
+
+
 @query("pca_scores_with_metadata", f"""with recursive {A.COHORT_SQL}, {A.EXPRESSION_SQL}, {component_sql(2)},
 big as (select site from coh group by 1 order by count(*) desc, site limit 8)
 select sample_id, round(list_dot_product(z, e1.v), 4) as pc1, round(list_dot_product(z, e2.v), 4) as pc2,

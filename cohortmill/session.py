@@ -58,6 +58,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     """The rows as a parquet table in the shared folder, read back with column pruning.
 
@@ -67,7 +72,7 @@ def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     if cluster_by:
         df = df.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(
             *cluster_by)
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
