@@ -37,15 +37,16 @@ def depth_ratio(depths: DataFrame, first, second, sample: str = "sample_id") ->
     return two.withColumn("depth_ratio", ratio(F.col("depth_first"), F.col("depth_second")))
 
 
-def numeric_profile(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, min, quartiles, mean, max and coefficient of variation (population sd), exact."""
+def numeric_profile(df: DataFrame, column: str, keys: Sequence[str] = (), nearest: bool = False) -> DataFrame:
+    """n, min, quartiles (interpolated, or of the nearest rank), mean, max and coefficient of
+    variation (population sd), exact."""
     x = F.col(column)
     moments = df.groupBy(*keys).agg(
         F.count(x).alias("n"), F.min(x).cast("double").alias("min"),
         F.avg(x).alias("mean"), F.max(x).cast("double").alias("max"),
         (F.lit(100.0) * ratio(F.stddev_pop(x), F.avg(x))).alias("cv_pct"),
     )
-    points = quantiles(df, keys, column, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    points = quantiles(df, keys, column, {"q25": 0.25, "median": 0.5, "q75": 0.75}, nearest=nearest)
     if keys:
         return moments.join(points, list(keys))
     return moments.withColumn("__q", points.select(F.struct("*")).scalar()).select(

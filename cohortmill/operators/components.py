@@ -94,12 +94,12 @@ def component_overlay(scores: DataFrame, metadata: DataFrame, sample: str = "sam
 
 def rank_correlation(expression: DataFrame, top_n: int = 50, feature: str = "feature_id",
                      sample: str = "sample_id", value: str = "value",
-                     transform=log2p1) -> DataFrame:
-    """Spearman correlation (ordinal ranks) of the most variable features, long form."""
+                     transform=log2p1, ties: str = "ordinal") -> DataFrame:
+    """Spearman correlation of the most variable features, long form; ``ties`` as in ``feature_ranks``."""
     stats = feature_statistics(expression, feature, value, transform)
     top = numbered(top_by_variance(stats, top_n, feature), feature).persist()
     chosen = expression.join(F.broadcast(top.select(feature)), feature, "left_semi")  # top_n ids
-    ranks = feature_ranks(chosen, feature, sample, value)
+    ranks = feature_ranks(chosen, feature, sample, value, ties)
     vectors = sample_vectors(ranks, top, "rank", sample, feature)
     # top_n x top_n numbers, a few thousand
     matrix = Correlation.corr(vectors, "features", "pearson").first()[0].toArray()

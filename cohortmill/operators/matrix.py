@@ -14,7 +14,7 @@ from cohortmill.operators import aggregates
 from cohortmill.operators.dedup import chosen_files
 from cohortmill.operators.filters import RNASEQ, Modality, biotype_filter, resolve_metric
 from cohortmill.operators.joins import files_to_samples, stem_map, unmapped_files
-from cohortmill.operators.ranges import ordinal_rank, quantiles
+from cohortmill.operators.ranges import average_rank, ordinal_rank, quantiles
 from cohortmill.operators.survival import named_features, panel_cells
 from cohortmill.session import broadcast_if_small, materialize, written
 
@@ -325,6 +325,10 @@ def site_distribution(samples: DataFrame, sample: str = "sample_id") -> DataFram
 
 
 def feature_ranks(expression: DataFrame, feature: str = "feature_id",
-                  sample: str = "sample_id", value: str = "value") -> DataFrame:
-    """Ordinal rank of each sample per feature; ties by sample id."""
+                  sample: str = "sample_id", value: str = "value", ties: str = "ordinal") -> DataFrame:
+    """Rank of each sample per feature: ordinal (ties by sample id), or average over ties."""
+    if ties not in ("ordinal", "average"):
+        raise ValueError(f"unknown ties {ties!r}; use ordinal or average")
+    if ties == "average":
+        return average_rank(expression.select(feature, sample, value), [feature], value, sample)
     return ordinal_rank(expression.select(feature, sample, value), [feature], [value, sample])

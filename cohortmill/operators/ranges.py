@@ -96,6 +96,42 @@ def ordinal_rank(
     return running_sums(ranged, keys, order, {out: "__one"}).drop(RANGE, "__one")
 
 
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str = "rank") -> DataFrame:
+    """Rank of every row per group by ``value``; tied rows share the mean of their ranks.
+
+    Ranges are cut by (value, ``tie``), so a value that most rows share is split over many tasks. Only
+    the first and last value of a range can go on in another one; their counts are carried over
+    the ranges, a row per range and value. Nulls come first and tie.
+    """
+    keys = list(keys)
+    columns = [F.col(c) for c in df.columns]
+    slotted = with_order_range(df, keys, [value, tie]).select(*columns, _slot(keys))
+    ends = slotted.groupBy("__slot").agg(
+        F.count("*").alias("__n"), F.min(F.struct(value))[value].alias("__low"), F.max(F.struct(value))[value].alias("__high"))
+    before = Window.partitionBy(*[F.col(f"__slot.{k}") for k in keys]).orderBy(F.col(f"__slot.{RANGE}")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ends = materialize(ends.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    edges = ends.select("*", F.explode(F.array_distinct(F.array(
+        F.struct(F.col("__low").alias(value)), F.struct(F.col("__high").alias(value))))).alias("__value"))
+    marked = slotted.withColumn("__value", F.struct(value))
+    tied = marked.join(broadcast_if_small(edges.select("__slot", "__value")), ["__slot", "__value"]).groupBy(
+        "__slot", "__value").agg(F.count("*").alias("__ties"))
+    # a range's first value starts with the range, its last one ends with it
+    first = F.struct(F.col("__low").alias(value)).eqNullSafe(F.col("__value"))
+    start = F.when(first, F.col("__offset")).otherwise(F.col("__offset") + F.col("__n") - F.col("__ties"))
+    group = Window.partitionBy(*[F.col(f"__slot.{k}") for k in keys], "__value")
+    carried = broadcast_if_small(edges.join(tied, ["__slot", "__value"]).withColumn("__start", start).select(
+        "__slot", "__value", F.min("__start").over(group).alias("__first"), F.sum("__ties").over(group).alias("__all")))
+    inside = Window.partitionBy("__slot")
+    placed = marked.join(
+        broadcast_if_small(ends.select("__slot", "__offset")), "__slot").select(
+        *columns, "__slot", "__value",
+        (F.col("__offset") + F.rank().over(inside.orderBy(value)) - 1).alias("__start"),
+        F.count("*").over(Window.partitionBy("__slot", value)).alias("__ties"))
+    return placed.join(carried, ["__slot", "__value"], "left").select(
+        *columns, (F.coalesce("__first", "__start") + (F.coalesce("__all", "__ties") + 1) / 2).alias(out))
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,8 +139,10 @@ def quantiles(
     probabilities: Mapping[str, float],
     weight: str | None = None,
     count: str | None = None,
+    nearest: bool = False,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per entry.
+    """Exact quantiles per group, one column per entry: linearly interpolated, or with ``nearest``
+    the value of the nearest rank, the higher one of two.
 
     Rows are counted per (group, range); only the ranges that hold a wanted rank are read
     again and ordered. ``weight`` counts a row several times. Null and NaN are left out.
@@ -126,7 +164,7 @@ def quantiles(
     wanted = F.array_distinct(F.array(*[
         rank.cast("bigint")
         for p in probabilities.values()
-        for rank in (F.floor(last * F.lit(p)), F.ceil(last * F.lit(p)))
+        for rank in ((F.floor(last * F.lit(p) + 0.5),) if nearest else (F.floor(last * F.lit(p)), F.ceil(last * F.lit(p))))
     ]))
     # at most two ranges per probability and group
     spans = broadcast_if_small(
@@ -161,7 +199,7 @@ def quantiles(
     )
     out = []
     for name, p in probabilities.items():
-        place = last * F.lit(p)
+        place = F.floor(last * F.lit(p) + 0.5) if nearest else last * F.lit(p)
         low = F.try_element_at("__at", F.floor(place).cast("bigint"))
         high = F.try_element_at("__at", F.ceil(place).cast("bigint"))
         out.append((low + (high - low) * (place - F.floor(place))).alias(name))

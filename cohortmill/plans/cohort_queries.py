@@ -592,6 +592,20 @@ def numeric_profile_by_group(spark, sf_dir):
                                               ["event_type"]), "event_type")
 
 
+def _nearest(value, p):
+    return f"list_sort(list({value}))[floor((count({value}) - 1) * {p} + 0.5)::bigint + 1]"
+
+
+@query("numeric_profile_nearest", f"""select event_type, count(value) as n, min(value) as min, max(value) as max,
+  {", ".join(f"round({_nearest('value', p)}, 6) as {name}" for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)))},
+  round(avg(value), 5) as mean, round(100.0 * stddev_pop(value) / avg(value), 5) as cv_pct from events
+  where value is not null group by 1""")
+def numeric_profile_nearest(spark, sf_dir):
+    """Quartiles of the nearest rank."""
+    events = A.table(spark, sf_dir, "events").where("value is not null")
+    return _profile_columns(G.numeric_profile(events, "value", ["event_type"], nearest=True), "event_type")
+
+
 @query("event_rates", f"""with {A.COHORT_SQL}
 select ajcc_pathologic_stage, count(*) as n_samples, sum(event::int)::bigint as n_events,
   round(100.0 * sum(event::int) / count(*), 1) as event_rate_pct from coh group by 1""")

@@ -377,6 +377,33 @@ def rank_correlation(spark, sf_dir):
     return K.rank_correlation(_matrix(spark, sf_dir), 10).withColumn("rho", rounded(F.col("rho")))
 
 
+_SPARSE = "case when value > 60 then value else 0 end"
+
+
+@query("feature_ranks_average", f"""with {A.EXPRESSION_SQL}, v as (select feature_id, sample_id, {_SPARSE} as value from expr)
+select feature_id, sample_id, value, rank() over (partition by feature_id order by value)
+  + (count(*) over (partition by feature_id, value) - 1) / 2 as rank from v""")
+def feature_ranks_average(spark, sf_dir):
+    """Ranks of a matrix that is mostly zeros; ties share the mean of their ranks."""
+    return M.feature_ranks(_sparse(spark, sf_dir), ties="average")
+
+
+def _sparse(spark, sf_dir):
+    return M.stored_matrix(A.expression(spark, sf_dir).withColumn(
+        "value", F.when(F.col("value") > 60, F.col("value")).otherwise(0.0)))
+
+
+@query("rank_correlation_average", f"""with {A.EXPRESSION_SQL}, v as (select feature_id, sample_id, {_SPARSE} as value from expr),
+fs as (select feature_id, var_pop(log2(value + 1)) as variance from v group by 1),
+top as (select feature_id from fs order by variance desc, feature_id limit 10),
+r as (select feature_id, sample_id, rank() over (partition by feature_id order by value)
+  + (count(*) over (partition by feature_id, value) - 1) / 2 as rk from v where feature_id in (select feature_id from top))
+select a.feature_id as feature_a, b.feature_id as feature_b, round(corr(a.rk, b.rk), 6) as rho
+from r a join r b on a.sample_id = b.sample_id group by 1, 2""")
+def rank_correlation_average(spark, sf_dir):
+    return K.rank_correlation(_sparse(spark, sf_dir), 10, ties="average").withColumn("rho", rounded(F.col("rho")))
+
+
 @query("standardized_covariance", f"""with {A.EMBEDDING_SQL},
 st as (select feature_id, avg(value) mu, stddev_pop(value) sd, var_pop(value) v from emb group by 1),
 top as (select feature_id, mu, sd from st order by v desc, feature_id limit 16),

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortmill.operators.ranges import RANGE, ordinal_rank, quantiles, with_order_range
+from cohortmill.operators.ranges import RANGE, average_rank, ordinal_rank, quantiles, with_order_range
 
 PROBS = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
 
@@ -97,3 +97,46 @@ def test_any_list_has_numpy_quantiles(spark, values):
     row = quantiles(df, (), "v", PROBS).first()
     for name, p in PROBS.items():
         assert row[name] == pytest.approx(np.percentile(values, 100 * p), rel=1e-9, abs=1e-9)
+
+
+def mid_ranks(pdf):
+    return pdf.groupby("g").v.rank(method="average", na_option="top")
+
+
+def test_average_ranks_match_pandas(spark, skewed):
+    pdf, df = skewed
+    got = average_rank(df, ["g"], "v", "id").toPandas().set_index("id")["rank"].sort_index()
+    want = mid_ranks(pdf).set_axis(pdf.id).sort_index()
+    assert np.allclose(got, want)
+
+
+def test_average_ranks_of_mostly_zeros(spark):
+    """Zeros fill nine tenths and go over many ranges; no task holds more than twice the mean."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 20_000, p=[0.8, 0.15, 0.05]),
+                        "v": np.where(rng.random(20_000) < 0.9, 0.0, np.round(rng.normal(0, 2, 20_000), 1)), "id": np.arange(20_000)})
+    pdf.loc[pdf.id % 997 == 0, "v"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    sizes = [r["count"] for r in with_order_range(df, ["g"], ["v", "id"]).groupBy(RANGE).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * np.mean(sizes)
+    got = average_rank(df, ["g"], "v", "id").toPandas().set_index("id")["rank"].sort_index()
+    assert np.allclose(got, mid_ranks(pdf))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([None, -1.0, 0.0, -0.0, 2.5])), max_size=40))
+def test_average_ranks_of_any_rows(spark, rows):
+    pdf = pd.DataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], columns=["g", "v", "id"])
+    df = spark.createDataFrame([tuple(r) for r in [(g, v, i) for i, (g, v) in enumerate(rows)]], "g string, v double, id long")
+    got = {r["id"]: r["rank"] for r in average_rank(df, ["g"], "v", "id").collect()}
+    pdf["v"] = pdf["v"].astype(float)
+    assert got == pytest.approx(dict(zip(pdf.id, mid_ranks(pdf)))) if rows else got == {}
+
+
+def test_nearest_quantiles(spark, skewed):
+    pdf, df = skewed
+    got = {r["g"]: r for r in quantiles(df, ["g"], "v", PROBS, nearest=True).collect()}
+    for g, values in pdf.groupby("g").v:
+        ranked = np.sort(values.to_numpy())
+        for name, p in PROBS.items():
+            assert got[g][name] == ranked[int(np.floor((len(ranked) - 1) * p + 0.5))]
