@@ -19,10 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import stored
+from cohortmill.llm.common import partitions, stored
 from cohortmill.session import broadcast_if_small
 
 ORDER = 4
+TASK_CHARS, MOST_CHARS = 250_000, 64_000_000  # characters a task, for few and for many URLs
 START, END = "\u0002", "\u0003"
 ALPHABET = 256.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,10 +51,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def windows(url: Column) -> Column:
-    """Each character of the URL, and its end, with the three characters before it."""
-    padded = F.concat(F.lit(START * (ORDER - 1)), url, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(url) + 1),
-                       lambda i: F.substring(padded, i, F.lit(ORDER)))
+    """Each character of the URL, and its end, with the three characters before it. The characters
+    are cut once and zipped with themselves, so a long URL costs no more than its length."""
+    letters = F.concat(F.array(*[F.lit(START)] * (ORDER - 1)), F.filter(F.split(url, ""), lambda c: c != ""), F.array(F.lit(END)))
+    shifted = [F.slice(letters, i + 1, F.size(letters) - ORDER + 1).alias(f"c{i}") for i in range(ORDER)]
+    return F.transform(F.arrays_zip(*shifted), lambda w: F.concat(*[w[f"c{i}"] for i in range(ORDER)]))
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """The texts with a number each, stored in parts of like length in characters: windows multiply
+    them and carry the number alone."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    parts = min(max(chars // TASK_CHARS, 1), max(partitions(texts.sparkSession), chars // MOST_CHARS))
+    return stored(texts.repartition(int(parts)).withColumn("number", F.monotonically_increasing_id()), "urls")
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -120,8 +130,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
                           chosen["action"].alias("action"))
              .groupBy("text", "action").agg(F.count("*").alias("n"))
              .withColumn("trains", F.substring(F.md5("text"), 1, 1).isin(*"0123456789ab")))
-    texts = stored(texts, "urls")
-    grams = texts.select("text", "action", "trains", "n", F.explode(windows(F.col("text"))).alias("gram"))
+    texts = numbered(stored(texts, "urls"))
+    grams = texts.select("number", "action", "trains", "n", F.explode(windows(F.col("text"))).alias("gram"))
 
     def trained(action):
         return F.sum(F.when(F.col("trains") & (F.col("action") == action), F.col("n")).otherwise(0))
@@ -129,16 +139,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
     counts = stored(grams.groupBy("gram").agg(trained("allow").alias("a"), trained("block").alias("b")),
                     "grams")
     ratios = broadcast_if_small(log_ratios(counts))
-    scored = grams.select("text", "gram").join(ratios, "gram").groupBy("text").agg(
-        F.sum("ratio").alias("total"))
-    scored = stored(scored.select("text", F.floor(
+    totals = grams.select("number", "gram").join(ratios, "gram").groupBy("number").agg(F.sum("ratio").alias("total"))
+    scored = stored(texts.join(totals, "number").select("text", "action", "trains", F.floor(
         F.col("total") / (F.length("text") + 1) / 1000).cast("long").alias("score")), "scores")
-    held = (texts.where(~F.col("trains") & F.col("action").isNotNull())
-            .join(scored, "text")
+    held = (scored.where(~F.col("trains") & F.col("action").isNotNull())
             .select(F.col("score").alias("level"), (F.col("action") == "allow").alias("accepted")))
     threshold = calibrated(held)
     judged = (ruled.withColumn("text__", F.coalesce(F.col(url), F.lit("")))
-              .join(broadcast_if_small(scored.withColumnsRenamed({"text": "text__", "score": "score__"})),
+              .join(broadcast_if_small(scored.select(F.col("text").alias("text__"), F.col("score").alias("score__"))),
                     "text__", "left")
               .withColumn("rule__", chosen))
     verdict = F.coalesce(F.col("rule__.action"),

@@ -1,6 +1,7 @@
 """Every operator on odd rows, and the queries against SQL or a plain version."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -145,6 +146,19 @@ def test_url_models_tell_kinds_apart(spark):
     assert (got[1000], got[1001]) == ("allow", "block")
 
 
+def test_windows_of_long_and_odd_urls(spark):
+    texts = ["", "a", "ab", "http://h.com/é漢🎉/x", "🎉" * 5]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", url_filter.windows(F.col("text")).alias("w"))
+    for text, found in rows.collect():
+        padded = "\u0002" * 3 + text + "\u0003"
+        assert found == [padded[i:i + 4] for i in range(len(text) + 1)]
+    start = time.time()
+    pages = [(1, "http://a.com/" + "xyz/" * 250_000), (2, "http://b.net/es/" + "q" * 1_000_000)]
+    pages += [(i, f"http://h{i % 5}.{('com', 'net')[i % 2]}/{('en', 'es')[i % 2]}/{i}") for i in range(3, 200)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), URL_RULES)
+    assert got.where("score is null").count() == 0 and time.time() - start < 60
+
+
 def test_nearest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]),
             (7, [float("nan"), 1.0]), (8, [1.0, 2.0, 3.0]), (None, [9.0, 9.0]), (40, [float("inf"), 0.0])]
