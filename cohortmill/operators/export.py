@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,3 +220,72 @@ def matrix_manifest(expression: DataFrame, metric: str, sources: DataFrame | Non
             "sources_hash": files.select("content_hash").scalar(),
         })
     return out
+
+
+# ---- manifests that can be compared -------------------------------------------------
+
+def feature_digests(expression: DataFrame, sample: str = "sample_id", feature: str = "feature_id",
+                    value: str = "value") -> DataFrame:
+    """(feature, n_cells, digest) per feature, whatever the order of its cells. A table of one row
+    per feature, by which two builds are compared without reading their cells."""
+    text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (sample, value)])
+    row_hash = F.sha2(text, 256)
+    slices = [F.conv(F.substring(row_hash, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"__h{i}") for i in range(4)]
+    # a slice is below 2^32, so sums of up to two thousand million cells fit a long
+    sums = expression.select(F.col(feature).alias("feature"), *slices).groupBy("feature").agg(
+        F.count("*").alias("n_cells"), *[F.sum(f"__h{i}").alias(f"__s{i}") for i in range(4)])
+    joined = F.concat_ws("-", F.col("n_cells").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(4)])
+    return sums.select("feature", "n_cells", F.sha2(joined, 256).alias("digest"))
+
+
+def manifest_tables(expression: DataFrame, metric: str, sources: DataFrame | None = None,
+                    sample: str = "sample_id", feature: str = "feature_id", value: str = "value") -> dict[str, DataFrame]:
+    """A manifest as tables: ``features`` (digests per feature), ``samples`` and ``sources`` (the ids and
+    files themselves), and ``manifest``, one row with their counts and digests."""
+    tables = {
+        "features": materialize(feature_digests(expression, sample, feature, value)),
+        "samples": materialize(expression.select(sample).distinct()),
+    }
+    if sources is not None:
+        tables["sources"] = materialize(sources.distinct())
+    cells = tables["features"].agg(F.sum("n_cells")).scalar()
+    row = content_digest(tables["features"], ["feature", "n_cells", "digest"]).select(
+        F.lit(metric).alias("metric"), F.col("n_rows").alias("n_features"), cells.alias("n_cells"),
+        F.col("content_hash").alias("features_hash"))
+    for name in ("samples", "sources"):
+        if name in tables:
+            digest = content_digest(tables[name], tables[name].columns)
+            row = row.withColumns({f"n_{name}": digest.select("n_rows").scalar(),
+                                   f"{name}_hash": digest.select("content_hash").scalar()})
+    return {"manifest": row, **tables}
+
+
+def compare_manifests(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, id, status) of what differs between two manifests: ``only_left``, ``only_right`` or, for
+    features, ``changed``. Tables whose digests agree are not read, and cells never are."""
+    a, b = (side["manifest"].first().asDict() for side in (left, right))
+    found = []
+    for name in ("features", "samples", "sources"):
+        if name not in left or name not in right or a[f"{name}_hash"] == b[f"{name}_hash"]:
+            continue
+        keys = ["feature"] if name == "features" else list(left[name].columns)
+        content = F.col("digest") if name == "features" else F.lit("")
+        sides = [side[name].select(F.concat_ws("\t", *[F.col(k).cast("string") for k in keys]).alias("id"), content.alias(which))
+                 for side, which in ((left, "l"), (right, "r"))]
+        status = F.when(F.col("r").isNull(), "only_left").when(F.col("l").isNull(), "only_right").when(
+            F.col("l") != F.col("r"), "changed")
+        found.append(sides[0].join(sides[1], "id", "full").select(F.lit(name).alias("table"), "id", status.alias("status"))
+                     .where("status is not null"))
+    if not found:
+        return left["manifest"].sparkSession.createDataFrame([], "table string, id string, status string")
+    return reduce(DataFrame.unionByName, found)
+
+
+def changed_cells(left: DataFrame, right: DataFrame, differences: DataFrame, sample: str = "sample_id",
+                  feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """(feature, sample, before, after) of the cells that differ, reading the changed features alone."""
+    changed = broadcast_if_small(differences.where("table = 'features' and status = 'changed'").select(F.col("id").alias("__id")))
+    sides = [side.join(changed, F.col(feature).cast("string") == F.col("__id"), "left_semi").select(
+        feature, sample, F.struct(value).alias(name)) for side, name in ((left, "before"), (right, "after"))]
+    return sides[0].join(sides[1], [feature, sample], "full").where(~F.col("before").eqNullSafe(F.col("after"))).select(
+        feature, sample, F.col(f"before.{value}").alias("before"), F.col(f"after.{value}").alias("after"))

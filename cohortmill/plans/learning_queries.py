@@ -228,3 +228,50 @@ select 'counts' as metric, ds.n as n_samples, 25::bigint as n_features, d.n as n
   sha256(d.n || '-' || d.a || '-' || d.b || '-' || d.c || '-' || d.e) as content_hash from d, ds""")
 def matrix_manifest(spark, sf_dir):
     return E.matrix_manifest(A.expression(spark, sf_dir), "counts")
+
+
+def _slices(what):
+    """Digest of the rows ``h`` (sha256 text) of a table as ``content_digest`` forms it."""
+    return f"""sha256(count(*) || '-' || {" || '-' || ".join(
+        f"sum(('0x' || substr({what}, {1 + 8 * i}, 8))::bigint)::varchar" for i in range(4))})"""
+
+
+def _manifest_folder(spark, cells, sources):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    sinks.write_manifest_tables(E.manifest_tables(cells, "counts", sources), path)
+    return sinks.read_manifest_tables(spark, path, "features", "samples", "sources")
+
+
+@query("manifest_tables", f"""with {A.EXPRESSION_SQL},
+c as (select feature_id, sha256(sample_id || chr(9) || value::double::varchar) h from expr),
+f as (select feature_id, count(*) as n, {_slices("h")} as digest from c group by 1)
+select 'features' as "table", feature_id as id, n as n_cells, digest from f
+union all select 'samples', sample_id::varchar, null, null from (select distinct sample_id from expr)
+union all select 'sources', 'orders of ' || c_custkey, null, null from customer""")
+def manifest_tables(spark, sf_dir):
+    """Ids, source files and digests of a matrix, written as a manifest and read back."""
+    sources = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("orders of "), F.col("c_custkey").cast("string")).alias("source"))
+    tables = _manifest_folder(spark, A.expression(spark, sf_dir), sources)
+    none = F.lit(None)
+    return (tables["features"].select(F.lit("features").alias("table"), F.col("feature").alias("id"), "n_cells", "digest")
+            .unionByName(tables["samples"].select(F.lit("samples").alias("table"), F.col("sample_id").cast("string").alias("id"),
+                                                  none.cast("bigint").alias("n_cells"), none.cast("string").alias("digest")))
+            .unionByName(tables["sources"].select(F.lit("sources").alias("table"), F.col("source").alias("id"),
+                                                  none.cast("bigint").alias("n_cells"), none.cast("string").alias("digest"))))
+
+
+@query("manifest_comparison", f"""with {A.EXPRESSION_SQL}, top as (select max(sample_id) as s from expr)
+select 'features' as "table", feature_id as id, 'changed' as status, sample_id, value as before, value + 1 as after
+  from expr, top where sample_id = s and feature_id = (select min(feature_id) from expr)
+union all select 'features', (select max(feature_id) from expr), 'only_left', null, null, null
+union all select 'sources', 'b', 'only_right', null, null, null""")
+def manifest_comparison(spark, sf_dir):
+    """Two builds, one with a changed cell, without a feature and with another source."""
+    one = _matrix(spark, sf_dir)
+    ends = one.agg(F.max("sample_id"), F.min("feature_id"), F.max("feature_id")).first()
+    hit = (F.col("sample_id") == ends[0]) & (F.col("feature_id") == ends[1])
+    two = one.where(F.col("feature_id") != ends[2]).withColumn("value", F.when(hit, F.col("value") + 1).otherwise(F.col("value")))
+    sources = spark.createDataFrame([("a",), ("b",)], "source string")
+    differences = E.compare_manifests(_manifest_folder(spark, one, sources.where("source = 'a'")), _manifest_folder(spark, two, sources))
+    cells = E.changed_cells(one, two, differences).withColumnRenamed("feature_id", "id").withColumn("table", F.lit("features"))
+    return differences.join(cells, ["table", "id"], "left").select("table", "id", "status", "sample_id", "before", "after")

@@ -12,11 +12,12 @@ from cohortmill.operators import components as K
 from cohortmill.operators import matrix as M
 from cohortmill.operators import matrix_store as MS
 from cohortmill.operators import range_finder as RF
+from cohortmill.operators import sketches as SK
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
 from cohortmill.plans.catalog import query
 from cohortmill.plans.component_sql import component_sql
-from cohortmill.session import checkpoint_dir
+from cohortmill.session import broadcast_if_small, checkpoint_dir
 
 
 def _matrix(spark, sf_dir):
@@ -245,6 +246,27 @@ def feature_statistics(spark, sf_dir):
         {c: rounded(F.col(c)) for c in ("mean", "variance", "sd")})
 
 
+@query("sketched_quantiles", f"""with {_STATS} select feature_id, n, true as q25_within, true as median_within,
+  true as q99_within from fs""")
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles from sketches of three batches of samples, each held against the exact ranks: the
+    share of cells below it is at most, and that up to it at least, the wanted one, but for the
+    stated error."""
+    cells = _matrix(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    for batch in range(3):
+        SK.add_sketches(cells.where(F.pmod(F.xxhash64("sample_id"), F.lit(3)) == batch), path, ["feature_id"], str(batch))
+    points = {"q25": 0.25, "median": 0.5, "q99": 0.99}
+    found = SK.sketch_quantiles(SK.stored_sketches(spark, path), ["feature_id"], points)
+    met = cells.join(broadcast_if_small(found), "feature_id")
+    shares = [f(F.when(F.col("value") <= F.col(p) if upto else F.col("value") < F.col(p), 1).otherwise(0)).alias(f"{p}_{upto}")
+              for p in points for upto, f in ((0, F.avg), (1, F.avg))]
+    counted = met.groupBy("feature_id", "n").agg(*shares)
+    return counted.select("feature_id", "n", *[
+        ((F.col(f"{p}_0") <= share + SK.rank_error()) & (F.col(f"{p}_1") >= share - SK.rank_error())).alias(f"{p}_within")
+        for p, share in points.items()])
+
+
 @query("variance_thresholds", f"""with {_STATS}
 select threshold, count(*) filter (variance > threshold) as n_above,
   round(100.0 * count(*) filter (variance > threshold) / count(*), 6) as pct_above

@@ -43,6 +43,20 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.withColumn("created_at", F.lit(stamp)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_manifest_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A manifest as a folder: ``manifest`` as JSON with the UTC time, the tables behind it as parquet."""
+    for name, table in tables.items():
+        if name != "manifest":
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    write_manifest(tables["manifest"], f"{path}/manifest")
+
+
+def read_manifest_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The tables that ``write_manifest_tables`` wrote; ``names`` defaults to those without sources."""
+    names = names or ("features", "samples")
+    return {"manifest": spark.read.json(f"{path}/manifest"), **{n: spark.read.parquet(f"{path}/{n}") for n in names}}
+
+
 def write_export(export: Export, path: str, fmt: str = "parquet") -> None:
     """X and y for train and test, the selected features and the manifest in one folder."""
     if fmt not in FORMATS:
