@@ -14,11 +14,13 @@ from cohortmill.operators import aggregates as G
 from cohortmill.operators import dedup as D
 from cohortmill.operators import filters as P
 from cohortmill.operators import joins as J
+from cohortmill.operators import observed as OB
 from cohortmill.operators import quality as Q
 from cohortmill.plans import adapters as A
 from cohortmill.plans import builds
 from cohortmill.plans.catalog import query
-from cohortmill.session import checkpoint_dir
+from cohortmill.session import checkpoint_dir, new_table
+from cohortmill.sources import bucketed as BK
 from cohortmill.sources import sinks, tables
 
 
@@ -206,7 +208,7 @@ def _clinical_known(spark, sf_dir):
         "time", F.when(F.col("ajcc_pathologic_stage") != "Stage X", F.col("time")))
 
 
-@query("build_funnel", f"""with {_CLIN},
+_FUNNEL_SQL = f"""with {_CLIN},
 l as (select j.* from j where sample_id in (select l_orderkey from lineitem)),
 f as (select *, is_tumor a, is_tumor and time is not null b,
   is_tumor and time is not null and time > 0 c,
@@ -220,19 +222,45 @@ union all select 2, 'time_known', count(*), count(distinct case_id), count(*) fi
 union all select 3, 'time_positive', count(*), count(distinct case_id),
   count(*) filter (event) from f where c
 union all select 4, 'not_short_censored', count(*), count(distinct case_id),
-  count(*) filter (event) from f where d""")
+  count(*) filter (event) from f where d"""
+
+
+@query("build_funnel", _FUNNEL_SQL)
 def build_funnel(spark, sf_dir):
     samples = A.order_profile(spark, sf_dir).select("sample_id").distinct()
     return builds.build_funnel(samples, A.sample_sheet(spark, sf_dir),
                                _clinical_known(spark, sf_dir), 1800)
 
 
-@query("survival_dataset", f"""with {_CLIN}, {A.PROFILE_SQL},
+@query("observed_funnel", _FUNNEL_SQL)
+def observed_funnel(spark, sf_dir):
+    """The funnel as it was counted while the cohort was written."""
+    samples = A.order_profile(spark, sf_dir).select("sample_id").distinct()
+    return OB.write_cohort(samples, A.sample_sheet(spark, sf_dir), _clinical_known(spark, sf_dir), new_table(spark, "cohort"), 1800)
+
+
+_DATASET_SQL = f"""with {_CLIN}, {A.PROFILE_SQL},
 kept as (select * from j where is_tumor and time > 0 and not (time < 1800 and not event)
   and sample_id in (select sample_id from profile))
 select kept.sample_id, case_id, time, event, age_at_index, gender, ajcc_pathologic_stage,
   tissue_type, count(*) as n_features, round(sum(value), 4) as depth
-from kept join profile using (sample_id) group by all""")
+from kept join profile using (sample_id) group by all"""
+
+
+@query("bucketed_dataset", _DATASET_SQL)
+def bucketed_dataset(spark, sf_dir):
+    """The dataset out of tables in buckets of the sample: matrix, sheet and cohort meet bucket by bucket."""
+    cells = BK.save_bucketed(A.order_profile(spark, sf_dir), "sample_id", 16)
+    sheet = BK.save_bucketed(A.sample_sheet(spark, sf_dir), "sample_id", 16)
+    samples = spark.table(cells).select("sample_id").distinct()
+    rows = builds.survival_cohort(samples, spark.table(sheet), _clinical_known(spark, sf_dir), min_follow_up_days=1800)
+    cohort = BK.save_bucketed(rows, "sample_id", 16)
+    per_sample = BK.joined(cells, cohort, "sample_id", "left_semi", spark).groupBy("sample_id").agg(
+        F.count("*").alias("n_features"), rounded(F.sum("value"), 4).alias("depth"))
+    return spark.table(cohort).join(per_sample, "sample_id")
+
+
+@query("survival_dataset", _DATASET_SQL)
 def survival_dataset(spark, sf_dir):
     cohort, cells = builds.survival_dataset(
         A.order_profile(spark, sf_dir), A.sample_sheet(spark, sf_dir),
@@ -409,7 +437,7 @@ def refreshed_covariates(spark, sf_dir):
     return J.refresh_covariates(_stale(spark, sf_dir), fresh)
 
 
-@query("refresh_report", f"""with {A.SHEET_SQL}, {A.COHORT_SQL},
+_REFRESH_SQL = f"""with {A.SHEET_SQL}, {A.COHORT_SQL},
 n as (select s.*, gender, age_at_index, ajcc_pathologic_stage, c.case_id is not null hit
   from sheet s left join (select * from coh where age_at_index >= 0) c on c.case_id = s.case_id),
 t as (select count(*) n, count(*) filter (hit) matched from n)
@@ -419,7 +447,18 @@ union all select 'gender', 0.0,
   round((select 100.0 * count(gender) / count(*) from n), 6), n, matched from t
 union all select 'ajcc_pathologic_stage',
   round((select 100.0 * count(*) filter (is_tumor) / count(*) from n), 6),
-  round((select 100.0 * count(ajcc_pathologic_stage) / count(*) from n), 6), n, matched from t""")
+  round((select 100.0 * count(ajcc_pathologic_stage) / count(*) from n), 6), n, matched from t"""
+
+
+@query("observed_refresh", _REFRESH_SQL)
+def observed_refresh(spark, sf_dir):
+    """The refresh report as it was counted while the refreshed table was written."""
+    fresh = _clinical(spark, sf_dir).where("age_at_index >= 0")
+    report = OB.write_refreshed(_stale(spark, sf_dir), fresh, new_table(spark, "refreshed"))
+    return report.withColumns({c: rounded(F.col(c)) for c in ("pct_before", "pct_after")})
+
+
+@query("refresh_report", _REFRESH_SQL)
 def refresh_report(spark, sf_dir):
     stale = _stale(spark, sf_dir)
     fresh = _clinical(spark, sf_dir).where("age_at_index >= 0")
