@@ -347,25 +347,26 @@ x as (select time, event, {', '.join(f"{x} x{i}" for i, x in enumerate(_X))} fro
 _UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
-def _moment_sql(tag: str, beta: str) -> str:
+def _moment_sql(tag: str, beta: str, size: int = 3) -> str:
     """CTEs giving mom{tag}(ll, u0.., i0_0..) at the coefficients in table ``beta``."""
-    keys = ["0"] + [f"1_{i}" for i in range(3)] + [f"2_{i}_{j}" for i, j in _UPPER]
-    weight = {"0": "r"} | {f"1_{i}": f"r * x{i}" for i in range(3)} | {
-        f"2_{i}_{j}": f"r * x{i} * x{j}" for i, j in _UPPER}
-    return f"""rk{tag} as (select x.*, b0 * x0 + b1 * x1 + b2 * x2 eta,
-  exp(b0 * x0 + b1 * x1 + b2 * x2) r from x, {beta}),
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    keys = ["0"] + [f"1_{i}" for i in range(size)] + [f"2_{i}_{j}" for i, j in upper]
+    weight = {"0": "r"} | {f"1_{i}": f"r * x{i}" for i in range(size)} | {
+        f"2_{i}_{j}": f"r * x{i} * x{j}" for i, j in upper}
+    eta = " + ".join(f"b{i} * x{i}" for i in range(size))
+    return f"""rk{tag} as (select x.*, {eta} eta, exp({eta}) r from x, {beta}),
 dy{tag} as (select time, sum(event::int) d, sum(event::int * eta) de,
-  {', '.join(f"sum(event::int * x{i}) dx{i}" for i in range(3))},
+  {', '.join(f"sum(event::int * x{i}) dx{i}" for i in range(size))},
   {', '.join(f"sum({w}) p{k}, sum(event::int * {w}) d{k}" for k, w in weight.items())}
   from rk{tag} group by 1),
 rs{tag} as (select *, {', '.join(f"sum(p{k}) over w s{k}" for k in keys)}
   from dy{tag} window w as (order by time desc)),
 ti{tag} as (select *, unnest(range(d::bigint)) l from rs{tag} where d > 0),
-ad{tag} as (select l, de, dx0, dx1, dx2,
+ad{tag} as (select l, de, {', '.join(f"dx{i}" for i in range(size))},
   {', '.join(f"s{k} - l / d::double * d{k} a{k}" for k in keys)} from ti{tag}),
 mom{tag} as (select sum(case when l = 0 then de else 0 end - ln(a0)) ll,
-  {', '.join(f"sum(case when l = 0 then dx{i} else 0 end - a1_{i} / a0) u{i}" for i in range(3))},
-  {', '.join(f"sum(a2_{i}_{j} / a0 - a1_{i} * a1_{j} / (a0 * a0)) i{i}_{j}" for i, j in _UPPER)}
+  {', '.join(f"sum(case when l = 0 then dx{i} else 0 end - a1_{i} / a0) u{i}" for i in range(size))},
+  {', '.join(f"sum(a2_{i}_{j} / a0 - a1_{i} * a1_{j} / (a0 * a0)) i{i}_{j}" for i, j in upper)}
   from ad{tag})"""
 
 
@@ -383,14 +384,13 @@ def _inverse_sql(tag: str) -> str:
     return f"inv{tag} as (select *, {cells} from mom{tag})"
 
 
-def _newton_sql(steps: int = 7) -> str:
-    parts = ["beta0 as (select 0.0::double b0, 0.0::double b1, 0.0::double b2)"]
+def _newton_sql(tag: str = "", steps: int = 7) -> str:
+    """Newton steps of the first three covariates; the tag tells two such fits apart."""
+    parts = [f"beta{tag}0 as (select 0.0::double b0, 0.0::double b1, 0.0::double b2)"]
     for k in range(steps):
-        parts.append(_moment_sql(str(k), f"beta{k}"))
-        parts.append(_inverse_sql(str(k)))
-        moves = ", ".join(
-            f"b{i} + c{i}0 * u0 + c{i}1 * u1 + c{i}2 * u2 b{i}" for i in range(3))
-        parts.append(f"beta{k + 1} as materialized (select {moves} from inv{k}, beta{k})")
+        moves = ", ".join(f"b{i} + c{i}0 * u0 + c{i}1 * u1 + c{i}2 * u2 b{i}" for i in range(3))
+        parts += [_moment_sql(f"{tag}{k}", f"beta{tag}{k}"), _inverse_sql(f"{tag}{k}"),
+                  f"beta{tag}{k + 1} as materialized (select {moves} from inv{tag}{k}, beta{tag}{k})"]
     return ",\n".join(parts)
 
 
@@ -443,19 +443,80 @@ def cox_clinical_summary(spark, sf_dir):
         c: rounded(F.col(c), 5) for c in ("c_index", "log_likelihood")})
 
 
-@query("cox_panel_effects")
+_GENES = list(A.PANEL)
+_SIZE = 3 + len(_GENES)
+
+
+def _elimination_sql(tag: str, size: int) -> str:
+    """inv{tag}(c): the inverse of the information in mom{tag}, by elimination on nested lists."""
+    rows = ", ".join("[" + ", ".join([f"i{min(i, j)}_{max(i, j)}" for j in range(size)]
+                                     + [str(float(i == j)) for j in range(size)]) + "]" for i in range(size))
+    return f"""aug{tag} as (select [{rows}] as m from mom{tag}),
+gj{tag} as (select 0 as k, m from aug{tag} union all select k + 1, [[
+  case when i = k + 1 then m[i][j] / m[i][i] else m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] end
+  for j in range(1, {2 * size + 1})] for i in range(1, {size + 1})] from gj{tag} where k < {size}),
+inv{tag} as (select [[m[i][j + {size}] for j in range(1, {size + 1})] for i in range(1, {size + 1})] as c
+  from gj{tag} where k = {size})"""
+
+
+def _panel_newton_sql(steps: int = 7) -> str:
+    parts = ["beta0 as (select " + ", ".join(f"0.0::double b{i}" for i in range(_SIZE)) + ")"]
+    for k in range(steps):
+        parts += [_moment_sql(str(k), f"beta{k}", _SIZE), _elimination_sql(str(k), _SIZE)]
+        moves = ", ".join(f"b{i} + " + " + ".join(f"c[{i + 1}][{j + 1}] * u{j}" for j in range(_SIZE)) + f" b{i}" for i in range(_SIZE))
+        parts.append(f"beta{k + 1} as materialized (select {moves} from inv{k}, mom{k}, beta{k})")
+    return ",\n".join(parts)
+
+
+_PANEL_SQL = f"""with recursive {A.COHORT_SQL}, {_SIGNATURE_SQL},
+wide as (select sample_id, {', '.join(f"max(z) filter (feature_id = '{A.PANEL[g][0]}') as z{i}" for i, g in enumerate(_GENES))}
+  from zs group by 1),
+x as materialized (select time, event, {', '.join(f"{x} x{i}" for i, x in enumerate(_X))},
+  {', '.join(f"z{i} as x{i + 3}" for i in range(len(_GENES)))} from coh join wide using (sample_id)
+  where time > 0 and stage_group <> 'Unknown' and age_at_index is not null
+    and {' and '.join(f"z{i} is not null" for i in range(len(_GENES)))}),
+{_panel_newton_sql()},
+e as ({' union all '.join(f"select 'g_{g}' as covariate, b{i + 3} as coef, sqrt(c[{i + 4}][{i + 4}]) as se from beta7, inv6"
+                          for i, g in enumerate(_GENES))}),
+t as (select *, {P_VALUE.format(z='abs(coef / se)')} as p_value from e)"""
+
+
+@query("cox_panel_effects", f"""{_PANEL_SQL}
+select covariate, round(coef, 6) as coef, round(se, 6) as se, round(exp(coef), 6) as hr,
+  round(exp(coef - {Z} * se), 6) as ci_lower, round(exp(coef + {Z} * se), 6) as ci_upper, round(coef / se, 5) as z,
+  round(p_value, 6) as p_value, case when coef < 0 then 'protective' else 'risk' end as direction,
+  p_value < 0.05 as significant from t""")
 def cox_panel_effects(spark, sf_dir):
-    return C.panel_report(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)[0]
+    effects = C.panel_report(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)[0]
+    return effects.withColumns({c: rounded(F.col(c), 5 if c == "z" else 6) for c in
+                                ("coef", "se", "hr", "ci_lower", "ci_upper", "z", "p_value")})
+
+
+def _summary_sql(model: str, size: int, beta: str, moments: str) -> str:
+    risk = " + ".join(f"b{i} * x{i}" for i in range(size))
+    return f"""select '{model}' as model, round((select (count(*) filter (a.r > b.r) + 0.5 * count(*) filter (a.r = b.r)) / count(*)
+    from (select time, event, {risk} as r from x, {beta}) a join (select time, event, {risk} as r from x, {beta}) b
+    on a.event and (b.time > a.time or (b.time = a.time and not b.event))), 5) as c_index, 0.0::double as penalizer,
+  (select count(*) from x) as n, (select count(*) filter (event) from x) as n_events,
+  round((select ll from {moments}), 5) as log_likelihood"""
 
 
-@query("cox_panel_summary")
+@query("cox_panel_summary", f"""{_PANEL_SQL}, {_moment_sql("f", "beta7", _SIZE)},
+{_newton_sql("c")}, {_moment_sql("cf", "betac7")}
+{_summary_sql("clinical", 3, "betac7", "momcf")} union all {_summary_sql("panel", _SIZE, "beta7", "momf")}""")
 def cox_panel_summary(spark, sf_dir):
-    return C.panel_report(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)[1]
+    summary = C.panel_report(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)[1]
+    return summary.withColumns({c: rounded(F.col(c), 5) for c in ("c_index", "log_likelihood")})
 
 
-@query("fdr_of_cox_panel")
+@query("fdr_of_cox_panel", f"""{_PANEL_SQL},
+r as (select covariate as name, p_value, row_number() over (order by p_value) as k, count(*) over () as n from t),
+q as (select *, least(1.0, min(p_value * n / k) over (order by k desc)) as q_value from r)
+select name, round(p_value, 6) as p_value, round(q_value, 6) as q_value, p_value < 0.05 as reject_raw,
+  q_value < 0.05 as reject_fdr, 'cox' as source from q""")
 def fdr_of_cox_panel(spark, sf_dir):
-    return builds.panel_testing(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL, "cox")
+    tests = builds.panel_testing(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL, "cox")
+    return tests.withColumns({c: rounded(F.col(c)) for c in ("p_value", "q_value")})
 
 
 _CONCORDANCE_SQL = f"""with {A.COHORT_SQL},
