@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ MEMO = 300_000
 PIECE = 50  # longer words are cut into pieces of so many characters, all of which count
 ROWS_AT_ONCE = 256
 LOWER, UPPER, DIGITS = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
+ENDS = frozenset(".,;:!?'\"()")
 MARK = re.compile(r"[^\w.,;:!?'\"()-]|[!?]{2}")
 
 
@@ -46,20 +48,28 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
+@lru_cache(maxsize=10_000)
+def shape_term(shape: str) -> int:
+    return WORD_TERMS + xxhash.xxh32_intdigest(shape) % SHAPE_TERMS
+
+
 class TermsOfWords(dict):
     """Word term, shape term and kinds of a word, as one number; remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) >= MEMO:
             self.clear()
-        shape = UPPER.sub("A", LOWER.sub("a", DIGITS.sub("0", word)))
-        letters = sum(c.isalpha() for c in word)
-        kinds = (letters > 1 and word.upper() == word, bool(MARK.search(word)), not letters,
-                 any(c.isdigit() for c in word))
+        core, tail = (word[:-1], word[-1]) if word[-1] in ENDS else (word, "")
+        if core.isalpha() and (core.islower() or ("A" <= core[0] <= "Z" and (len(core) == 1 or core[1:].islower()))):
+            # most words: letters of one case or capitalised, then at most one mark
+            shape = ("a" if core.islower() else "Aa" if len(core) > 1 else "A") + tail
+            kinds = (len(core) > 1 and core.upper() == core, False, False, False)
+        else:
+            shape = UPPER.sub("A", LOWER.sub("a", DIGITS.sub("0", word)))
+            letters = sum(map(str.isalpha, word))
+            kinds = (letters > 1 and word.upper() == word, bool(MARK.search(word)), not letters, any(map(str.isdigit, word)))
         value = xxhash.xxh32_intdigest(word.lower()) % WORD_TERMS
-        value = value * TERMS + WORD_TERMS + xxhash.xxh32_intdigest(shape) % SHAPE_TERMS
+        value = value * TERMS + shape_term(shape)
         for kind in kinds:
             value = value * 2 + kind
         self[word] = value
@@ -147,8 +157,6 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def digest(text: str | None) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest((text or "").encode())
 
 
