@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
@@ -119,11 +119,12 @@ def completeness(df: DataFrame, columns: Sequence[str] = fixed.COVARIATES,
     )
 
 
-def cohort_summary(cohort: DataFrame, n_features: int | None = None, time: str = "time",
+def cohort_summary(cohort: DataFrame, n_features: int | Column | None = None, time: str = "time",
                    event: str = "event") -> DataFrame:
     """One row: samples, events, censoring and median follow-up.
 
-    The median comes from the counts per day, which stay few.
+    The median comes from the counts per day, which stay few. ``n_features`` is a number or a
+    column, such as a scalar subquery that counts them.
     """
     day = cohort.groupBy(time).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("int")).alias("d")

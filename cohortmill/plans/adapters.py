@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 # five market segments read as tumour stages, one of them unknown
 STAGE_OF_SEGMENT = {
     "AUTOMOBILE": "Stage IA", "BUILDING": "Stage IIB", "FURNITURE": "Stage IIIA",
@@ -107,6 +106,12 @@ expr as (
   left join cell on cell.sample_id = s.sample_id and cell.feature_id = brand.feature_id)"""
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of ``expression``, read from their dictionary."""
+    return table(spark, sf_dir, "part").where("p_brand is not null").select(
+        F.col("p_brand").alias("feature_id")).distinct()
+
+
 def sample_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the sample sheet: one sample per order, its customer is the case."""
     return table(spark, sf_dir, "orders").select(

@@ -701,14 +701,15 @@ def completeness(spark, sf_dir):
     return report.withColumn("pct", rounded(F.col("pct")))
 
 
-@query("cohort_summary", f"""with {A.COHORT_SQL}
+@query("cohort_summary", f"""with {A.COHORT_SQL}, {A.EXPRESSION_SQL}
 select count(*) as n_samples, sum(event::int)::bigint as n_events,
   sum((not event)::int)::bigint as n_censored,
   round(100.0 * sum((not event)::int) / count(*), 6) as censoring_pct,
   round(quantile_cont(time::double, 0.5) / 365.25, 6) as median_followup_years,
-  25::bigint as n_features from coh""")
+  (select count(distinct feature_id) from expr) as n_features from coh""")
 def cohort_summary(spark, sf_dir):
-    row = G.cohort_summary(A.cohort(spark, sf_dir), len(A.BRANDS))
+    features = A.expression(spark, sf_dir).agg(F.count_distinct("feature_id")).scalar()
+    row = G.cohort_summary(A.cohort(spark, sf_dir), features)
     return row.withColumns({c: rounded(F.col(c)) for c in ("censoring_pct", "median_followup_years")})
 
 

@@ -67,7 +67,8 @@ rows_ as (
   union all select 'n_sites', k, 'info' from t
   union all select 'site_imbalance', im, case when im <= 5 then 'green' when im <= 20 then 'yellow'
     else 'red' end from t
-  union all select 'repeated_cases', 0, 'green')"""
+  union all select 'repeated_cases', n, case when n = 0 then 'green' when n <= 5 then 'yellow' else 'red' end
+    from (select count(*) n from (select case_id from c group by 1 having count(*) > 1)))"""
 
 
 def _report(spark, sf_dir):
@@ -147,7 +148,8 @@ def case_split(spark, sf_dir):
   count(*) filter (is_test) as n_test,
   round(avg(event::int) filter (not is_test), 3) as event_rate_train,
   round(avg(event::int) filter (is_test), 3) as event_rate_test,
-  0::bigint as shared_cases, true as no_leakage from rs""")
+  (select count(*) from (select case_id from rs group by 1 having count(distinct is_test) > 1)) as shared_cases,
+  not exists (select 1 from rs group by case_id having count(distinct is_test) > 1) as no_leakage from rs""")
 def split_report(spark, sf_dir):
     cohort = _cohort(spark, sf_dir)
     return E.split_report(E.split_rows(cohort, E.case_split(cohort, SHARE, SEED)))
@@ -223,7 +225,7 @@ hs as (select sha256(sample_id::varchar) h from (select distinct sample_id from
 ds as (select count(*) n, sum(('0x' || substr(h, 1, 8))::bigint)::varchar a,
   sum(('0x' || substr(h, 9, 8))::bigint)::varchar b, sum(('0x' || substr(h, 17, 8))::bigint)::varchar c,
   sum(('0x' || substr(h, 25, 8))::bigint)::varchar e from hs)
-select 'counts' as metric, ds.n as n_samples, 25::bigint as n_features, d.n as n_cells,
+select 'counts' as metric, ds.n as n_samples, (select count(distinct feature_id) from expr) as n_features, d.n as n_cells,
   sha256(ds.n || '-' || ds.a || '-' || ds.b || '-' || ds.c || '-' || ds.e) as samples_hash,
   sha256(d.n || '-' || d.a || '-' || d.b || '-' || d.c || '-' || d.e) as content_hash from d, ds""")
 def matrix_manifest(spark, sf_dir):

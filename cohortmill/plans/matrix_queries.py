@@ -124,19 +124,40 @@ def matrix_build_complete(spark, sf_dir):
         "value", rounded(F.col("value"), 2))
 
 
+_CHECKS = """select sample_id, count(distinct feature_id) as n_features,
+  count(*) - count(distinct feature_id) as n_repeated, count(*) - count(value) as n_null,
+  count(*) filter (not isfinite(value::double)) as n_non_finite,
+  count(distinct feature_id) = (select count(distinct feature_id) from {0}) as complete
+from {0} group by 1"""
+
+
 @query("matrix_checks", f"""with {A.PROFILE_SQL}
-select sample_id, count(*) as n_features, 0::bigint as n_repeated, 0::bigint as n_null,
-  0::bigint as n_non_finite, count(*) = (select count(distinct feature_id) from profile)
-  as complete from profile group by 1""")
+{_CHECKS.format("profile")}""")
 def matrix_checks(spark, sf_dir):
     return M.matrix_checks(A.order_profile(spark, sf_dir))
 
 
+@query("matrix_checks_of_lines", f"""with lines as (select l_suppkey as sample_id, p_brand as feature_id,
+  case when l_discount = 0 then null when l_tax = 0 then 'inf'::double else l_quantity::double end as value
+  from lineitem join part on p_partkey = l_partkey)
+{_CHECKS.format("lines")}""")
+def matrix_checks_of_lines(spark, sf_dir):
+    """Cells as they come: repeated, empty and infinite ones in most samples."""
+    items = A.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    part = A.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    value = F.when(F.col("l_discount") == 0, None).when(F.col("l_tax") == 0, float("inf")).otherwise(
+        F.col("l_quantity").cast("double"))
+    return M.matrix_checks(items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("sample_id"), F.col("p_brand").alias("feature_id"), value.alias("value")))
+
+
 @query("matrix_wide", f"""with {A.EXPRESSION_SQL}
 select sample_id, {', '.join(f"max(value) filter (feature_id = '{b}') as \"{b}\""
-                             for b in A.BRANDS)} from expr group by 1""")
+                             for b in (f"Brand#{i}" for i in range(1, 26)))} from expr group by 1""")
 def matrix_wide(spark, sf_dir):
-    return M.widen(A.expression(spark, sf_dir), A.BRANDS)
+    """A column per feature of the dictionary; the SQL has to name its columns."""
+    names = [r[0] for r in A.features(spark, sf_dir).orderBy("feature_id").collect()]
+    return M.widen(A.expression(spark, sf_dir), names)
 
 
 @query("matrix_transpose", """with c as (select n_regionkey, s_nationkey, s_acctbal from supplier
