@@ -54,9 +54,9 @@ rows_ as (
     when 100.0 * cens / n < 90 then 'yellow' else 'red' end from a
   union all select 'completeness', least(fa, fg, fs), case when least(fa, fg, fs) < 80 then 'red'
     when least(fa, fg, fs) < 95 then 'yellow' else 'green' end from a
-  union all select 'filled_age_at_index', fa, 'info' from a
-  union all select 'filled_gender', fg, 'info' from a
-  union all select 'filled_ajcc_pathologic_stage', fs, 'info' from a
+  union all select 'filled_age_at_index', fa, 'detail' from a
+  union all select 'filled_gender', fg, 'detail' from a
+  union all select 'filled_ajcc_pathologic_stage', fs, 'detail' from a
   union all select 'stage_imbalance', im, case when im <= 3 then 'green' when im <= 10 then 'yellow'
     else 'red' end from s
   union all select 'metric', null, 'red'
@@ -64,7 +64,7 @@ rows_ as (
     then 'green' when 100.0 * zeros / cells < 50 then 'yellow' else 'red' end from f
   union all select 'zero_variance', z, case when z = 0 then 'green' when z <= 0.1 * p
     then 'yellow' else 'red' end from f
-  union all select 'n_sites', k, 'info' from t
+  union all select 'n_sites', k, 'detail' from t
   union all select 'site_imbalance', im, case when im <= 5 then 'green' when im <= 20 then 'yellow'
     else 'red' end from t
   union all select 'repeated_cases', n, case when n = 0 then 'green' when n <= 5 then 'yellow' else 'red' end
@@ -109,8 +109,8 @@ eta as (select {_eta_sql('site')} as by_site, {_eta_sql('stage_group')} as by_st
 select measure, round(value, 6) as value, status from rows_
 union all select 'pc1', round(by_site, 6), case when by_site >= 0.3 and by_site > by_stage then 'red'
   when by_stage >= by_site then 'green' else 'yellow' end from eta
-union all select 'pc1_stage', round(by_stage, 6), 'info' from eta
-union all select 'pc1_pct', round(l, 6), 'info' from e1""")
+union all select 'pc1_stage', round(by_stage, 6), 'detail' from eta
+union all select 'pc1_pct', round(l, 6), 'detail' from e1""")
 def readiness_with_components(spark, sf_dir):
     cells, cohort = _matrix(spark, sf_dir), A.cohort(spark, sf_dir)
     site = F.col("site").cast("string")

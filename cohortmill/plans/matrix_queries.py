@@ -15,6 +15,7 @@ from cohortmill.operators import range_finder as RF
 from cohortmill.operators import sketches as SK
 from cohortmill.operators.filters import MIRNA, RNASEQ
 from cohortmill.plans import adapters as A
+from cohortmill.plans import builds
 from cohortmill.plans.catalog import query
 from cohortmill.plans.component_sql import component_sql
 from cohortmill.session import broadcast_if_small, checkpoint_dir
@@ -544,3 +545,56 @@ def pca_scores_with_metadata(spark, sf_dir):
     meta = A.cohort(spark, sf_dir).select(
         "sample_id", "event", "gender", "ajcc_pathologic_stage", "site")
     return K.component_overlay(scores, meta)
+
+
+# ---- the report as one table ---------------------------------------------------------
+
+_CODED = f"""people as (select c_custkey, 'TCGA-' || lpad(c_nationkey::varchar, 2, '0') || '-' ||
+  {A.person_code_sql("c_custkey")} || '-01A' as code from customer),
+expr as (select code as sample_id, feature_id, value from cust join people on c_custkey = cust.sample_id)"""
+
+
+def _coded_matrix(spark, sf_dir):
+    """The matrix with a barcode, site included, as sample id."""
+    people = A.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("sample_id"),
+        F.concat_ws("-", F.lit("TCGA"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"),
+                    A.person_code(F.col("c_custkey")), F.lit("01A")).alias("code"))
+    return M.stored_matrix(A.expression(spark, sf_dir).join(people, "sample_id").select(
+        F.col("code").alias("sample_id"), "feature_id", "value"))
+
+
+@query("matrix_summary", f"""with recursive {A.EXPRESSION_SQL.replace("expr as (", "cust as (")}, {_CODED}, {component_sql(3)},
+dep as (select sample_id, sum(value) depth from expr group by 1),
+md as (select feature_id, quantile_cont(value::double, 0.5) a, quantile_cont(log2(value + 1), 0.5) b from expr group by 1),
+st as (select split_part(sample_id, '-', 2) site, count(distinct sample_id) n from expr group by 1)
+select 'size' as part, 'n_features' as item, count(distinct feature_id)::double as value from expr
+union all select 'size', 'n_samples', count(distinct sample_id) from expr
+union all select 'distribution', 'p25', round(quantile_cont(value::double, 0.25), 6) from expr
+union all select 'distribution', 'median', round(quantile_cont(value::double, 0.5), 6) from expr
+union all select 'distribution', 'p75', round(quantile_cont(value::double, 0.75), 6) from expr
+union all select 'distribution', 'max', max(value) from expr
+union all select 'distribution', 'zero_pct', round(100.0 * count(*) filter (value = 0) / count(*), 6) from expr
+union all select 'distribution', 'median_depth', round(quantile_cont(depth, 0.5), 6) from dep
+union all select 'sites', site, n from st
+union all select 'components', '1', round(l, 4) from e1
+union all select 'components', '2', round(l, 4) from e2
+union all select 'components', '3', round(l, 4) from e3
+union all select 'markers', symbol, round(b, 6) from {_NAMES} left join md on feature_id = base""")
+def matrix_summary(spark, sf_dir):
+    """All parts of the matrix report, one number per row."""
+    parts = builds.matrix_summary(_coded_matrix(spark, sf_dir), A.MARKERS, components=3)
+
+    def rows(part, item, value):
+        return parts[part].select(F.lit(part).alias("part"), item.cast("string").alias("item"),
+                                  value.cast("double").alias("value"))
+
+    def fields(part, *names):
+        return parts[part].select(F.lit(part).alias("part"), F.inline(F.array(*[
+            F.struct(F.lit(n).alias("item"), rounded(F.col(n).cast("double")).alias("value")) for n in names])))
+
+    return (fields("size", "n_features", "n_samples")
+            .unionByName(fields("distribution", "p25", "median", "p75", "max", "zero_pct", "median_depth"))
+            .unionByName(rows("sites", F.col("site"), F.col("n")))
+            .unionByName(rows("components", F.col("pc"), rounded(F.col("var_pct"), 4)))
+            .unionByName(rows("markers", F.col("symbol"), rounded(F.col("median_log2")))))

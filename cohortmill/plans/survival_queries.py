@@ -12,7 +12,7 @@ from cohortmill.operators import survival as S
 from cohortmill.operators import testing as T
 from cohortmill.plans import adapters as A
 from cohortmill.plans import builds
-from cohortmill.plans.catalog import query
+from cohortmill.plans.catalog import ORACLES, query
 from cohortmill.session import materialize, written
 
 Z = "1.959963984540054"
@@ -320,8 +320,9 @@ def fdr_summary(spark, sf_dir):
     return T.testing_summary(T.multiple_testing(_event_tests(spark, sf_dir)))
 
 
-@query("sensitivity_by_stage", f"""with {A.COHORT_SQL},
-e as (select stage_group, coalesce(sum(event::int), 0)::bigint n_events from coh
+def _sensitivity_sql(group: str) -> str:
+    return f"""with {A.COHORT_SQL},
+e as (select {group} as stage_group, coalesce(sum(event::int), 0)::bigint n_events from coh
   where time > 0 group by 1),
 c as (select stage_group, n_events, 'min_hr' as measure, at_ as level,
    case when n_events > 0 then exp(({Z} + zb) / sqrt(n_events * 0.25)) else 'inf'::double end as result
@@ -331,7 +332,10 @@ c as (select stage_group, n_events, 'min_hr' as measure, at_ as level,
    case when n_events > 0 then 1 - ({P_VALUE.format(
        z=f'(sqrt(n_events * 0.25) * ln(hr) - {Z})')}) / 2 else 0 end
   from e, (values (1.3::double), (1.5::double), (1.75::double), (2.0::double)) h(hr))
-select stage_group, n_events, measure, level, round(result, 6) as result from c""")
+select stage_group, n_events, measure, level, round(result, 6) as result from c"""
+
+
+@query("sensitivity_by_stage", _sensitivity_sql("stage_group"))
 def sensitivity_by_stage(spark, sf_dir):
     return S.sensitivity(_cohort(spark, sf_dir), ["stage_group"]).withColumn(
         "result", rounded(F.col("result")))
@@ -519,6 +523,37 @@ def fdr_of_cox_panel(spark, sf_dir):
     return tests.withColumns({c: rounded(F.col(c)) for c in ("p_value", "q_value")})
 
 
+@query("fdr_of_single_genes", _SPLIT_SQL + f""",
+sg as (select name, p from (values {', '.join(f"('{g}', '{A.PANEL[g][0]}')" for g in A.PANEL)}) n(name, base)
+  left join res on feature_id = base),
+sk as (select *, row_number() over (order by p) as k, count(*) over () as n from sg where p is not null),
+sq as (select *, least(1.0, min(p * n / k) over (order by k desc)) as q_value from sk)
+select sg.name, round(sg.p, 6) as p_value, round(q_value, 6) as q_value, coalesce(sg.p < 0.05, false) as reject_raw,
+  coalesce(q_value < 0.05, false) as reject_fdr, 'single_gene' as source from sg left join sq on sq.name = sg.name""")
+def fdr_of_single_genes(spark, sf_dir):
+    tests = builds.panel_testing(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)
+    return tests.withColumns({c: rounded(F.col(c)) for c in ("p_value", "q_value")})
+
+
+_TESTED = "name, p_value, q_value, reject_raw, reject_fdr, null as n_events, null as level"
+
+
+@query("rigor_report", f"""select 'fdr_single_gene' as part, {_TESTED} from ({ORACLES["fdr_of_single_genes"]})
+union all select 'fdr_cox', {_TESTED} from ({ORACLES["fdr_of_cox_panel"]})
+union all select 'sensitivity', measure, result, null, null, null, n_events, level from ({_sensitivity_sql("'all'")})""")
+def rigor_report(spark, sf_dir):
+    """The three parts of the report in one table; ``p_value`` of a sensitivity row is its result."""
+    parts = builds.rigor_report(_cohort(spark, sf_dir), _matrix(spark, sf_dir), A.PANEL)
+    none = {"n_events": F.lit(None).cast("bigint"), "level": F.lit(None).cast("double")}
+    tested = [parts[name].withColumns({"part": F.lit(name), **none, **{
+        c: rounded(F.col(c)) for c in ("p_value", "q_value")}}) for name in ("fdr_single_gene", "fdr_cox")]
+    power = parts["sensitivity"].select(
+        F.lit("sensitivity").alias("part"), F.col("measure").alias("name"), rounded(F.col("result")).alias("p_value"),
+        F.lit(None).cast("double").alias("q_value"), *[F.lit(None).cast("boolean").alias(c) for c in ("reject_raw", "reject_fdr")],
+        "n_events", "level")
+    return tested[0].unionByName(tested[1]).drop("source").unionByName(power)
+
+
 _CONCORDANCE_SQL = f"""with {A.COHORT_SQL},
 x as (select time, event, floor(age_at_index / 100) risk from coh where time > 0),
 k as (select time, event, risk, count(*) c from x group by 1, 2, 3),

@@ -126,8 +126,10 @@ def test_readiness(dataset):
     assert rows["metric"]["status"] == "green" and rows["zero_variance"]["value"] == 2
     assert rows["repeated_cases"]["value"] == SECOND_SAMPLES and rows["repeated_cases"]["status"] == "red"
     assert rows["completeness"]["status"] == "green" and rows["n_sites"]["value"] == 3
-    assert report_of(cohort, cells, "counts")["metric"]["status"] == "red"
-    assert report_of(cohort, cells, "FPKM")["metric"]["status"] == "yellow"
+    for metric, status, action in (("counts", "red", "normalise_counts"), ("FPKM", "yellow", "convert_to_tpm"),
+                                   ("FPKM/other", "yellow", "convert_to_tpm"), ("other", "yellow", "confirm_metric")):
+        row = report_of(cohort, cells, metric)["metric"]
+        assert (row["status"], row["action"]) == (status, action)
     assert "metric" not in report_of(cohort, cells)
 
 
@@ -135,7 +137,12 @@ def test_empty_field_is_red(dataset):
     cohort, cells = dataset
     rows = report_of(cohort.withColumn("gender", F.lit(None).cast("string")), cells)
     assert rows["completeness"]["status"] == "red" and rows["completeness"]["action"] == "refresh_clinical_table"
-    assert rows["filled_age_at_index"]["value"] == 100
+    assert rows["filled_age_at_index"]["value"] == 100 and rows["filled_age_at_index"]["status"] == "detail"
+    ids = sorted(r[0] for r in cohort.select("sample_id").collect())
+    for filled, status, action in ((0.5, "red", "impute_or_leave_out_rows"), (0.9, "yellow", "impute_gaps")):
+        some = F.col("sample_id") < ids[round(filled * len(ids))]
+        part = report_of(cohort.withColumn("gender", F.when(some, "male")), cells)["completeness"]
+        assert (part["status"], part["action"]) == (status, action)
 
 
 def test_verdict(dataset):
