@@ -8,11 +8,15 @@ Texts whose sets of five-word shingles reach a Jaccard similarity of 0.8 are lin
    least one of 40 bands of 6 values with probability 1 - 5e-6, closer ones more surely. Every
    bucket ties its members to its smallest one, and the components of these ties hold all
    candidate pairs; no pairs are written.
-3. *Compare.* The sketches and shingles of a component meet in one task, or, for a large
-   component, in blocks of 256 texts, and only blocks whose set sizes allow the threshold meet.
+3. *Compare.* The texts that must meet form units: a whole component, or, where a component is
+   large and its buckets ask for fewer comparisons, each of its buckets, buckets of the same texts
+   once. The sketches and shingles of a unit meet in one task, or, for a large unit, in blocks
+   bounded by texts and by shingles, and only blocks whose set sizes allow the threshold meet.
+   Ranges of equal row counts deal the meetings to tasks.
    Inside, MinHash values are compared step by step: with m equal among n, the posterior of the
    similarity (uniform prior) is Beta(1 + m, 1 + n - m), and a pair is dropped once the
-   probability of reaching the threshold falls below the tolerance. The rest is counted exactly.
+   probability of reaching the threshold falls below the tolerance. The rest is counted exactly;
+   in the bucket of a band only pairs that have no earlier band in common.
    A task returns per text its number of links and a root it is tied to, never the pairs.
 4. *Groups.* The ties of all tasks are joined to groups.
 """
@@ -41,6 +45,8 @@ HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, 128, HASHES)
 TOLERANCE = 1e-6
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
+MEETING = ("unit", "band", "one", "two")
 MEMO = 300_000
 WORD = re.compile(r"\w+")
 
@@ -184,8 +190,16 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray
     return counts[i, j]
 
 
-def links(a: dict, b: dict | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked texts between two blocks, or within one."""
+def first_common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band that rows of signatures have in common, ``BANDS`` where there is none."""
+    same = (left.reshape(-1, BANDS, ROWS) == right.reshape(-1, BANDS, ROWS)).all(axis=2)
+    return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+
+
+def links(a: dict, b: dict | None, threshold: float, tolerance: float, band: int = -1
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked texts between two blocks, or within one; from band 0 on, of texts whose
+    first common band it is."""
     other = b or a
     share = Fraction(str(threshold))
     p, q = share.numerator, share.denominator
@@ -200,6 +214,10 @@ def links(a: dict, b: dict | None, threshold: float, tolerance: float) -> tuple[
         equal += (a["signature"][i, done:n] == other["signature"][j, done:n]).sum(axis=1)
         keep = equal >= needed[n]
         i, j, equal, done = i[keep], j[keep], equal[keep], n
+    if band >= 0 and len(i):
+        own = np.concatenate([first_common(a["signature"][i[k:k + 4096]], other["signature"][j[k:k + 4096]]) == band
+                              for k in range(0, len(i), 4096)])
+        i, j = i[own], j[own]
     if len(i):
         common = common_counts(a["shingles"], other["shingles"], i, j)
         exact = common * (p + q) >= p * (a["size"][i] + other["size"][j])
@@ -222,7 +240,7 @@ def roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def compare(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float
             ) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, one, two) to (doc_id, links, root): blocks ``one`` and ``two``."""
+    """Rows sorted by (unit, band, one, two) to (doc_id, links, root): blocks ``one`` and ``two``."""
     key, rows = None, []
 
     def block(rows):
@@ -234,16 +252,17 @@ def compare(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: floa
         if len(rows) < 2:
             return None
         rows.sort(key=lambda r: r[1])
-        if key[1] == key[2]:
+        _, band, one, two = key
+        if one == two:
             a, b = block(rows), None
-            i, j = links(a, None, threshold, tolerance)
+            i, j = links(a, None, threshold, tolerance, band)
             ids = a["id"]
         else:
-            first, second = [r for r in rows if r[0] == key[1]], [r for r in rows if r[0] == key[2]]
+            first, second = [r for r in rows if r[0] == one], [r for r in rows if r[0] == two]
             if not first or not second:
                 return None
             a, b = block(first), block(second)
-            i, j = links(a, b, threshold, tolerance)
+            i, j = links(a, b, threshold, tolerance, band)
             ids, j = np.concatenate([a["id"], b["id"]]), j + len(first)
         if not len(i):
             return None
@@ -253,36 +272,63 @@ def compare(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: floa
                                            "root": ids[roots(len(ids), i, j)][linked]})
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("cluster", "one", "two", "block", "doc_id", "size")]
+        columns = [batch.column(n).to_pylist() for n in (*MEETING, "block", "doc_id", "size")]
         signatures, sets = batch.column("signature"), batch.column("shingles")
-        for at, (cluster, one, two, own, doc_id, size) in enumerate(zip(*columns)):
-            if (cluster, one, two) != key:
+        for at, (unit, band, one, two, own, doc_id, size) in enumerate(zip(*columns)):
+            if (unit, band, one, two) != key:
                 if (out := settle()) is not None:
                     yield out
-                key, rows = (cluster, one, two), []
+                key, rows = (unit, band, one, two), []
             rows.append((own, doc_id, size, signatures[at].as_py(), sets[at].as_py()))
     if key is not None and (out := settle()) is not None:
         yield out
 
 
+def units_of(banded: DataFrame, buckets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(doc_id, units): the units (unit, band) in which a text is compared, at most one per band.
+
+    A component (``clusters``: doc_id, cluster) is one unit, band -1, unless it has more than
+    ``BLOCK`` texts and comparing within its buckets takes less than half of its pairs. Then its
+    units are its buckets; of buckets with the same texts the one of the first band stands for
+    all, so the first band that two texts have in common is always a unit.
+    """
+    own = (buckets.join(broadcast_if_small(clusters.withColumnRenamed("doc_id", "pivot")), "pivot")
+           .groupBy("cluster", "pivot", "n", "mark").agg(F.min("at").alias("at"), F.min_by("band", "at").alias("band")))
+    pairs = own.groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    sparse = (clusters.groupBy("cluster").agg(F.count("*").alias("texts")).where(F.col("texts") > BLOCK)
+              .join(pairs, "cluster").where(2 * F.col("pairs") < F.col("texts").cast("double") * F.col("texts")))
+    sparse = broadcast_if_small(sparse.select("cluster"))
+    texts = broadcast_if_small(clusters.join(sparse, "cluster", "left_semi").select("doc_id"))
+    chosen = broadcast_if_small(own.join(sparse, "cluster", "left_semi").select("band", "at"))
+    many = (banded.join(texts, "doc_id", "left_semi").join(chosen, ["band", "at"])
+            .groupBy("doc_id").agg(F.collect_list(F.struct(F.col("band").alias("unit"), F.col("at").alias("band"))).alias("units")))
+    whole = clusters.join(sparse, "cluster", "left_anti").select("doc_id", F.array(F.struct(
+        F.col("cluster").alias("unit"), F.lit(-1).alias("band"))).alias("units"))
+    return whole.unionByName(many)
+
+
 def meetings(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``nodes`` (cluster, doc_id, size, ...) once per pair of blocks that must be compared.
+    """``nodes`` (doc_id, size, units, ...) once per pair of blocks that must be compared.
 
-    A cluster of at most ``BLOCK`` texts is one block. A larger one is cut by set size into classes
-    such that texts of the threshold's similarity are in one class or in neighbouring ones, and
-    each class by a hash into blocks of about ``BLOCK``.
+    A unit of at most ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles is one block. A larger one is
+    cut by set size into classes such that texts of the threshold's similarity are in one class or
+    in neighbouring ones, and each class by a hash into blocks of about those bounds.
     """
-    clusters = nodes.groupBy("cluster").agg(F.count("*").alias("texts__"))
+    def blocks(texts, shingles):
+        return F.greatest(F.ceil(texts / F.lit(float(BLOCK))), F.ceil(shingles / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+
+    unit = ["unit", "band"]
+    flat = nodes.select("doc_id", "size", "signature", "shingles", F.inline("units"))
+    large = flat.groupBy(unit).agg(blocks(F.count("*"), F.sum("size")).alias("blocks__"))
     cut = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(threshold) + 1e-9).cast("int")
-    nodes = nodes.join(broadcast_if_small(clusters), "cluster").withColumn(
-        "class__", F.when(F.col("texts__") > BLOCK, cut).otherwise(0)).drop("texts__")
-    sizes = nodes.groupBy("cluster", "class__").agg(
-        F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("n"))
-    near = sizes.alias("s")
+    flat = flat.join(broadcast_if_small(large), unit).withColumn(
+        "class__", F.when(F.col("blocks__") > 1, cut).otherwise(0)).drop("blocks__")
+    sizes = flat.groupBy(*unit, "class__").agg(blocks(F.count("*"), F.sum("size")).alias("n"))
+    near = sizes
     for name, step in (("next__", 1), ("prior__", -1)):
-        other = sizes.select("cluster", (F.col("class__") - step).alias("class__"), F.col("n").alias(name))
-        near = near.join(other, ["cluster", "class__"], "left")
-    placed = nodes.join(broadcast_if_small(near), ["cluster", "class__"]).withColumn(
+        other = sizes.select(*unit, (F.col("class__") - step).alias("class__"), F.col("n").alias(name))
+        near = near.join(other, [*unit, "class__"], "left")
+    placed = flat.join(broadcast_if_small(near), [*unit, "class__"]).withColumn(
         "at__", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
 
     def name(kind, number):
@@ -303,7 +349,7 @@ def meetings(nodes: DataFrame, threshold: float) -> DataFrame:
         name(F.col("class__") - 1, k).alias("one"), own.alias("two")))
     return (placed.withColumn("block", own)
             .withColumn("pair__", F.explode(F.concat(same, after, prior)))
-            .select("cluster", "pair__.one", "pair__.two", "block", "doc_id", "size", "signature", "shingles"))
+            .select(*unit, "pair__.one", "pair__.two", "block", "doc_id", "size", "signature", "shingles"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -327,18 +373,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
                      .select("doc_id", "class_id", "class_size"), "members")
     heads = members.where("doc_id = class_id").select("doc_id").distinct()
     banded = sketches.select("doc_id", "bands").join(heads, "doc_id", "left_semi").select(
-        "doc_id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+        "doc_id", F.posexplode("bands").alias("at", "band"))
+    buckets = stored(banded.groupBy("band").agg(
+        F.min("doc_id").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
+        F.min("at").alias("at")).where("n > 1"), "buckets")
     ties = banded.join(buckets.select("band", "pivot"), "band").where("doc_id <> pivot").select(
         F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
     clusters = stored(components(ties).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")),
                       "clusters")
     held = named.join(broadcast_if_small(clusters.select("doc_id")), "doc_id", "left_semi").mapInArrow(
         lambda b: contents(b, width), "doc_id long, size long, signature binary, shingles binary")
-    nodes = stored(held.join(broadcast_if_small(clusters), "doc_id"), "nodes")
+    units = units_of(banded, buckets, clusters)
+    nodes = stored(held.join(broadcast_if_small(units), "doc_id"), "nodes")
     found = stored(meetings(nodes, threshold)
-                   .repartition("cluster", "one", "two")
-                   .sortWithinPartitions("cluster", "one", "two")
+                   .repartitionByRange(*MEETING)
+                   .sortWithinPartitions(*MEETING)
                    .mapInArrow(lambda b: compare(b, threshold, tolerance), "doc_id long, links long, root long"),
                    "links")
     counts = found.groupBy("doc_id").agg(F.sum("links").alias("n_links"))

@@ -86,6 +86,45 @@ def test_near_groups_against_pairs(spark, monkeypatch):
         assert got[i]["n_links"] == len({min(k for k in sets if sets[k] == sets[j]) for j in near[i] if sets[j] != sets[i]})
 
 
+def near_rows(docs):
+    return sorted(tuple(r) for r in ngram_join.join(docs).select("doc_id", "class_id", "class_size", "n_links", "group_id").collect())
+
+
+def test_near_chain_by_buckets(spark, monkeypatch):
+    """Short texts that hold one passage chain into one component; its buckets are the units."""
+    rng = np.random.default_rng(8)
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for family in range(70):
+        words = passage + [f"f{family}w{k}" for k in range(24)]
+        for _ in range(int(rng.integers(1, 4))):
+            text = list(words)
+            text[int(rng.integers(30, 54))] = f"z{rng.integers(0, 1000)}"
+            rows.append((len(rows), " ".join(text)))
+    sets, near = plain_join(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = []
+    whole = ngram_join.units_of
+    monkeypatch.setattr(ngram_join, "units_of", lambda *a: chosen.append(whole(*a)) or chosen[-1])
+    apart = near_rows(docs)
+    assert {u["band"] for r in chosen[-1].collect() for u in r["units"]} == {-1}
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 200)
+    assert near_rows(docs) == apart
+    units = [u["band"] for r in chosen[-1].collect() for u in r["units"]]
+    assert max(units) > 0
+    assert {r[0]: r[3] for r in apart} == {i: len({min(k for k in sets if sets[k] == sets[j]) for j in near[i] if sets[j] != sets[i]})
+                                           for i in sets}
+
+
+def test_first_common_band():
+    rng = np.random.default_rng(1)
+    left = rng.integers(0, 3, (50, ngram_join.HASHES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.6, left, left + 1).astype(np.uint32)
+    plain = [next((b for b in range(ngram_join.BANDS) if (x[6 * b:6 * b + 6] == y[6 * b:6 * b + 6]).all()), ngram_join.BANDS)
+             for x, y in zip(left, right)]
+    assert ngram_join.first_common(left, right).tolist() == plain and len(set(plain)) > 3
+
+
 def test_near_odd_rows(odd):
     got = {(r["doc_id"], r["class_id"], r["class_size"], r["n_links"], r["group_id"]) for r in ngram_join.join(odd).collect()}
     assert got == {(1, 1, 1, 0, 1), (2, 2, 1, 0, 2), (3, 3, 1, 0, 3), (4, 4, 1, 1, 4), (5, 5, 1, 1, 4), (6, 6, 3, 0, 6),
