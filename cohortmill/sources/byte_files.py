@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 4 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
+DEAL_BYTES = 64 * 1024 * 1024
+TAIL = 16 * 1024
 
 
 def file_system(path: str):
@@ -116,17 +118,20 @@ def read_digests(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> tuple[DataFrame, int]:
-    """(path, start, stop) of ranges that cover every file below ``path``, and their number."""
+    """(path, start, stop) of ranges that cover every file below ``path``, and in how many tasks to read
+    them: one to each while they are few, else neighbours together up to ``DEAL_BYTES``."""
     files = [f for f in list_files(path) if f[1]]
     number = sum(-(-size // range_bytes) for _, size in files)
+    full = -(-sum(size for _, size in files) // DEAL_BYTES)
     starts = spark.createDataFrame(files, "path string, size long").withColumn(
         "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))))
-    return starts.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop")), number
+    return (starts.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop")),
+            min(number, max(full, 4 * spark.sparkContext.defaultParallelism)))
 
 
-def one_task_each(ranges: DataFrame, number: int, most: int = 20_000) -> DataFrame:
-    """Ranges dealt to tasks in order, about one to each."""
-    return ranges.repartitionByRange(max(1, min(number, most)), "path", "start")
+def dealt(ranges: DataFrame, tasks: int, most: int = 20_000) -> DataFrame:
+    """Ranges dealt to tasks in order, about as many to each."""
+    return ranges.repartitionByRange(max(1, min(tasks, most)), "path", "start")
 
 
 def chunks_from(path: str, start: int, stop: int | None = None, chunk: int = CHUNK) -> Iterator[bytes]:
@@ -142,3 +147,16 @@ def chunks_from(path: str, start: int, stop: int | None = None, chunk: int = CHU
             if left is not None:
                 left -= len(data)
             yield data
+
+
+def chunks_past(path: str, start: int, stop: int, chunk: int = CHUNK, tail: int = TAIL) -> Iterator[bytes]:
+    """The bytes from ``start`` up to ``stop``, then those up to the end of the file in chunks that
+    grow from ``tail``: a reader that only finishes what it has begun reads little past its range."""
+    yield from chunks_from(path, start, stop, chunk)
+    system, name = file_system(path)
+    with system.open_input_file(name) as file:
+        file.seek(stop)
+        size = min(tail, chunk)
+        while data := file.read(size):
+            yield data
+            size = min(2 * size, chunk)

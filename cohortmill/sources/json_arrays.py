@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.session import materialize
-from cohortmill.sources.byte_files import CHUNK, byte_ranges, chunks_from, one_task_each
+from cohortmill.sources.byte_files import CHUNK, byte_ranges, chunks_from, chunks_past, dealt
 
 RANGE_BYTES = 64 * 1024 * 1024
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2  # not in a string, in one, in one after a backslash
@@ -121,7 +121,7 @@ def elements_of(path: str, start: int, stop: int, state: int, depth: int, spans:
                 chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
     """(position, bytes) of the elements that begin in a range, in arrays at ``level``."""
     at, held, begun = start, [], None
-    for raw in chunks_from(path, start, None, chunk):
+    for raw in chunks_past(path, start, stop, chunk):
         data = np.frombuffer(raw, np.uint8)
         marks, state = outside_marks(data, state, MARK)
         steps = STEP[data[marks]]
@@ -159,17 +159,20 @@ def _per_range(ranges: DataFrame, schema: str, rows_of) -> DataFrame:
     """``rows_of`` (a generator over one range's values) of every range, in batches of bounded size."""
     arrow = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, schema.split(","))])
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for one in (row for batch in batches for row in batch.to_pylist()):
+        for one in (row for given in batches for row in given.to_pylist()):
             for row in rows_of(one):
-                rows.append(dict(zip(arrow.names, row)))
+                rows.append(row)
                 size += 100 + sum(len(v) for v in row if isinstance(v, str))
                 if size > CHUNK:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    yield batch(rows)
                     rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            yield batch(rows)
 
     return ranges.mapInArrow(run, schema)
 
@@ -200,11 +203,11 @@ def read_elements(spark: SparkSession, path: str, keys: Sequence[str] = (), rang
     the object under ``data``. A file may hold several documents after another. A file without
     such an array gives no rows.
     """
-    ranges, number = byte_ranges(spark, path, range_bytes)
-    if not number:
+    ranges, tasks = byte_ranges(spark, path, range_bytes)
+    if not tasks:
         return spark.createDataFrame([], "path string, position long, text string")
     level = len(keys) + 1
-    states = materialize(one_task_each(starting_states(one_task_each(ranges, number), chunk), number))
+    states = materialize(dealt(starting_states(dealt(ranges, tasks), chunk), tasks))
     outline = _per_range(states, "path string, position long, bracket string, level int, key string", lambda r: (
         (r["path"], *event) for event in outline_of(r["path"], r["start"], r["stop"], r["state"], r["depth"], level, chunk)))
 
@@ -223,4 +226,4 @@ def read_elements(spark: SparkSession, path: str, keys: Sequence[str] = (), rang
         for position, text in elements_of(r["path"], r["start"], r["stop"], r["state"], r["depth"], known, level, chunk):
             yield r["path"], position, text.decode("utf-8", "replace")
 
-    return _per_range(one_task_each(met, number), "path string, position long, text string", cut)
+    return _per_range(dealt(met, tasks), "path string, position long, text string", cut)

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cohortmill.plans.source_queries import _array_files
+from cohortmill.sources import byte_files
 from cohortmill.sources import json_arrays as J
 from cohortmill.sources import nested as N
 
@@ -93,3 +95,56 @@ def test_files_and_tasks(spark, tmp_path):
 
 def test_no_files(spark, tmp_path):
     assert J.read_elements(spark, str(tmp_path)).count() == 0
+
+
+def test_ranges_read_little_past_their_end(tmp_path, monkeypatch):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps([{"id": i, "text": "x" * 200} for i in range(5000)]))
+    size, read = path.stat().st_size, []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            data = self.file.read(n)
+            read.append(len(data))
+            return data
+
+    class Disk:
+        def open_input_file(self, name):
+            return Counted(open(name, "rb"))
+
+    monkeypatch.setattr(byte_files, "file_system", lambda name: (Disk(), name))
+    whole, found = np.array([(0, size - 1)], np.int64), []
+    for start in range(0, size, 20_000):
+        stop, depth = min(start + 20_000, size), int(start > 0)
+        state, change = J.sum_up(str(path), 0, start)[J.OUTSIDE] if start else (J.OUTSIDE, 0)
+        read.clear()
+        found += list(J.elements_of(str(path), start, stop, state, change if depth else 0, whole, 1))
+        assert sum(read) <= 20_000 + byte_files.TAIL
+    assert [json.loads(text)["id"] for _, text in found] == list(range(5000))
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i} for i in range(30_000)]))
+    cut = J.read_elements(spark, str(tmp_path), range_bytes=1_000)
+    assert cut.count() == 30_000
+    assert 4 < cut.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_array_files_grow_in_number(spark, tmp_path):
+    texts = spark.range(1000).selectExpr("id as key", "to_json(named_struct('submitter_id', string(id))) as text")
+    _array_files(texts, str(tmp_path / "x"), "[", "]", file_rows=50)
+    files = [json.loads(f.read_text()) for f in (tmp_path / "x").glob("*/*.txt")]
+    assert len(files) == 20 and max(map(len, files)) < 100
+    assert sorted(int(e["submitter_id"]) for f in files for e in f) == list(range(1000))
