@@ -242,8 +242,10 @@ def _case_documents(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), document.alias("text"))
 
 
-def _array_files(texts, path, opening, closing, files=5):
-    """JSON arrays of the texts, ``files`` files with ``opening`` and ``closing`` around them."""
+def _array_files(texts, path, opening, closing, files=5, file_rows=200_000):
+    """JSON arrays of the texts with ``opening`` and ``closing`` around them: at least ``files`` files, and
+    as many more as keep a file at about ``file_rows`` texts, each written by a task of its own."""
+    files = max(files, -(-texts.count() // file_rows))
     texts = texts.select(F.pmod(F.xxhash64("key"), F.lit(files)).alias("file"), "key", "text")
     first = texts.groupBy("file").agg(F.min("key").alias("first"))
     lines = texts.join(F.broadcast(first), "file").select(  # a row per file
@@ -251,7 +253,7 @@ def _array_files(texts, path, opening, closing, files=5):
     around = first.select("file", F.explode(F.array(*[
         F.struct(F.lit(part).alias("part"), F.col("first").alias("key"), F.lit(text).alias("line"))
         for part, text in ((0, opening), (2, closing))])).alias("of")).select("file", "of.*")
-    lines.unionByName(around).repartition("file").sortWithinPartitions("file", "part", "key").select(
+    lines.unionByName(around).repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "part", "key").select(
         "file", "line").write.partitionBy("file").text(path)
 
 
