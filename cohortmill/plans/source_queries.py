@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
@@ -17,6 +19,7 @@ from cohortmill.sources import byte_files
 from cohortmill.sources import files as SF
 from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
+from cohortmill.sources import text_files
 from cohortmill.streaming import ingest
 
 
@@ -28,7 +31,7 @@ def _folder(spark, name):
 # ---- quantification files -------------------------------------------------------------
 
 def _quantification_folder(spark, sf_dir):
-    """Tab-separated files, one folder per supplier: parts as genes, plus a summary row."""
+    """Tab-separated files, one per supplier: parts as genes, plus a summary row."""
     items = A.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
         F.sum("l_quantity").cast("bigint").alias("q"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("p"))
@@ -51,10 +54,29 @@ def _quantification_folder(spark, sf_dir):
 
 
 def _write_text(rows, path, extension, *folders):
-    """Tab-separated files in nested folders; a folder with many rows gets several files."""
-    rows.hint("rebalance", *[F.col(c) for c in folders]).write.mode("append").partitionBy(
-        *folders).option("sep", "\t").option("header", True).option("quote", "").option(
-        "emptyValue", "").option("extension", extension).csv(path)
+    """Tab-separated files named by the last of ``folders``, in folders named by the others; a file with
+    many rows gets several parts. Folders stay few, so that a listing has no folder per file."""
+    header = "\t".join(c for c in rows.columns if c not in folders)
+    place = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+                               for c in folders])
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns if c not in folders])
+    call = uuid.uuid4().hex
+
+    def write(batches):
+        task, written = TaskContext.get(), 0
+        name = f"{call}-{task.partitionId():05d}.c000.{extension}"
+        with text_files.Writer(path, name, header, task.taskAttemptId()) as files:
+            for batch in batches:
+                files.add(batch.column(0), batch.column(1))
+                written += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"rows": [written]})
+
+    lines = rows.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders)
+    lines.select(place.alias("place"), line.alias("line")).mapInArrow(write, "rows long").agg(F.sum("rows")).first()
+
+
+def _file_name():
+    return F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/.]*)[^/]*$", 1).alias("file")
 
 
 @query("quantification_files", """with c as (select l_suppkey, l_partkey, sum(l_quantity)::bigint q,
@@ -64,8 +86,7 @@ select l_suppkey::varchar as file, count(*) as n_features, sum(q)::bigint as uns
   round(sum(p)::double, 2) as tpm_unstranded from c group by 1""")
 def quantification_files(spark, sf_dir):
     path = _quantification_folder(spark, sf_dir)
-    file = F.regexp_extract(F.col("_metadata.file_path"), "file=([^/]*)/", 1)
-    rows = QF.read_quantification(spark, path, glob=None, file=file)
+    rows = QF.read_quantification(spark, path, glob=None, file=_file_name())
     return rows.groupBy("file").agg(
         F.count("*").alias("n_features"), F.sum("unstranded").alias("unstranded"),
         F.sum("stranded_first").alias("stranded_first"),
@@ -94,10 +115,9 @@ def mirna_files(spark, sf_dir):
     _write_text(rows, path, "txt", "folder", "file")
     _write_text(rows.select("folder", "file", F.lit("not a quantification").alias("note")), path, "log",
                 "folder", "file")
-    # Spark names the files it writes; their ending stands in for the portal's
+    # the files end as Spark's own do; that stands in for the portal's ending
     named = replace(MIRNA, file_suffixes=(".c000.txt",))
-    file = F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/", 1)
-    return QF.read_quantification(spark, path, named, file=file).groupBy("file").agg(
+    return QF.read_quantification(spark, path, named, file=_file_name()).groupBy("file").agg(
         F.count("*").alias("n_features"), F.count_distinct("miRNA_ID").alias("n_ids"),
         F.sum("read_count").alias("read_count"),
         rounded(F.sum("reads_per_million_miRNA_mapped"), 2).alias("per_million"),
@@ -141,7 +161,6 @@ def checked_ingest(spark, sf_dir):
         F.explode(F.when((kind == 5) & (part % 3 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
     ).drop("copy")
     path, out, progress = _folder(spark, "arriving"), _folder(spark, "ingested"), _folder(spark, "progress")
-    file = F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/", 1)
 
     def commit(text, batch, out, modality):
         ingest.commit_batch(text, batch, out, modality)
@@ -150,7 +169,7 @@ def checked_ingest(spark, sf_dir):
     for wave, one in ((0, ingest.commit_batch), (1, commit), (None, commit)):
         if wave is not None:
             _write_text(genes.where(F.col("wave") == wave).drop("wave"), path, "tsv", "file")
-        ingest.ingest_new_files(spark, path, out, progress, glob=None, file=file, commit=one)
+        ingest.ingest_new_files(spark, path, out, progress, glob=None, file=_file_name(), commit=one)
     kept = ingest.accepted_rows(spark, out).groupBy("file").agg(F.sum("unstranded").alias("unstranded"))
     return ingest.ledger(spark, out).withColumnRenamed("batch", "wave").join(kept, "file", "left").select(
         "file", "wave", "status", "n_rows", "n_foreign", "n_repeated", "n_malformed", "example", "unstranded")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,6 +34,13 @@ def _reader(spark: SparkSession, modality: Modality, recursive: bool, glob: str
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
+def _header(spark: SparkSession, path: str, modality: Modality, recursive: bool, glob: str | None) -> list[str]:
+    """The header of the first file with rows; without a schema Spark would list every file twice for it."""
+    row = _reader(spark, modality, recursive, glob).schema("line string").csv(path).select("_metadata.file_path").first()
+    one = re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(row[0])) if row else path
+    return _reader(spark, modality, recursive, glob).csv(one).columns
+
+
 def typed_rows(text: DataFrame, modality: Modality = RNASEQ) -> DataFrame:
     """Text columns with missing markers as null, counts as whole numbers, measures as doubles;
     summary rows dropped. Other columns of ``text`` are kept."""
@@ -51,7 +61,7 @@ def read_quantification(spark: SparkSession, path: str, modality: Modality = RNA
     The header of the first file gives the columns; a file with another header is an error.
     """
     glob = name_glob(modality) if glob == "" else glob
-    header = _reader(spark, modality, recursive, glob).csv(path).columns
+    header = _header(spark, path, modality, recursive, glob)
     columns = LAYOUT[modality.id][0]
     missing = sorted(set(columns) - set(header))
     if missing:

@@ -1,14 +1,16 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cohortmill.functions import fixed
 from cohortmill.operators.filters import MIRNA, RNASEQ
+from cohortmill.plans.source_queries import _file_name, _write_text
 from cohortmill.sources import files as SF
 from cohortmill.sources import nested as N
 from cohortmill.sources import quantification as QF
-from cohortmill.sources import sinks, tables
+from cohortmill.sources import sinks, tables, text_files
 from tests.conftest import CLINICAL_HEADER, N_CASES, rows_as
 
 HEADER = "\t".join(fixed.RNA_COLUMNS)
@@ -68,6 +70,44 @@ def test_file_with_other_column_order_is_an_error(spark, star_dir):
         QF.read_quantification(spark, str(star_dir)).collect()
 
 
+def test_folders_are_listed_twice_at_most(spark, tmp_path):
+    for i in range(40):  # more than Spark lists on the driver
+        folder = tmp_path / f"a [{i}] {{x}} 100%25"
+        folder.mkdir()
+        (folder / f"u{i}.rna_seq.augmented_star_gene_counts.tsv").write_text(star_text([i, 2, 3]))
+    context = spark.sparkContext
+    context.setJobGroup("listing", "")
+    try:
+        rows = QF.read_quantification(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    assert stages.count(40) <= 2
+    assert rows.count() == 120 and rows.where("gene_id = 'ENSG01.1'").agg(F.sum("unstranded")).first()[0] == sum(range(40))
+
+
+def test_built_files_have_no_folder_each(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id % 3 as folder", "if(id % 60 = 7, null, id % 60) as file", "string(id) as a", "if(id < 300, null, 'x') as `b-c`")
+    _write_text(rows, str(tmp_path / "x"), "txt", "folder", "file")
+    assert sorted(p.name for p in (tmp_path / "x").rglob("*") if p.is_dir()) == ["folder=0", "folder=1", "folder=2"]
+    files = list((tmp_path / "x").glob("*/*"))
+    assert len(files) == 60 and all(f.read_text().startswith("a\tb-c\n") and f.name.endswith(".c000.txt") for f in files)
+    back = spark.read.option("sep", "\t").option("header", True).option("recursiveFileLookup", True).csv(str(tmp_path / "x"))
+    got = back.select(_file_name(), "a", "`b-c`").selectExpr("file", "int(a) as a", "`b-c` as b").orderBy("a").collect()
+    assert [tuple(r) for r in got] == [
+        ("__HIVE_DEFAULT_PARTITION__" if i % 60 == 7 else str(i % 60), i, None if i < 300 else "x") for i in range(600)]
+
+
+def test_a_task_that_runs_again_leaves_a_file_once(tmp_path):
+    for attempt in (1, 2):
+        with text_files.Writer(str(tmp_path), "0.txt", "h", attempt) as files:
+            files.add(pa.array(["f/a", "f/a", "f/b"]), pa.array(["1", "2", "3"]))
+            files.add(pa.array(["f/b"]), pa.array(["4"]))
+    assert {f.name: f.read_text() for f in tmp_path.glob("f/*")} == {"a.0.txt": "h\n1\n2\n", "b.0.txt": "h\n3\n4\n"}
+    assert not list(tmp_path.glob("f/.*"))
+
+
 def test_mirna_files(spark, tmp_path):
     text = "\t".join(fixed.MIRNA_COLUMNS) + "\nhsa-let-7a-1\t100\t12.5\tN\nhsa-mir-1-1\t0\t0.0\tN\nhsa-mir-155\t7\t1.0\tY\n"
     (tmp_path / "m1.mirbase21.mirnas.quantification.txt").write_text(text)
