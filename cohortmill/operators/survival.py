@@ -6,7 +6,7 @@ group whatever the cohort size. Every window below runs on such a table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -314,6 +314,15 @@ def split_report(rows: DataFrame, value: str = "score", time: str = "time",
         "*", "__test.*").drop("__test")
 
 
+def named(feature: str, bases: Iterable[str]) -> Column:
+    """Whether a feature id is one of ``bases``, versioned or not."""
+    bases = list(bases)
+    match = F.col(feature).isin(*bases)
+    for base in bases:
+        match = match | F.col(feature).startswith(base + ".")
+    return match
+
+
 def named_features(expression: DataFrame, panel: Mapping[str, str],
                    feature: str = "feature_id", ordinal: str | None = None) -> DataFrame:
     """Symbols with the matching feature id, versioned or not; null when absent.
@@ -323,10 +332,7 @@ def named_features(expression: DataFrame, panel: Mapping[str, str],
     """
     spark = expression.sparkSession
     names = spark.createDataFrame(list(panel.items()), "symbol string, base string")
-    match = F.col(feature).isin(*panel.values())
-    for base in panel.values():
-        match = match | F.col(feature).startswith(base + ".")
-    ids = expression.where(match).groupBy(feature).agg(F.min(ordinal or feature).alias("__order"))
+    ids = expression.where(named(feature, panel.values())).groupBy(feature).agg(F.min(ordinal or feature).alias("__order"))
     first = ids.groupBy(base_feature(F.col(feature)).alias("base")).agg(
         F.min_by(feature, F.struct("__order", feature)).alias(feature)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortmill.functions import fixed
 from cohortmill.operators import aggregates, cox, filters, joins, matrix, survival, testing
 from cohortmill.operators.components import pca
-from cohortmill.session import broadcast_if_small, materialize
+from cohortmill.session import broadcast_if_small, materialize, written
 
 
 def survival_cohort(samples: DataFrame, sheet: DataFrame, clinical: DataFrame,
@@ -95,6 +95,9 @@ def panel_testing(cohort: DataFrame, expression: DataFrame, panel, source: str =
 
 def rigor_report(cohort: DataFrame, expression: DataFrame, panel,
                  alpha: float = fixed.ALPHA) -> dict[str, DataFrame]:
+    """The cohort and the panel's cells are computed once for all parts."""
+    cohort = materialize(cohort)
+    expression = written(expression.where(survival.named("feature_id", [base for base, _ in panel.values()])))
     return {
         "fdr_single_gene": panel_testing(cohort, expression, panel, "single_gene", alpha),
         "fdr_cox": panel_testing(cohort, expression, panel, "cox", alpha),

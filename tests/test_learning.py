@@ -178,3 +178,17 @@ def test_rigor_report(dataset):
     parts = builds.rigor_report(*dataset, SIGNATURE_PANEL)
     assert parts["fdr_single_gene"].count() == 7 and parts["fdr_cox"].count() == 7
     assert parts["sensitivity"].count() == 6
+
+
+def test_rigor_report_computes_the_matrix_once(spark, dataset):
+    cohort, cells = dataset
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    parts = builds.rigor_report(cohort, cells.mapInArrow(count, cells.schema), SIGNATURE_PANEL)
+    assert all(part.collect() for part in parts.values())
+    assert seen.value == cells.count()
