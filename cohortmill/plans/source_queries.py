@@ -59,7 +59,7 @@ def _write_text(rows, path, extension, *folders):
     header = "\t".join(c for c in rows.columns if c not in folders)
     place = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
                                for c in folders])
-    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns if c not in folders])
+    line = F.concat(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns if c not in folders]), F.lit("\n"))
     call = uuid.uuid4().hex
 
     def write(batches):

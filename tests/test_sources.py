@@ -102,8 +102,8 @@ def test_built_files_have_no_folder_each(spark, tmp_path):
 def test_a_task_that_runs_again_leaves_a_file_once(tmp_path):
     for attempt in (1, 2):
         with text_files.Writer(str(tmp_path), "0.txt", "h", attempt) as files:
-            files.add(pa.array(["f/a", "f/a", "f/b"]), pa.array(["1", "2", "3"]))
-            files.add(pa.array(["f/b"]), pa.array(["4"]))
+            files.add(pa.array(["f/a", "f/a", "f/b"]), pa.array(["0\n", "1\n", "2\n", "3\n"])[1:])
+            files.add(pa.array(["f/b"]), pa.array(["4\n"]))
     assert {f.name: f.read_text() for f in tmp_path.glob("f/*")} == {"a.0.txt": "h\n1\n2\n", "b.0.txt": "h\n3\n4\n"}
     assert not list(tmp_path.glob("f/.*"))
 
