@@ -276,6 +276,23 @@ def _array_files(texts, path, opening, closing, files=5, file_rows=200_000):
         "file", "line").write.partitionBy("file").text(path)
 
 
+def _framed_array_files(texts, path, opening, closing, files=5, file_rows=200_000):
+    """As ``_array_files``, but in zstd frames and written by the tasks that make the texts: neither plain
+    files nor a shuffle of texts lie on disk. Within a file the texts are in the order of their task."""
+    rows = min(file_rows, max(1, -(-texts.count() // files)))
+
+    def write(batches):
+        task, written = TaskContext.get(), 0
+        with text_files.ArrayWriter(path, f"{task.partitionId():05d}", opening, closing, rows, task.taskAttemptId()) as arrays:
+            for batch in batches:
+                arrays.add(batch.column(0))
+                written += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"rows": [written]})
+
+    lines = texts.select(F.concat(F.lit(text_files.ArrayWriter.BETWEEN), "text").alias("line"))
+    lines.mapInArrow(write, "rows long").agg(F.sum("rows")).first()
+
+
 @query("cases_of_array_files", _CASES_SQL)
 def cases_of_array_files(spark, sf_dir):
     """The same cases out of files that are one JSON array each, cut into ranges of a tenth megabyte."""
@@ -332,7 +349,7 @@ def hits_of_response_pages(spark, sf_dir):
     """The same hits out of response pages, the hits between other fields of the page."""
     path = _folder(spark, "pages")
     opening = '{"warnings": {"hits": [1]}, "data": {"pagination": {"count": 10, "sort": ["\\"]"]}, "hits": ['
-    _array_files(_hit_documents(spark, sf_dir), path, opening, '], "other": [{"file_id": "x"}]}}')
+    _framed_array_files(_hit_documents(spark, sf_dir), path, opening, '], "other": [{"file_id": "x"}]}}')
     return N.flatten_hits(N.read_hits(spark, path, N.FILE_SCHEMA, range_bytes=1_000_000))
 
 

@@ -2,6 +2,7 @@
 
 A file is never one value. Tasks open it through a URI (local paths, hdfs, s3) and hold one chunk.
 Names and sizes are listed on the driver, as Spark's own file index does; contents never pass it.
+Byte ranges of a file of zstd frames (``framed``) are ranges of its decompressed bytes.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cohortmill.sources import framed
+
 CHUNK = 4 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
 DEAL_BYTES = 64 * 1024 * 1024
@@ -120,7 +124,7 @@ def read_digests(spark: SparkSession, path: str, **options) -> DataFrame:
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> tuple[DataFrame, int]:
     """(path, start, stop) of ranges that cover every file below ``path``, and in how many tasks to read
     them: one to each while they are few, else neighbours together up to ``DEAL_BYTES``."""
-    files = [f for f in list_files(path) if f[1]]
+    files = [f for f in _unpacked(spark, list_files(path)) if f[1]]
     number = sum(-(-size // range_bytes) for _, size in files)
     full = -(-sum(size for _, size in files) // DEAL_BYTES)
     starts = spark.createDataFrame(files, "path string, size long").withColumn(
@@ -129,6 +133,31 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> tuple[DataF
             min(number, max(full, 4 * spark.sparkContext.defaultParallelism)))
 
 
+def _unpacked(spark: SparkSession, files: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The files with the sizes of their decompressed bytes; the tables that tell them are read in tasks."""
+    names = [(name,) for name, size in files if size and framed.is_framed(name)]
+    if not names:
+        return files
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                with open_bytes(name) as file:
+                    found.append(file.size())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["path", "size"])
+
+    known = dict(map(tuple, spark.createDataFrame(names, "path string").mapInArrow(sizes, "path string, size long").collect()))
+    return [(name, known.get(name, size)) for name, size in files]
+
+
+def open_bytes(path: str):
+    """A file to seek in and read from; one of zstd frames by its decompressed bytes."""
+    system, name = file_system(path)
+    file = system.open_input_file(name)
+    return framed.Reader(file, path) if framed.is_framed(name) else file
+
+
 def dealt(ranges: DataFrame, tasks: int, most: int = 20_000) -> DataFrame:
     """Ranges dealt to tasks in order, about as many to each."""
     return ranges.repartitionByRange(max(1, min(tasks, most)), "path", "start")
@@ -136,8 +165,7 @@ def dealt(ranges: DataFrame, tasks: int, most: int = 20_000) -> DataFrame:
 
 def chunks_from(path: str, start: int, stop: int | None = None, chunk: int = CHUNK) -> Iterator[bytes]:
     """The bytes from ``start`` up to ``stop`` (to the end of the file if none)."""
-    system, name = file_system(path)
-    with system.open_input_file(name) as file:
+    with open_bytes(path) as file:
         file.seek(start)
         left = (stop - start) if stop is not None else None
         while left is None or left > 0:
@@ -153,8 +181,7 @@ def chunks_past(path: str, start: int, stop: int, chunk: int = CHUNK, tail: int
     """The bytes from ``start`` up to ``stop``, then those up to the end of the file in chunks that
     grow from ``tail``: a reader that only finishes what it has begun reads little past its range."""
     yield from chunks_from(path, start, stop, chunk)
-    system, name = file_system(path)
-    with system.open_input_file(name) as file:
+    with open_bytes(path) as file:
         file.seek(stop)
         size = min(tail, chunk)
         while data := file.read(size):

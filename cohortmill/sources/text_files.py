@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cohortmill.sources import framed
 from cohortmill.sources.byte_files import file_system
 
 
@@ -60,3 +61,53 @@ class Writer:
 
     def _hidden(self) -> str:
         return f"{self.folder}/.{self.stem}.{self.attempt}.{self.name}"
+
+
+class ArrayWriter:
+    """JSON texts to array files below ``path``, ``rows`` to each, in zstd frames with ``opening`` and
+    ``closing`` around the elements. Names are hidden until a file is whole, as those of ``Writer``."""
+
+    BETWEEN = ",\n"
+
+    def __init__(self, path: str, name: str, opening: str, closing: str, rows: int, attempt: int):
+        self.system, self.root = file_system(path)
+        self.name, self.opening, self.closing, self.rows, self.attempt = name, opening, closing, rows, attempt
+        self.number, self.left, self.file = 0, 0, None
+
+    def __enter__(self) -> ArrayWriter:
+        self.system.create_dir(self.root, recursive=True)
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        if failed is None:
+            self._finish()
+        elif self.file:
+            self.file.stream.close()
+
+    def add(self, texts: pa.Array) -> None:
+        """Texts that begin with ``BETWEEN`` each."""
+        texts, start = texts.cast(pa.string()).drop_null(), 0
+        _, offsets, data = texts.buffers()
+        place = np.frombuffer(offsets, np.int32)[texts.offset:] if len(texts) else None
+        while start < len(texts):
+            skipped = 0 if self.file else len(self.BETWEEN)
+            if not self.file:
+                self.file, self.left = framed.Writer(self.system.open_output_stream(self._name(hidden=True), compression=None)), self.rows
+                self.file.write(self.opening.encode())
+            end = min(start + self.left, len(texts))
+            self.file.write(memoryview(data)[place[start] + skipped:place[end]])
+            self.left -= end - start
+            start = end
+            if not self.left:
+                self._finish()
+
+    def _finish(self) -> None:
+        if self.file:
+            self.file.write(self.closing.encode())
+            self.file.close()
+            self.system.move(self._name(hidden=True), self._name())
+            self.file, self.number = None, self.number + 1
+
+    def _name(self, hidden: bool = False) -> str:
+        name = f"{self.name}-{self.number:05d}.json{framed.SUFFIX}"
+        return f"{self.root.rstrip('/')}/" + (f".{self.attempt}.{name}" if hidden else name)
